@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import mixing
+from weftgraph.llm import mixing, sharding
 
-QUERIES = {"op6_mix_sources": mixing.op6_mix_sources}
+QUERIES = {
+    "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_shard": sharding.op7_shard,
+}
 SQL = {"op6_mix_sources": mixing.OP6_SQL}
