@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import mixing, sharding
+from weftgraph.llm import media, mixing, sharding
 
 QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_shard": sharding.op7_shard,
+    "op8_media": media.op8_media,
 }
 SQL = {"op6_mix_sources": mixing.OP6_SQL}
