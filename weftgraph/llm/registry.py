@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import media, mixing, sharding, simhash
+from weftgraph.llm import bpe, media, mixing, sharding, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_shard": sharding.op7_shard,
     "op8_media": media.op8_media,
+    "op10_bpe": bpe.op10_bpe,
 }
 SQL = {"op6_mix_sources": mixing.OP6_SQL}
