@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, media, mixing, sharding, simhash
+from weftgraph.llm import bpe, langid, media, mixing, sharding, simhash
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op3_simhash": simhash.op3_simhash,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_shard": sharding.op7_shard,
