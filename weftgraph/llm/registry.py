@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, langid, media, mixing, sharding, simhash
+from weftgraph.llm import bpe, langid, media, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_shard": sharding.op7_shard,
     "op8_media": media.op8_media,
+    "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
 SQL = {"op6_mix_sources": mixing.OP6_SQL}
