@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, langid, media, mixing, quality, sharding, simhash
+from weftgraph.llm import bpe, langid, media, mixing, quality, rules, sharding, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_rules": rules.op2_rules,
     "op3_simhash": simhash.op3_simhash,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_shard": sharding.op7_shard,
