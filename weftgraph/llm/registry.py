@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, langid, media, mixing, quality, rules, secrets, sharding, simhash
+from weftgraph.llm import bpe, langid, media, mixing, mixlm, quality, rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_rules": rules.op2_rules,
     "op3_simhash": simhash.op3_simhash,
+    "op4_lm": mixlm.op4_lm,
     "op5_secrets": secrets.op5_secrets,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_shard": sharding.op7_shard,
