@@ -2,5 +2,4 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from weftgraph.queries import QUERIES, SQL, structures, traversal  # noqa: F401
