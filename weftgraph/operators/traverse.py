@@ -26,19 +26,15 @@ def propagate(edges: DataFrame, start: DataFrame, message: Callable[[Column, Col
     Only improved vertices are active in the next round.
     """
     e = _dealt(edges, "src", "dst", "w")
-    state = cut(start.select("id", "value"))
-    active = state
+    state = cut(start.select("id", "value", F.lit(True).alias("moved")))
     done = 0
-    while rounds is None or done < rounds:
+    while (rounds is None or done < rounds) and not (active := state.where("moved")).isEmpty():
         sent = active.join(e, active["id"] == e["src"]).select(F.col("dst").alias("id"), message(F.col("value"), F.col("w")).alias("new"))
         sent = sent.groupBy("id").agg(best(F.col("new")).alias("new"))
-        active = cut(sent.join(state, "id", "left").where(F.col("value").isNull() | better(F.col("new"), F.col("value"))).select("id", F.col("new").alias("value")))
-        if active.isEmpty():
-            break
-        fresh = active.select("id", F.col("value").alias("new"))
-        state = cut(state.join(fresh, "id", "full").select("id", F.coalesce("new", "value").alias("value")))
+        wins = F.col("new").isNotNull() & (F.col("value").isNull() | better(F.col("new"), F.col("value")))
+        state = cut(state.drop("moved").join(sent, "id", "full").select("id", F.when(wins, F.col("new")).otherwise(F.col("value")).alias("value"), F.coalesce(wins, F.lit(False)).alias("moved")))
         done += 1
-    return state
+    return state.select("id", "value")
 
 
 def _source(edges: DataFrame, source: int, value: int) -> DataFrame:
