@@ -133,7 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(made)):
-            model.learn(np.asarray(made["at"].iloc[i]), np.asarray(made["value"].iloc[i]), int(made["label"].iloc[i]))
+            model.learn(np.asarray(made["at"].iloc[i], np.int64), np.asarray(made["value"].iloc[i], float), int(made["label"].iloc[i]))
     return model.weights(np.arange(len(model.z)))
 
 
