@@ -88,19 +88,19 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.8, strength: float = 20.0) -> tuple[float, np.ndarray]:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: tuple[float, float] = (0.4, 0.95), strength: float = 5.0) -> tuple[float, np.ndarray]:
     """Share of good texts and, for each class (0: bad, 1: good) and rule, the probabilities of the
     votes -1 and 1 where it votes, shape (2, rules, 2), by expectation-maximisation over distinct
     vote patterns. To abstain says nothing about a text.
 
-    It starts from the majority of the votes. A prior worth `strength` texts holds that a rule that
-    votes is right with probability `prior`; it keeps the classes' meaning where votes are few.
+    It starts with texts that fail a rule on the bad side. A prior worth `strength` texts holds that
+    a rule is right about a bad text and about a good one with the probabilities `prior` (bad texts
+    are bad in one way or two); it keeps the classes' meaning where votes are few.
     """
     voted = (patterns[:, :, None] == np.array([-1, 1])).astype(float)
-    # a majority with a say for each doubtful rule: texts that fail a rule start on the bad side
     fails, passes = (patterns < 0).sum(axis=1), (patterns > 0).sum(axis=1)
-    good = 1 / (1 + np.exp(-(passes - 3.0 * fails)))
-    right = np.array([[prior, 1 - prior], [1 - prior, prior]])[:, None, :]
+    good = 1 / (1 + np.exp(-(passes - patterns.shape[1] * fails)))
+    right = np.array([[prior[0], 1 - prior[0]], [1 - prior[1], prior[1]]])[:, None, :]
     share, table_ = 0.5, np.repeat(right, patterns.shape[1], axis=1)
     for _ in range(rounds):
         weight = np.stack([(1 - good) * counts, good * counts])
