@@ -186,9 +186,12 @@ def learn(docs: DataFrame, per_lang: int = 1500, windows: int = 4, epochs: int =
     and of each of them `windows` pieces of WINDOW bytes at hashed places. None without rows.
     """
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.encode(F.col("text"), "utf-8").alias("raw")).where("lang is not null and length(raw) > 0")
-    ranked = known.withColumn("h", F.xxhash64(F.lit(seed), "raw")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    place = F.pmod(F.xxhash64(F.lit("window"), "h", F.col("i")), F.greatest(F.lit(1), F.length("raw") - WINDOW // 2)).cast("int") + 1
-    rows = ranked.where(F.col("n") <= per_lang).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(windows)))).select("lang", "h", "i", F.substring("raw", place, F.lit(WINDOW)).alias("piece")).toPandas().sort_values(["lang", "h", "i"])
+    hashed = known.withColumn("h", F.xxhash64(F.lit(seed), "raw"))
+    place = lambda i: F.pmod(F.xxhash64(F.lit("window"), "h", i), F.greatest(F.lit(1), F.length("raw") - WINDOW // 2)).cast("int") + 1
+    # pieces are cut before rows are ranked, so that no whole text is shuffled
+    cut_ = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("raw", place(F.lit(i)), F.lit(WINDOW)).alias("piece")) for i in range(1, windows + 1)])
+    ranked = hashed.select("lang", "h", cut_.alias("pieces")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    rows = ranked.where(F.col("n") <= per_lang).select("lang", "h", F.explode("pieces").alias("p")).select("lang", "h", "p.*").toPandas().sort_values(["lang", "h", "i"])
     if rows.empty:
         return None
     langs = sorted(rows["lang"].unique())
