@@ -215,6 +215,11 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     can't be named by a component and all stay. Columns and their order stay as they are.
     """
     keep = near_duplicates(docs, **params).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return keep_named(docs, keep)
+
+
+def keep_named(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """docs with one row of each doc_id in keep (_id), and all rows without a doc_id."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"))
     kept = packed.join(keep, F.col("_d") == F.col("_id"), "left_semi")
