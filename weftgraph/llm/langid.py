@@ -179,12 +179,29 @@ class ByteGru:
         return pooled.T, np.take_along_axis(votes / n, pooled.argmax(axis=0)[None], 0)[0] if len(texts) else np.zeros(0)
 
 
-def learn(docs: DataFrame, per_lang: int = 1500, windows: int = 4, epochs: int = 6, batch: int = 256, rate: float = 0.03, hidden: int = HIDDEN, seed: int = 1) -> ByteGru | None:
+def learn(docs: DataFrame, **params) -> ByteGru | None:
     """A network from the columns text and lang of docs (rows without either don't count).
 
     The sample is bounded: of each language the per_lang documents whose text has the least hash,
     and of each of them `windows` pieces of WINDOW bytes at hashed places. None without rows.
     """
+    return _learn(docs, **params)[0]
+
+
+def learn_floor(docs: DataFrame, most: float = 0.5, miss: float = 0.001) -> tuple[ByteGru | None, float]:
+    """As learn(), and the score below which no language is told: `most`, or what all but the share
+    `miss` of the labelled sample reach over their pieces, if the network is too weak for `most`."""
+    net, x, size, owner = _learn(docs)
+    if net is None:
+        return None, 0.0
+    pooled, _ = net.score([row[:n].tobytes() for row, n in zip(x, size)])
+    n = np.bincount(owner, size)
+    pooled = np.stack([np.bincount(owner, p * size) / n for p in pooled.T])
+    return net, min(most, float(np.quantile(pooled.max(axis=0), miss, method="lower")))
+
+
+def _learn(docs: DataFrame, per_lang: int = 1500, windows: int = 4, epochs: int = 6, batch: int = 256, rate: float = 0.03, hidden: int = HIDDEN, seed: int = 1) -> tuple:
+    """The network, and its sample: pieces (pieces, WINDOW), their sizes, the document of each."""
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.encode(F.col("text"), "utf-8").alias("raw")).where("lang is not null and length(raw) > 0")
     hashed = known.withColumn("h", F.xxhash64(F.lit(seed), "raw"))
     place = lambda i: F.pmod(F.xxhash64(F.lit("window"), "h", i), F.greatest(F.lit(1), F.length("raw") - WINDOW // 2)).cast("int") + 1
@@ -193,14 +210,14 @@ def learn(docs: DataFrame, per_lang: int = 1500, windows: int = 4, epochs: int =
     ranked = hashed.select("lang", "h", cut_.alias("pieces")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     rows = ranked.where(F.col("n") <= per_lang).select("lang", "h", F.explode("pieces").alias("p")).select("lang", "h", "p.*").toPandas().sort_values(["lang", "h", "i"])
     if rows.empty:
-        return None
+        return None, None, None, None
     langs = sorted(rows["lang"].unique())
     size = rows["piece"].map(len).to_numpy()
     x = np.stack([np.frombuffer(bytes(p).ljust(WINDOW, b"\0"), np.uint8) for p in rows["piece"]])
     rng = np.random.default_rng(seed)
     net = ByteGru.fresh(langs, hidden, rng)
     net.fit(x, size, rows["lang"].map(langs.index).to_numpy(), epochs, batch, rate, rng)
-    return net
+    return net, x, size, rows.groupby(["lang", "h"]).ngroup().to_numpy()
 
 
 def predict(docs: DataFrame, net: ByteGru | None) -> DataFrame:
