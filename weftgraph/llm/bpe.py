@@ -13,9 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from weftgraph.llm.common import table, without
+from weftgraph.llm.common import as_row, table
 
 #: Stands for the end of a word; no byte has this code.
 END = "\u0100"
@@ -24,7 +23,9 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How the vocabulary's file splits normalised text (fixed values).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
 #: Entries of a cache at most; a full one starts anew.
-CACHE = 400_000
+CACHE = 1 << 17
+#: Values that are worked on together at most.
+ROWS = 256
 OUT = ("ids", "n_tokens")
 
 
@@ -181,50 +182,67 @@ def _vocabulary(text: str) -> WordBpe:
     return WordBpe(text)
 
 
-def _mapped(docs: DataFrame, column: str, out: list[str], schema: str, vocabulary: str, each) -> DataFrame:
-    """docs with columns `out`, which `each` makes of a batch of `column`."""
+def _columns(docs: DataFrame, column: str, out: list[str], schema: str, vocabulary: str, each) -> DataFrame:
+    """docs with columns `out`, which `each` makes of some values of `column` at a time. Only that
+    column goes to Python."""
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
-    kept = without(docs, *out)
-    target = StructType([*kept.schema.fields, *docs.sparkSession.createDataFrame([], schema).schema.fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _vocabulary(spec.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # bounded memory beside the batch
-                some = batch.slice(at, 512)
-                made = each(coder, some.column(some.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *made], names=[*some.schema.names[:-1], *out])
+            for some in _slices(batch):
+                yield pa.StructArray.from_arrays(each(coder, some), names=out)
+            if not len(batch):
+                yield pa.StructArray.from_arrays(each(coder, batch), names=out)
 
-    names = [F.col(f"`{c}`") for c in kept.columns]
-    return docs.select(*names, F.col(column).alias("_in")).mapInArrow(run, target)
+    made = F.arrow_udf(run, schema)(F.col(column))
+    return docs.select(as_row(docs, *out), made.alias("_made")).select("_row.*", "_made.*")
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+def _slices(batch: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """A batch in parts of at most ROWS values and about `most` bytes, or one value."""
+    at = 0
+    while at < len(batch):
+        n = min(ROWS, len(batch) - at)
+        while n > 1 and batch.slice(at, n).nbytes > most:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
+def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """docs with ids (array of int) and n_tokens (long): the whole text's tokens, no special tokens
-    added. The vocabulary file is read by the driver and sent to the tasks.
+    added; with `decoded` also the column of bpe_decode(), from the same pass. The vocabulary file is
+    read by the driver and sent to the tasks.
 
-    Null and empty texts have no tokens. Rows are independent: repeated rows repeat. Input columns
-    named ids or n_tokens are replaced. An empty table gives no rows.
+    Null and empty texts have no tokens. Rows are independent: repeated rows repeat and ties can't
+    arise. Input columns named like an output are replaced, all others stay, whatever their names.
+    An empty table gives no rows.
     """
 
     def each(coder: WordBpe, texts: pa.Array) -> list[pa.Array]:
         ids = [coder.encode(t) for t in texts.to_pylist()]
         counts = np.array([len(x) for x in ids], np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
-        return [lists, pa.array(counts)]
+        back = [pa.array([coder.decode(x) for x in ids], pa.binary()).cast(pa.string())] if decoded else []
+        return [lists, pa.array(counts), *back]
 
-    return _mapped(docs.withColumn("_text", F.col(text).cast("string")), "_text", list(OUT), "ids array<int>, n_tokens long", vocabulary, each).drop("_text")
+    d = docs.select(as_row(docs, *OUT, *["decoded"] * decoded), F.col(text).cast("string").alias("_text"))
+    made = _columns(d, "_text", [*OUT, *["decoded"] * decoded], "ids array<int>, n_tokens long" + ", decoded string" * decoded, vocabulary, each)
+    return made.select("_row.*", *OUT, *["decoded"] * decoded)
 
 
 def bpe_decode(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """docs with decoded (string): the tokens of the column ids, joined by a space. Null or no ids
-    give an empty string; an id that the vocabulary lacks is an error."""
+    give an empty string; an id that the vocabulary lacks is an error. Rows are independent; an input
+    column decoded is replaced. An empty table gives no rows."""
 
     def each(coder: WordBpe, lists: pa.Array) -> list[pa.Array]:
         values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         return [pa.array([coder.decode(values[a:b]) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary()).cast(pa.string())]
 
-    return _mapped(docs, ids, ["decoded"], "decoded string", vocabulary, each)
+    d = docs.select(as_row(docs, "decoded"), F.col(ids).alias("_ids"))
+    return _columns(d, "_ids", ["decoded"], "decoded string", vocabulary, each).select("_row.*", "decoded")
 
 
 def default_vocabulary() -> str:
@@ -234,6 +252,7 @@ def default_vocabulary() -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    path = vocabulary or default_vocabulary()
-    out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    """bpe_encode() of all documents and the digests of ids and decoded text; nulls, empty texts,
+    repeats, an empty table and further columns as stated there."""
+    out = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary or default_vocabulary(), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -23,6 +23,27 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def as_row(df: DataFrame, *names: str) -> Column:
+    """The columns of df less those named, as one struct `_row`, out of the way of all other names."""
+    return F.struct(*[F.col(f"`{c}`") for c in without(df, *names).columns]).alias("_row")
+
+
+def join_spread(rows: DataFrame, small: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """rows joined with small, which has one row of each key and the count of rows that have it.
+
+    A key with more than one in `share` of all rows is spread over as many tasks as it has such
+    shares; at most `share` keys are, so that their list may be broadcast. rows must be cut (the
+    place of a row decides its task).
+    """
+    total = small.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = small.where(F.col(count) * share > total).select(F.col(key).alias("_hot"), F.ceil(F.col(count) * share / F.lit(max(1, total))).cast("int").alias("_times"))
+    times, hot = F.coalesce("_times", F.lit(1)), F.broadcast(hot)
+    dealt = rows.withColumn("_id", F.monotonically_increasing_id()).join(hot, F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64("_id"), times).cast("int")).drop("_hot", "_times", "_id")
+    copies = small.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), times - 1))).drop("_hot", "_times")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def uniform(*cols: Column) -> Column:
     """A number strictly between 0 and 1 that depends on the given columns alone (53 bits)."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + F.lit(0.5)) / F.lit(float(2**53))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table, without
+from weftgraph.llm.common import as_row, table, without
 
 #: Bytes that the network reads at a time; its states start from zero in each window.
 WINDOW = 64
@@ -247,10 +247,9 @@ def predict(docs: DataFrame, net: ByteGru | None) -> DataFrame:
     udf = F.pandas_udf(label, "lang_pred string, score double, agreement double")
     text = F.col("text").cast("string")
     named = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    kept = without(docs, *OUT)
-    d = docs.select(*[F.col(f"`{c}`") for c in kept.columns], udf(text).alias("_p"), named.alias("_named"))
+    d = docs.select(as_row(docs, *OUT), udf(text).alias("_p"), named.alias("_named"))
     pick = [F.when(F.col("_named"), F.col(f"_p.{n}")).otherwise(F.lit(other)).alias(n) for n, other in (("lang_pred", "und"), ("score", 0.0), ("agreement", 0.0))]
-    return d.select(*[F.col(f"`{c}`") for c in kept.columns], *pick)
+    return d.select("_row.*", *pick)
 
 
 def held_out(mod: int, rest: int):

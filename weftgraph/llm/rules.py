@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table, without
+from weftgraph.llm.common import as_row, table, without
 
 _SPACES = " \t\n\r\x0b\x0c"
 #: What a code point counts as, in bits: white space 1, symbol 2, upper case 4, letter 8.
@@ -62,9 +62,8 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
 
     udf = F.pandas_udf(each, ", ".join(f"{m} long" for m in MEASURES))
-    kept = without(docs, *MEASURES)
-    d = docs.select(*[F.col(f"`{c}`") for c in kept.columns], udf(F.col("text").cast("string")).alias("_m"))
-    return d.select(*[F.col(f"`{c}`") for c in kept.columns], "_m.*")
+    d = docs.select(as_row(docs, *MEASURES), udf(F.col("text").cast("string")).alias("_m"))
+    return d.select("_row.*", "_m.*")
 
 
 def _vote(bad: Column, good: Column) -> Column:
