@@ -88,27 +88,42 @@ def test_simhash_fingerprints(texts):
         assert simhash.simhash(text, 3, 42) & (1 << 64) - 1 == want
 
 
-@pytest.mark.parametrize("cap", [2048])
+def linked(spark, fps, cap):
+    """The least linked fingerprint of each, by simhash.links() and by comparing all pairs."""
+    from weftgraph.operators.components import connected_components
+
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 3, cap)
+    got = {r["id"]: r["component"] for r in connected_components(found).collect()}
+    u = np.array(fps).view(np.uint64)
+    pairs = [(i + at, j) for at in range(0, len(u), 512) for i, j in [np.nonzero(np.bitwise_count(u[at : at + 512, None] ^ u[None]) <= 3)]]
+    root = simhash._roots(len(u), iter([(i[i < j], j[i < j]) for i, j in pairs]))
+    return [got.get(x, x) for x in fps], [fps[r] for r in root]
+
+
+@pytest.mark.parametrize("cap", [16, 2048])
 def test_simhash_links_are_complete(spark, cap):
-    """Random clusters with hot buckets; a small cap makes them divide several times."""
+    """Random clusters and a dense hub; a small cap makes many buckets go to pages."""
     rng = random.Random(cap)
     fps = set()
     for _ in range(40):
         seed = rng.getrandbits(64)
         fps |= {seed ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(4))}) for _ in range(12)}
     hub = rng.getrandbits(64)
-    fps |= {hub ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)}
-    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
-    rows = spark.createDataFrame([(x,) for x in fps], "fp long")
-    met = simhash.buckets(rows, 3, cap).repartition(5, "mask", "val").sortWithinPartitions("mask", "val")
-    links = met.mapInPandas(lambda parts: simhash._link_buckets(parts, 3), "src long, dst long")
-    from weftgraph.operators.components import connected_components
-
-    got = {r["id"]: r["component"] for r in connected_components(links).collect()}
-    u = np.array(fps).view(np.uint64)
-    i, j = np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None]) <= 3, 1))
-    root = simhash._roots(len(u), iter([(i, j)]))
-    assert [got.get(x, x) for x in fps] == [fps[r] for r in root]
+    fps |= {hub ^ (1 << a) ^ (1 << b) for a in range(32) for b in range(a)}
+    got, want = linked(spark, fps, cap)
+    assert got == want
+
+
+def test_simhash_links_of_a_large_dense_hub(spark):
+    """5,000 near copies of one text meet in buckets above the production cap."""
+    rng = random.Random(5)
+    hub, fps = rng.getrandbits(64), set()
+    while len(fps) < 5000:
+        fps.add(hub ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(5))}))
+    fps |= {rng.getrandbits(64) for _ in range(500)}
+    got, want = linked(spark, fps, simhash.CAP)
+    assert got == want
 
 
 def test_lm_base_and_gain(spark, sf_dir, texts):

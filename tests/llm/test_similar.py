@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
-from weftgraph.llm import similar
+from weftgraph.llm import simhash
 
 
 def groups(rows, least=0.8):
@@ -42,4 +42,4 @@ def test_chains_boilerplate_and_empty_texts(spark):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     docs = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string")
-    assert {r.doc_id for r in similar.drop_similar(docs).collect()} == groups([(int(i), t) for i, t in rows])
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs, n=5, least=0.8).collect()} == groups([(int(i), t) for i, t in rows])

@@ -3,39 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table
+from weftgraph.llm import similar
+from weftgraph.llm.common import arrow_rows, join_spread, table
 from weftgraph.operators.components import connected_components
 from weftgraph.plans.lineage import cut
 
 BITS = 64
-#: Fingerprints that are searched together at most; larger buckets are divided further.
+#: Fingerprints of a bucket; larger ones are cut into pages of that size.
 CAP = 2048
+#: Masks at most, and tasks that cut hot buckets into pages.
+MASKS, TASKS = 60, 4096
 #: Children of an index node.
 FAN = 8
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def simhash(text: str | None, n: int, seed: int) -> int:
     """The fingerprint of a text's n-word shingles as a signed 64-bit number."""
-    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if not words:
-        return 0
-    whole = b" ".join(words)
-    starts = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
-    ends = (starts[n:] if len(words) >= n else starts[-1:]) - 1
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(whole[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    over = bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)
-    return int(np.packbits(over).view(">i8")[0])
+    return similar.fingerprint(similar.hashes(text, n, seed))
 
 
 def fingerprints(docs: DataFrame, n: int, seed: int) -> DataFrame:
@@ -49,38 +42,70 @@ def fingerprints(docs: DataFrame, n: int, seed: int) -> DataFrame:
     return d.mapInPandas(batches, "doc_id long, fp long")
 
 
-def _split(mask: int, parts: int) -> list[int]:
-    """Masks that add to `mask` one of `parts` blocks of the bits it leaves open."""
-    open_bits = [b for b in range(BITS) if not mask >> b & 1]
-    blocks = np.array_split(open_bits, min(parts, len(open_bits)))
-    return [mask | sum(1 << int(b) for b in block) for block in blocks]
-
-
 def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
+def tables(radius: int, n: int, cap: int) -> list[int]:
+    """Masks such that two fingerprints within radius agree in all bits of one mask at least.
+
+    Of `blocks` blocks of bits, radius differences leave all but radius untouched, so the unions of
+    blocks - radius blocks will do. More blocks give longer masks and so smaller buckets, but more of
+    them; there are as few as keep a bucket of n random fingerprints at a quarter of the cap.
+    """
+    for blocks in range(radius + 1, BITS + 1):
+        parts = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(BITS), blocks)]
+        masks = [sum(some) for some in combinations(parts, blocks - radius)]
+        if n * 4 <= cap << min(m.bit_count() for m in masks) or comb(blocks + 1, radius) > MASKS:
+            break
+    return masks
+
+
 def buckets(fps: DataFrame, radius: int, cap: int) -> DataFrame:
-    """(mask, val, fp): fingerprints that may link meet in a bucket of at most `cap`.
+    """(mask, val, fp): distinct fingerprints that may link meet in a bucket of at most 2 * cap.
 
-    Of radius + 1 blocks of bits, two fingerprints in reach agree in one, so each goes to one bucket
-    for each block's value. A bucket above the cap is divided in the same way by the bits that its
-    mask leaves open, as often as needed; as fingerprints are distinct, a bucket whose open bits
-    have no more than cap values ends it. Nothing is lost at any size.
+    Each goes to one bucket for each of tables(). A bucket above the cap is sorted by Gray rank and
+    cut into pages of at most `cap`; a page knows the bits that all of its fingerprints agree in, and
+    two pages that differ in more than radius of their common ones are dropped as a whole. Each pair
+    of pages that is left makes a bucket (mask and val are then the pages' numbers), and so does each
+    page. Only pages are paired, never their rows, and nothing is lost at any size.
     """
-    spark = fps.sparkSession
-    masks, level, found = [0], fps.select(F.lit(0).cast("long").alias("mask"), "fp"), None
-    while True:
-        children = [(_signed(m), _signed(c)) for m in masks for c in _split(m, radius + 1)]
-        masks = [c & ((1 << BITS) - 1) for _, c in children]
-        steps = spark.createDataFrame(children, "mask long, child long")  # (radius + 1) ** level rows
-        level = level.join(F.broadcast(steps), "mask").select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("val"), "fp")
-        hot = cut(level.groupBy("mask", "val").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("mask", "val"))
-        if hot.isEmpty():
-            return level if found is None else found.union(level)
-        cold = level.join(hot, ["mask", "val"], "left_anti")
-        found = cold if found is None else found.union(cold)
-        level = level.join(hot, ["mask", "val"], "left_semi").select("mask", "fp")
+    masks = tables(radius, fps.count(), cap)
+    split = F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")
+    met = fps.select("fp", split).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"), "fp")
+    hot = cut(met.groupBy("mask", "val").agg(F.count("*").alias("n")).where(F.col("n") > cap))
+    rows = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not rows:
+        return met
+    hot = hot.select("mask", "val")
+    rank = F.col("fp")
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    ranked = met.join(hot, ["mask", "val"], "left_semi").withColumn("rank", rank)
+    parts = min(TASKS, -(-rows // cap))
+    ranked = ranked.repartitionByRange(parts, "mask", "val", "rank").sortWithinPartitions("mask", "val", "rank")
+    paged = cut(ranked.mapInPandas(lambda batches: _pages(batches, cap), "mask long, val long, fp long, page long"))
+    same = F.bitwise_not(F.col("ones").bitwiseXOR(F.col("any"))).alias("same")
+    node = cut(paged.groupBy("mask", "val", "page").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).select("mask", "val", "page", "ones", same))
+    other = node.select("mask", "val", *[F.col(c).alias(f"{c}_b") for c in ("page", "ones", "same")])
+    differ = F.bit_count(F.col("ones").bitwiseXOR(F.col("ones_b")).bitwiseAND(F.col("same")).bitwiseAND(F.col("same_b")))
+    pairs = node.join(other, ["mask", "val"]).where((F.col("page") <= F.col("page_b")) & (differ <= radius)).select("page", "page_b")
+    sides = pairs.select(F.col("page").alias("a"), F.col("page_b").alias("b"), F.explode(F.array_distinct(F.array("page", "page_b"))).alias("page"))
+    dealt = sides.join(paged.select("page", "fp"), "page").select(F.col("a").alias("mask"), F.col("b").alias("val"), "fp")
+    return met.join(hot, ["mask", "val"], "left_anti").union(dealt)
+
+
+def _pages(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+    """Numbers of the pages of sorted rows: negative, so that none is taken for a mask."""
+    page, n, last = -(TaskContext.get().partitionId() + 1) << 32, 0, None
+    for pdf in batches:
+        numbers = np.empty(len(pdf), np.int64)
+        for i, key in enumerate(zip(pdf["mask"], pdf["val"], strict=True)):
+            if key != last or n == cap:
+                page, n, last = page + 1, 0, key
+            n += 1
+            numbers[i] = page
+        yield pdf[["mask", "val", "fp"]].assign(page=numbers)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -117,7 +142,7 @@ class GrayIndex:
             bucket = bucket[first]
         self.root_leaf = self.levels[-1][4]
 
-    def links(self, radius: int, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (i, j), i < j, of the same bucket within radius, for `step` values of i at a time."""
         for at in range(0, len(self.fp), step):
             i = np.arange(at, min(at + step, len(self.fp)))
@@ -181,6 +206,13 @@ def _link_buckets(parts: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Dat
         yield solve(left)
 
 
+def links(fps: DataFrame, radius: int, cap: int = CAP) -> DataFrame:
+    """(src, dst): of distinct fingerprints (fp), enough pairs within radius to connect all that
+    are connected by such pairs."""
+    met = buckets(fps, radius, cap).repartition("mask", "val").sortWithinPartitions("mask", "val")
+    return met.mapInPandas(lambda parts: _link_buckets(parts, radius), "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, seed: int = 42, cap: int = CAP) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
@@ -189,32 +221,52 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, seed: int = 42
     the least doc_id that can be reached over links, a row's own included. A null, empty or blank
     text has fingerprint zero and links like any other; a text of fewer than n words is one shingle.
     A null doc_id is never a component_id unless nothing else is reached. Repeated rows repeat; an
-    empty table gives no rows.
+    empty table gives no rows; columns other than doc_id and text play no part.
 
     Only distinct fingerprints are compared, so copies cost nothing; see buckets() for how they
     meet and GrayIndex for how they are compared. A bucket gives each of its fingerprints at most
     one link, to the least of its group there; components put the buckets together.
     """
     prints = cut(fingerprints(docs, n, seed))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    met = buckets(distinct.select("fp"), radius, cap).repartition("mask", "val").sortWithinPartitions("mask", "val")
-    links = met.mapInPandas(lambda parts: _link_buckets(parts, radius), "src long, dst long")
-    groups = connected_components(links)
-    tied = cut(groups.join(distinct, groups["id"] == distinct["fp"]).select("fp", "component", "least"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    groups = connected_components(links(distinct.select("fp"), radius, cap))
+    tied = cut(groups.join(distinct, groups["id"] == distinct["fp"]).select("fp", "component", "least", "copies"))
     least = tied.groupBy("component").agg(F.min("least").alias("component_id"))
-    tied = tied.join(least, "component").select("fp", "component_id")
-    alone = distinct.join(tied.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    out = prints.join(tied.union(alone), "fp")
+    tied = tied.join(least, "component").select("fp", "component_id", "copies")
+    alone = distinct.join(tied.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "copies")
+    out = join_spread(prints, tied.union(alone), "fp", "copies")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """docs with one row of each component left, the one whose doc_id is the component_id.
+def drop_near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, seed: int = 42, cap: int = CAP, least: float | None = None) -> DataFrame:
+    """docs with one row of each group of near-duplicates left, the one of least doc_id.
+
+    Without `least` the groups are the components of near_duplicates(). With it two texts link when
+    the sets of their n-word shingles have at least that Jaccard similarity, computed on whole texts.
+    Fingerprints within radius are the first candidates, but a pair at 0.8 differs in 10 of 64 bits
+    on average, which no index of that radius reaches; similar.similar_groups() brings the others
+    together. Equal texts are one; null and blank texts are alike.
 
     doc_id is taken for a key: of rows that repeat a kept doc_id one stays. Rows without a doc_id
-    can't be named by a component and all stay. Columns and their order stay as they are.
+    can't be named by a component and all stay. Columns and their order stay as they are. An empty
+    table gives no rows.
     """
-    keep = near_duplicates(docs, **params).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    if least is None:
+        found = near_duplicates(docs, n, radius, seed, cap).where("doc_id = component_id")
+        return keep_named(docs, found.select(F.col("doc_id").alias("_id")).distinct())
+    texts = similar.keyed(docs)
+    with arrow_rows(docs.sparkSession, 1000):
+        prints = cut(similar.prints(texts, n, seed))
+    ids = prints.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("_id"))
+    ids = cut(ids)
+    first = ids.groupBy("fp").agg(F.min("key").alias("head"))
+    near = links(first.select("fp"), radius, cap)
+    head = lambda side: first.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_key"))
+    near = near.join(head("src"), "src").join(head("dst"), "dst").select(F.col("src_key").alias("a"), F.col("dst_key").alias("b"))
+    equal = ids.join(first, "fp").where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    groups = similar.similar_groups(texts, prints, near.union(equal), n, least)
+    named = ids.join(groups, F.col("key") == F.col("id"), "left").select(F.coalesce("component", "key").alias("c"), "_id")
+    keep = named.groupBy("c").agg(F.min("_id").alias("_id")).where("_id is not null").select("_id").distinct()
     return keep_named(docs, keep)
 
 
@@ -229,4 +281,6 @@ def keep_named(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents; nulls, empty texts, ties, repeats, an empty table and
+    further columns as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import arrow_rows
-from weftgraph.llm.simhash import keep_named
 from weftgraph.operators.components import connected_components
 from weftgraph.plans.lineage import cut
 
@@ -24,18 +23,34 @@ PAIRS = 256  # pairs of texts that a task gets at a time
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """64-bit hashes of a text's n-word shingles (A-Z in lower case), sorted, each once; a text of
-    fewer words is one shingle, and one without a word has none."""
+def hashes(text: str | None, n: int, seed: int) -> np.ndarray:
+    """XXH64 of each of a text's n-word shingles (A-Z in lower case) in the text's order, as 8
+    big-endian bytes each; a text of fewer words is one shingle, and one without a word has none."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return np.empty(0, np.uint64)
+        return np.empty(0, ">u8")
     whole = b" ".join(words)
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
     ends = (starts[n:] if len(words) >= n else starts[-1:]) - 1
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64))
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(whole[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)]), ">u8")
+
+
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of hashes(), as a signed number: a bit is 1 if it is in more than half of them.
+    They are counted some at a time, so that a long text takes no more memory than a short one."""
+    if not len(found):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found)).view(">i8")[0])
+
+
+def shingles(text: str | None, n: int, seed: int = 42) -> np.ndarray:
+    """The set of a text's hashes(), sorted."""
+    return np.unique(hashes(text, n, seed).astype(np.uint64))
 
 
 def bands(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -150,30 +165,47 @@ def _tiles(parts: Iterator[pd.DataFrame], n: int, least: float) -> Iterator[pd.D
         yield solve(pd.concat(left, ignore_index=True))
 
 
-def kept_ids(docs: DataFrame, n: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
-    """(_id): the least doc_id of each group of documents that are alike.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): equal texts have equal keys, a null text the key of an empty one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"))
 
-    Documents link when the sets of their n-word shingles have a Jaccard similarity of at least
-    `least`, computed on whole texts; groups are what links connect. Only pairs that meet in one of
-    BANDS MinHash buckets are compared. All that meet are: first each with its bucket's least
-    member, then every pair of a bucket that is not in one group yet and whose sizes allow it, in
-    tiles of at most about 2 * TILE texts, so that no row is made for a pair.
-    Equal texts are one; a null text counts as an empty one, and texts without a word are alike.
-    """
+
+def prints(texts: DataFrame, n: int, seed: int) -> DataFrame:
+    """(doc_id, key, fp, bands): SimHash and MinHash buckets of every whole text, from one pass."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "bands": [bands(shingles(t, n), seed) for t in pdf["text"]]})
+            found = [hashes(t, n, seed) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "fp": np.array([fingerprint(h) for h in found], np.int64),
+                "bands": [bands(np.unique(h.astype(np.uint64)), seed) for h in found],
+            })
+
+    return texts.mapInPandas(batches, "doc_id long, key long, fp long, bands array<long>")
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"))
-    with arrow_rows(docs.sparkSession, 1000):
-        prints = cut(d.mapInPandas(batches, "doc_id long, key long, bands array<long>"))
-    each = prints.select("key", F.explode("bands").alias("band"))
+
+def similar_groups(keyed_: DataFrame, prints_: DataFrame, candidates: DataFrame, n: int, least: float) -> DataFrame:
+    """(id, component) of the keys of texts that are like another one.
+
+    Texts link when the sets of their n-word shingles have a Jaccard similarity of at least `least`,
+    computed on whole texts; groups are what links connect. Compared are the candidates (a, b) and
+    all pairs that meet in one of BANDS MinHash buckets and aren't in one group by then: first each
+    with its bucket's least member, then every other pair whose sizes allow it, in tiles of at most
+    about 2 * TILE texts, so that no row is made for a pair.
+    """
+    spark = keyed_.sparkSession
+    each = prints_.select("key", F.explode("bands").alias("band"))
     heads = each.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head < last").select("band", "head")
     members = cut(each.join(heads, "band").distinct())
-    needed = members.select("key").distinct()
-    texts = cut(d.select("key", "text").dropDuplicates(["key"]).join(needed, "key", "left_semi"))
-    links = _similar(members.where("key > head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), texts, n, least)
+    candidates = cut(candidates.distinct())
+    needed = members.select("key").union(candidates.select("a")).union(candidates.select("b")).distinct()
+    texts = cut(keyed_.select("key", "text").dropDuplicates(["key"]).join(needed, "key", "left_semi"))
+    links = _similar(candidates, texts, n, least)
+    known = cut(connected_components(links, "a", "b"))
+    group = lambda side: known.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
+    star = members.where("key > head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+    star = star.join(group("a"), "a", "left").join(group("b"), "b", "left").where("not coalesce(c_a, a) <=> coalesce(c_b, b)").select("a", "b")
+    links = links.union(_similar(star, texts, n, least))
     groups = cut(connected_components(links, "a", "b"))
 
     # what the first members have not settled
@@ -186,16 +218,6 @@ def kept_ids(docs: DataFrame, n: int = 5, least: float = 0.8, seed: int = 42) ->
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("s", "x").alias("lo"), F.greatest("s", "x").alias("hi"), "s", "key", "c").join(texts, "key")
     tiles = dealt.select("band", "lo", "hi", "s", "key", "c", "text").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    with arrow_rows(docs.sparkSession, 4 * PAIRS):
+    with arrow_rows(spark, 4 * PAIRS):
         more = cut(tiles.mapInPandas(lambda parts: _tiles(parts, n, least), "a long, b long").distinct())
-    if not more.isEmpty():
-        groups = cut(connected_components(links.union(more), "a", "b"))
-
-    ids = prints.groupBy("key").agg(F.min("doc_id").alias("_id"))
-    named = ids.join(groups, F.col("key") == F.col("id"), "left").select(F.coalesce("component", "key").alias("c"), "_id")
-    return named.groupBy("c").agg(F.min("_id").alias("_id")).where("_id is not null").select("_id").distinct()
-
-
-def drop_similar(docs: DataFrame, n: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
-    """docs with one row of each group of kept_ids() left, the one of least doc_id; see keep_named()."""
-    return keep_named(docs, kept_ids(docs, n, least, seed))
+    return groups if more.isEmpty() else cut(connected_components(links.union(more), "a", "b"))
