@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
@@ -44,6 +44,32 @@ def join_spread(rows: DataFrame, small: DataFrame, key: str, count: str, share:
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 
+def least_hashes(rows: DataFrame, group: str, h: str, most: int) -> DataFrame:
+    """Of each group the `most` rows of least hash h (a long; null groups are left out).
+
+    Hashes are counted in 4,096 ranges first, so that only the rows of the ranges that hold the
+    least `most` of a group meet in its sort, however large the group is.
+    """
+    place = F.shiftrightunsigned(F.col(h).bitwiseXOR(F.lit(-(1 << 63))), 52)
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group, place.alias("_place")).agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(group).orderBy("_place")) - F.col("_c")
+    last = counts.withColumn("_before", before).where(F.col("_before") < most).groupBy(group).agg(F.max("_place").alias("_last"))
+    near = rows.join(last, group).where(place <= F.col("_last")).drop("_last")
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(h))).where(F.col("_n") <= most).drop("_n")
+
+
+def by_bytes(sizes: Iterable[int], most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of about `most` bytes, one item at least."""
+    at = end = size = 0
+    for n in sizes:
+        end, size = end + 1, size + n
+        if size >= most:
+            yield slice(at, end)
+            at, size = end, 0
+    if end > at:
+        yield slice(at, end)
+
+
 def uniform(*cols: Column) -> Column:
     """A number strictly between 0 and 1 that depends on the given columns alone (53 bits)."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + F.lit(0.5)) / F.lit(float(2**53))

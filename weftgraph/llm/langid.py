@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_row, table, without
+from weftgraph.llm.common import as_row, by_bytes, least_hashes, table, without
 
 #: Bytes that the network reads at a time; its states start from zero in each window.
 WINDOW = 64
@@ -200,15 +200,16 @@ def learn_floor(docs: DataFrame, most: float = 0.5, miss: float = 0.001) -> tupl
     return net, min(most, float(np.quantile(pooled.max(axis=0), miss, method="lower")))
 
 
-def _learn(docs: DataFrame, per_lang: int = 1500, windows: int = 4, epochs: int = 6, batch: int = 256, rate: float = 0.03, hidden: int = HIDDEN, seed: int = 1) -> tuple:
-    """The network, and its sample: pieces (pieces, WINDOW), their sizes, the document of each."""
+def _learn(docs: DataFrame, per_lang: int = 1500, windows: int = 4, epochs: int = 6, steps: int = 300, batch: int = 256, rate: float = 0.03, hidden: int = HIDDEN, seed: int = 1) -> tuple:
+    """The network, and its sample: pieces (pieces, WINDOW), their sizes, the document of each. A
+    small sample is read more than `epochs` times, until the weights have moved `steps` times."""
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.encode(F.col("text"), "utf-8").alias("raw")).where("lang is not null and length(raw) > 0")
     hashed = known.withColumn("h", F.xxhash64(F.lit(seed), "raw"))
     place = lambda i: F.pmod(F.xxhash64(F.lit("window"), "h", i), F.greatest(F.lit(1), F.length("raw") - WINDOW // 2)).cast("int") + 1
     # pieces are cut before rows are ranked, so that no whole text is shuffled
     cut_ = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("raw", place(F.lit(i)), F.lit(WINDOW)).alias("piece")) for i in range(1, windows + 1)])
-    ranked = hashed.select("lang", "h", cut_.alias("pieces")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    rows = ranked.where(F.col("n") <= per_lang).select("lang", "h", F.explode("pieces").alias("p")).select("lang", "h", "p.*").toPandas().sort_values(["lang", "h", "i"])
+    ranked = least_hashes(hashed.select("lang", "h", cut_.alias("pieces")), "lang", "h", per_lang)
+    rows = ranked.select("lang", "h", F.explode("pieces").alias("p")).select("lang", "h", "p.*").toPandas().sort_values(["lang", "h", "i"])
     if rows.empty:
         return None, None, None, None
     langs = sorted(rows["lang"].unique())
@@ -216,6 +217,7 @@ def _learn(docs: DataFrame, per_lang: int = 1500, windows: int = 4, epochs: int
     x = np.stack([np.frombuffer(bytes(p).ljust(WINDOW, b"\0"), np.uint8) for p in rows["piece"]])
     rng = np.random.default_rng(seed)
     net = ByteGru.fresh(langs, hidden, rng)
+    epochs = max(epochs, -(-steps * batch // len(x)))
     net.fit(x, size, rows["lang"].map(langs.index).to_numpy(), epochs, batch, rate, rng)
     return net, x, size, rows.groupby(["lang", "h"]).ngroup().to_numpy()
 
@@ -237,8 +239,9 @@ def predict(docs: DataFrame, net: ByteGru | None) -> DataFrame:
         own = ByteGru(*model.value)
         for texts in parts:
             pooled, votes = [], []
-            for at in range(0, len(texts), 256):
-                p, v = own.score([b"" if t is None else t.encode("utf-8", "replace") for t in texts.iloc[at : at + 256]])
+            raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
+            for some in by_bytes(map(len, raw)):
+                p, v = own.score(raw[some])
                 pooled.append(p)
                 votes.append(v)
             p = np.concatenate(pooled) if pooled else np.zeros((0, len(own.langs)))
@@ -258,6 +261,9 @@ def held_out(mod: int, rest: int):
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict() for all documents, learned from those whose crc32(doc_id) mod 5 is not 0. Null and
+    letterless texts are `und` with score 0; repeats repeat, ties go to the first language by name,
+    an empty table gives no rows, and further columns play no part."""
     docs = table(spark, sf_dir, "documents")
     net = learn(docs.where(~held_out(5, 0)).select("text", "lang"))
     return predict(docs.select("doc_id", "text"), net).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "agreement")

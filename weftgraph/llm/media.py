@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table, without
+from weftgraph.llm.common import as_row, table
 
 _TOKEN = re.compile(rb"\s*(?:#[^\n]*\n\s*)*(\d+)")
 
@@ -30,6 +30,10 @@ def _netpbm(data: bytes) -> np.ndarray:
     width, height, most = [*fields, 1][:3]
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = width * height * depth
+    if not n:
+        raise ValueError("an image without samples")
+    if n > 8 * len(data):
+        raise ValueError("truncated Netpbm image")
     if kind == b"P1":  # digits may touch each other
         bits = np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:]), np.uint8) - 48
         return ((1 - bits[:n]) * 255).astype(np.uint8).reshape(height, width, 1)
@@ -109,7 +113,7 @@ def media_tiles(media: DataFrame, column: str = "media", side: int = 32) -> Data
     uint8), dhash (hex) and error, one image at a time.
 
     Null and broken images give nulls and say why in error. Input columns with these names are
-    replaced.
+    replaced, all others stay, whatever their names; repeats repeat; an empty table gives no rows.
     """
     names = ("height", "width", "channels", "tile", "dhash", "error")
 
@@ -122,13 +126,12 @@ def media_tiles(media: DataFrame, column: str = "media", side: int = 32) -> Data
                 image = decode(bytes(data))
                 small = np.round(area_resize(image, side, side)).astype(np.uint8)
                 rows.append((*image.shape, npy(small), difference_hash(image), None))
-            except (ValueError, IndexError) as e:
+            except (ValueError, IndexError, OverflowError) as e:
                 rows.append((None, None, None, None, None, str(e)))
         return pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in names[:3]})
 
     tile = F.pandas_udf(each, "height int, width int, channels int, tile binary, dhash string, error string")
-    d = without(media, *names).withColumn("_tile", tile(F.col(column)))
-    return d.select(*[c for c in d.columns if c != "_tile"], "_tile.*")
+    return media.select(as_row(media, *names), tile(F.col(column)).alias("_tile")).select("_row.*", "_tile.*")
 
 
 WIDTH = 64
@@ -136,7 +139,7 @@ WIDTH = 64
 
 def text_images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts as grey maps 64 samples wide, and what is read back from the stored bytes."""
-    for pdf in batches:
+    for pdf in (some.iloc[at : at + 512] for some in batches for at in range(0, len(some), 512)):
         rows = []
         for text in pdf["text"]:
             data = b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -157,13 +160,16 @@ def texts_as_media(docs: DataFrame) -> DataFrame:
 
     The payload is the text's UTF-8 with zero bytes up to a positive multiple of 64 (null: empty),
     stored as one 8-bit sample each. What is reported is computed from the stored bytes after
-    decoding them. Equal texts give equal values; repeated rows repeat.
+    decoding them. Equal texts give equal values; repeated rows repeat; an empty table gives no
+    rows; columns other than doc_id and text play no part.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, tile binary, dhash string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(text_images, schema)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of texts_as_media() of all documents; nulls, empty texts, repeats, an empty table and
+    further columns as stated there; rows don't depend on each other, so there are no ties."""
     out = texts_as_media(table(spark, sf_dir, "documents"))
     feature = F.concat(F.col("dhash"), F.lit(":"), F.substring(F.sha2("tile", 256), 1, 16))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import n_words, table, without
+from weftgraph.plans.lineage import cut
 
 #: Documents that one task ranks at a time, on average.
 BLOCK = 8192
@@ -96,7 +97,8 @@ def mix_sources(
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as copies says, with copy_no from 1 (extra column)."""
+    """The mix itself: each row as often as copies says, with copy_no from 1 (extra column; one of that
+    name is replaced). Rows with null copies or none go; an empty table gives no rows."""
     out = without(mixed, "copy_no")
     return out.where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
@@ -106,8 +108,10 @@ LONG = 2000
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_sources() of all documents, whose words are counted once. Nulls, empty texts, ties,
+    repeats, an empty table and further columns as stated there."""
     docs = table(spark, sf_dir, "documents")
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("_n"))
+    d = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("_n")))
     out = mix_sources(d, F.col("_n"), favour=F.least(F.lit(1.0), F.lit(float(LONG)) / F.greatest(F.col("_n"), F.lit(1))))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 

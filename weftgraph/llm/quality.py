@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table, without
+from weftgraph.llm.common import as_row, by_bytes, table
 from weftgraph.llm.langid import held_out
 
 #: Weights are addressed by this many bits of an n-gram's hash.
@@ -115,20 +115,29 @@ def _sparse_rows(parts: Iterator[pd.DataFrame], orders: int) -> Iterator[pd.Data
         for text in pdf["text"]:
             places, _ = hashed_ngrams([_raw(text)], orders)
             at, counts = np.unique(places, return_counts=True)
-            rows.append((at, counts * (SCALE / max(1, len(places)))))
-        yield pd.DataFrame({"h": pdf["h"], "label": pdf["label"], "at": [r[0] for r in rows], "value": [r[1] for r in rows]})
+            rows.append((at.astype(np.int32), (counts * (SCALE / max(1, len(places)))).astype(np.float32)))
+        yield pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "label": pdf["label"], "at": [r[0] for r in rows], "value": [r[1] for r in rows]})
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000, orders: int = 2, epochs: int = 4, seed: int = 3) -> np.ndarray:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000, entries: int = 1 << 25, orders: int = 2, epochs: int = 4, seed: int = 3) -> np.ndarray:
     """Weights (2**HASH_BITS and the bias) from docs (doc_id, text) and labels (doc_id, 0 or 1).
 
-    The sample is bounded: the `sample` labelled rows of least hash, whole texts. Features are made
-    in the tasks. Without labelled rows all weights are 0.
+    The sample is bounded: the `sample` labelled rows of least hash, whole texts, as long as they
+    have no more than `entries` n-grams (a text counts for its bytes, or all places if it has more).
+    A text and label that come twice for a doc_id count once. Features are made in the tasks; the
+    driver gets 8 bytes an entry. Null ids and labels other than 0 and 1 don't count. Without
+    labelled rows all weights are 0.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "label")).orderBy("h", "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "label", "text")
-    made = rows.mapInPandas(lambda parts: _sparse_rows(parts, orders), "h long, label int, at array<long>, value array<double>").toPandas().sort_values(["h", "label"])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("h", "label", F.xxhash64("text").alias("t"), "text")
+    size = F.least(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1 << HASH_BITS)) * orders
+    sizes = rows.select("h", "label", "t", size.alias("size")).distinct().orderBy("h", "label", "t").limit(sample).toPandas()
+    within = sizes[sizes["size"].cumsum() <= entries]
+    taken = docs.sparkSession.createDataFrame([tuple(map(int, r)) for r in within[["h", "label", "t"]].itertuples(index=False)], "h long, label int, t long")
+    rows = rows.join(F.broadcast(taken), ["h", "label", "t"]).dropDuplicates(["h", "label", "t"])  # `sample` rows at most
+    made = rows.mapInPandas(lambda parts: _sparse_rows(parts, orders), "h long, t long, label int, at array<int>, value array<float>").toPandas().sort_values(["h", "label", "t"])
     model = Ftrl(1 << HASH_BITS)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -149,20 +158,23 @@ def score_quality(docs: DataFrame, weights: np.ndarray, orders: int = 2) -> Data
         w, bias = model.value[:-1], float(model.value[-1])
         for texts in parts:
             found = []
-            for at in range(0, len(texts), 64):
-                raw = [_raw(t) for t in texts.iloc[at : at + 64]]
+            all_ = [_raw(t) for t in texts]
+            for some in by_bytes(map(len, all_), 1 << 18):
+                raw = all_[some]
                 places, owner = hashed_ngrams(raw, orders)
                 sums, n = np.bincount(owner, w[places], len(raw)), np.bincount(owner, minlength=len(raw))
                 found.append(1 / (1 + np.exp(-np.clip(bias + SCALE * sums / np.maximum(n, 1), -35, 35))))
             yield pd.Series(np.concatenate(found) if found else [], dtype="float64")
 
-    kept = without(docs, "score", "predicted")
     udf = F.pandas_udf(score, "double")
-    d = docs.select(*[F.col(f"`{c}`") for c in kept.columns], udf(F.col("text").cast("string")).alias("score"))
-    return d.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    d = docs.select(as_row(docs, "score", "predicted"), udf(F.col("text").cast("string")).alias("score"))
+    return d.select("_row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_quality() of all documents, fitted to labels of rows whose crc32(doc_id) mod 3 is not 1.
+    Null and empty texts score the bias; repeats repeat, a score of 0.5 is predicted as 1, an empty
+    table gives no rows, and further columns play no part."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     weights = fit_quality(docs, labels.where(~held_out(3, 1)))
     return score_quality(docs, weights).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")

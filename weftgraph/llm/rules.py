@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_row, table, without
+from weftgraph.llm.common import as_row, table
+from weftgraph.plans.lineage import stored
 
 _SPACES = " \t\n\r\x0b\x0c"
 #: What a code point counts as, in bits: white space 1, symbol 2, upper case 4, letter 8.
@@ -55,7 +56,8 @@ def _in_repeats(at: np.ndarray) -> int:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with the columns MEASURES (long)."""
+    """docs with the columns MEASURES (long) of the whole text; null and empty texts have zeros,
+    repeats repeat, columns of these names are replaced, and an empty table gives no rows."""
 
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
@@ -120,7 +122,12 @@ def posterior(patterns: np.ndarray, share: float, table_: np.ndarray) -> np.ndar
 
 
 def judge(docs: DataFrame, threshold: float = 0.5, rules: dict[str, Column] | None = None) -> DataFrame:
-    """docs with the measures, base_failed, the posterior quality probability and kept.
+    """judge_measured() of measured(docs); the texts are measured twice, as they aren't written."""
+    return judge_measured(measured(docs), threshold, rules)
+
+
+def judge_measured(docs: DataFrame, threshold: float = 0.5, rules: dict[str, Column] | None = None) -> DataFrame:
+    """docs, which have the MEASURES, with base_failed, the posterior quality probability and kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows.
     kept: not base_failed and a posterior of at least `threshold`. Votes of all texts are counted by
@@ -130,9 +137,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, rules: dict[str, Column] | No
     """
     rules = rules or votes()
     names = [f"_v_{r}" for r in rules]
-    d = measured(without(docs, "base_failed", "posterior", "kept"))
-    row = F.struct(*[F.col(f"`{c}`") for c in d.columns])
-    d = d.select(row.alias("_row"), *[v.alias(n) for n, v in zip(names, rules.values(), strict=True)])
+    d = docs.select(as_row(docs, "base_failed", "posterior", "kept"), *[v.alias(n) for n, v in zip(names, rules.values(), strict=True)])
     code = sum(((F.col(n) + 1) * 3**i for i, n in enumerate(names)), F.lit(0)).cast("long")
     d = d.select("_row", code.alias("_code"))
     seen = d.groupBy("_code").agg(F.count("*").alias("n")).toPandas()
@@ -146,5 +151,8 @@ def judge(docs: DataFrame, threshold: float = 0.5, rules: dict[str, Column] | No
 
 
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """judge_measured() of all documents, measured once. A null or empty text has no words and so
+    fails; ties can't arise, repeats repeat, an empty table gives no rows, and further columns play
+    no part."""
+    out = judge_measured(stored(measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")))
     return out.select("doc_id", *BASE, "base_failed", "kept", "posterior")

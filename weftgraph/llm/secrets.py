@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table, without
+from weftgraph.llm.common import as_row, least_hashes, table
 from weftgraph.plans.lineage import cut
 
 #: A candidate is a run of at least 16 characters of which keys and tokens are made.
@@ -20,18 +20,24 @@ NEAR = 60
 #: Names that credentials are assigned to, and parts of paths that hold examples (fixed values).
 CREDENTIAL = r"(?i)(token|secret|passwd|password|pwd|api_?-?key|apikey|access_?-?key|private_?-?key|credential|auth|bearer)"
 EXAMPLE = r"(?i)(test|example|sample|fixture|mock|doc)"
-FEATURES = ("length", "transitions", "vowel_steps", "digits", "uppers", "symbols", "distinct", "hex", "coverage", "path_example", "credential", "assigned", "quoted", "at_sign", "line_words")
+#: What the forest sees. What label_findings() looks at (entropy, names of credentials, assignment)
+#: isn't among it.
+FEATURES = ("length", "transitions", "vowel_steps", "digits", "uppers", "symbols", "hex", "coverage", "path_example", "near_coverage", "quoted", "at_sign", "line_words")
+
+
+def _key(text: Column, path: Column) -> Column:
+    return F.md5(F.concat(F.coalesce(path, F.lit("")), F.lit("\n"), text))
 
 
 def candidates(docs: DataFrame, path: Column) -> DataFrame:
     """(key, doc_id, path, pos, start, value, before, after) of every candidate in every whole text.
 
-    key is the text's MD5, so that copies share it; start counts characters from 0. The text is cut
+    key is the MD5 of the text and the path, so that copies share it; start counts characters from 0. The text is cut
     at its candidates; an offset is the sum of the pieces and candidates up to it.
     """
     text = F.col("text").cast("string")
     d = docs.select(F.col("doc_id"), path.cast("string").alias("path"), text.alias("text")).where(F.col("text").rlike(CANDIDATE))
-    d = d.select("doc_id", "path", F.md5("text").alias("key"), F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split("text", CANDIDATE).alias("pieces"))
+    d = d.select("doc_id", "path", _key(F.col("text"), F.col("path")).alias("key"), F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split("text", CANDIDATE).alias("pieces"))
     each = F.transform("values", lambda v, i: F.struct(v.alias("value"), F.right(F.get("pieces", i), F.lit(NEAR)).alias("before"), F.left(F.get("pieces", i + 1), F.lit(NEAR)).alias("after"), F.length(F.get("pieces", i)).alias("gap")))
     d = d.select("doc_id", "path", "key", "row", F.posexplode(each).alias("pos", "c")).select("doc_id", "path", "key", "row", "pos", "c.*")
     so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -71,8 +77,8 @@ def features(found: DataFrame, marks: str) -> DataFrame:
     # letters that follow each other as in speech: a vowel after a consonant or the other way round
     steps = F.regexp_count(v, F.lit(r"(?i)[aeiouy](?=[b-df-hj-np-tv-xz])")) + F.regexp_count(v, F.lit(r"(?i)[b-df-hj-np-tv-xz](?=[aeiouy])"))
     table_ = F.split(F.lit(marks), "")
-    grams = _trigrams(v)
-    covered = F.size(F.filter(grams, lambda t: F.element_at(table_, (_place(t) + 1).cast("int")) == "1"))
+    known = lambda grams: F.size(F.filter(grams, lambda t: F.element_at(table_, (_place(t) + 1).cast("int")) == "1"))
+    near = _trigrams(F.concat_ws(" ", "before", "after"))
     count = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     yes = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     line = F.substring_index("before", "\n", -1)
@@ -83,12 +89,10 @@ def features(found: DataFrame, marks: str) -> DataFrame:
         "digits": count("[0-9]"),
         "uppers": count("[A-Z]"),
         "symbols": count("[^A-Za-z0-9]"),
-        "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "hex": yes(v.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        "coverage": covered / F.greatest(n - 2, F.lit(1.0)),
+        "coverage": known(_trigrams(v)) / F.greatest(n - 2, F.lit(1.0)),
         "path_example": yes(F.col("path").rlike(EXAMPLE)),
-        "credential": yes(F.substring("before", -30, 30).rlike(CREDENTIAL)),
-        "assigned": yes(F.col("before").rlike(r"(=|:|=>)\s*[\"']?$")),
+        "near_coverage": known(near) / F.greatest(F.size(near), F.lit(1)),
         "quoted": yes(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
         "at_sign": yes(F.col("after").startswith("@") | F.col("before").endswith("@") | F.col("before").endswith(".")),
         "line_words": F.size(F.split(F.trim(line), r"\s+")).cast("double"),
@@ -96,14 +100,22 @@ def features(found: DataFrame, marks: str) -> DataFrame:
     return found.select("*", *[made[f].cast("double").alias(f) for f in FEATURES])
 
 
-def label_findings(made: DataFrame) -> DataFrame:
-    """made with label: 1 for a random-looking value assigned to the name of a credential, 0 for
-    plain words and plain numbers, null for what these rules can't tell. A stand-in for findings
-    that people have labelled; learn() takes any table with FEATURES and label."""
-    random = (F.col("digits") > 0) & (F.col("digits") < 1) & (F.col("distinct") * F.col("length") >= 8)
-    plain = ((F.col("digits") == 0) & (F.col("vowel_steps") > 0.3)) | (F.col("digits") == 1)
-    named = (F.col("credential") == 1) & (F.col("assigned") == 1)
-    return made.withColumn("label", F.when(named & random, 1.0).when(plain & ~named, 0.0))
+def entropy(value: Column) -> Column:
+    """Shannon entropy of a string's characters, in bits."""
+    letters = F.split(value, "")
+    share = lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters)
+    return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
+
+
+def label_findings(found: DataFrame) -> DataFrame:
+    """found with label: 1 for a value of high entropy and more than one kind of characters that is
+    assigned to the name of a credential, 0 for values of one kind of characters that aren't, null
+    for what these rules can't tell. A stand-in for findings that people have labelled, which
+    scan_secrets() takes instead; none of what it looks at is a feature of the forest."""
+    named = F.col("before").rlike(CREDENTIAL + r"[\w-]*\s*(=|:|=>)\s*[\"']?$")
+    plain = F.col("value").rlike("^([A-Za-z]+|[0-9]+)$")
+    label = F.when(named & ~plain & (entropy(F.col("value")) >= 3), 1.0).when(plain & ~named, 0.0)
+    return found.withColumn("label", label)
 
 
 @dataclass
@@ -114,10 +126,12 @@ class SecretModel:
 
 
 def learn(labelled: DataFrame, marks: str, most: int = 3000, trees: int = 20, depth: int = 6, seed: int = 5) -> SecretModel:
-    """A random forest from at most `most` labelled findings of each label (those of least hash)."""
-    rows = labelled.where("label is not null").select("label", F.xxhash64("value", "before", "after").alias("h"), *FEATURES).dropDuplicates(["h"])
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= most)
-    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(ranked.drop("n", "h")).select("label", "features").cache()
+    """A random forest from labelled findings (value, before, after, path, label): the `most` of
+    least hash of each label, each text around a value once. Rows without a label don't count; with
+    findings of one label every score is that label, and with none 0."""
+    rows = labelled.where("label is not null").select(F.col("label").cast("double").alias("label"), F.xxhash64("value", "before", "after").alias("h"), "value", "before", "after", "path").dropDuplicates(["h"])
+    ranked = features(cut(least_hashes(rows, "label", "h", most)), marks)
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(ranked).orderBy("h").select("label", "features").cache()
     kinds = [r["label"] for r in train.select("label").distinct().collect()]
     model = None
     if len(kinds) == 2:
@@ -134,36 +148,43 @@ def score(made: DataFrame, model: SecretModel) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, path: Column | None = None, labelled: DataFrame | None = None) -> DataFrame:
-    """Findings of all whole texts: key (MD5 of the text), doc_id, path, start, value, before, after,
-    the FEATURES, and score, the forest's probability that the value is a secret.
-
-    path tells where a text comes from (default: none). labelled: findings with FEATURES and label
-    (0 or 1); without them label_findings() labels what it can of docs. Null and empty texts have no
-    candidates; an empty table gives no rows; repeated rows repeat their findings.
+    """Findings of all whole texts: key (MD5 of path and text), doc_id, path, pos, start, value,
+    before, after, the FEATURES, and score, the forest's probability that the value is a secret.
+
+    path tells where a text comes from (default: none). labelled: findings (value, before, after,
+    path) with a label of 0 or 1; without them label_findings() labels what it can of docs. Null and
+    empty texts have no candidates; an empty table gives no rows; repeated rows repeat their
+    findings, and equal findings get equal scores. Columns of docs other than doc_id and text play
+    no part.
     """
-    found = cut(candidates(docs, F.lit("") if path is None else path))  # read three times below
+    found = cut(candidates(docs, F.lit("") if path is None else path))  # read several times below
     marks = dictionary(found)
-    made = features(found, marks)
-    return score(made, learn(label_findings(made) if labelled is None else labelled, marks))
+    return score(features(found, marks), learn(label_findings(found) if labelled is None else labelled, marks))
 
 
-def redact_secrets(docs: DataFrame, path: Column | None = None, threshold: float = 0.5, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret in text replaced by `mark`; all rows, columns and other text stay.
+def redact_secrets(docs: DataFrame, path: Column | None = None, threshold: float = 0.5, mark: str = "[secret]", labelled: DataFrame | None = None) -> DataFrame:
+    """docs with every finding that scores at least `threshold` replaced by `mark` where it stands;
+    all rows, columns and other text stay.
 
-    Secrets are gathered by the text's MD5, so rows without a doc_id and copies are served alike.
+    Findings are gathered by path and text, so rows without a doc_id and copies are served alike.
+    Null texts stay null; texts without candidates meet no join. An empty table gives no rows.
     """
-    names = docs.columns
-    values = F.reverse(F.array_sort(F.transform(F.collect_set("value"), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
-    found = scan_secrets(docs, path).where(F.col("score") >= threshold).groupBy("key").agg(values.alias("_values")).withColumnRenamed("key", "_key")
-    row = F.struct(*[F.col(f"`{c}`") for c in without(docs, "text").columns])
+    names, own = docs.columns, F.lit("") if path is None else path.cast("string")
+    place = F.struct(F.col("start").cast("int").alias("start"), F.length("value").alias("n"))
+    places = F.sort_array(F.collect_set(place), asc=False)
+    found = scan_secrets(docs, path, labelled).where(F.col("score") >= threshold).groupBy("key").agg(places.alias("_places")).withColumnRenamed("key", "_key")
     text = F.col("text").cast("string")
-    d = docs.select(row.alias("_row"), text.alias("_text"), F.when(text.rlike(CANDIDATE), F.md5(text)).alias("_key"))
-    d = d.join(found, "_key", "left")
-    clean = F.when(F.col("_values").isNull(), F.col("_text")).otherwise(F.aggregate("_values", F.col("_text"), lambda t, v: F.replace(t, v["s"], F.lit(mark))))
-    return d.select("_row.*", clean.alias("text")).select(*[F.col(f"`{c}`") for c in names])
+    d = docs.select(as_row(docs, "text"), text.alias("_text"), own.alias("_path"), F.coalesce(text.rlike(CANDIDATE), F.lit(False)).alias("_open"))
+    some = d.where("_open").withColumn("_key", _key(F.col("_text"), F.col("_path"))).join(found, "_key", "left")
+    put = lambda t, p: F.concat(F.substring(t, F.lit(1), p["start"]), F.lit(mark), F.substring(t, p["start"] + p["n"] + 1, F.length(t)))
+    clean = F.when(F.col("_places").isNull(), F.col("_text")).otherwise(F.aggregate("_places", F.col("_text"), put))
+    both = some.select("_row", clean.alias("_text")).union(d.where("not _open").select("_row", "_text"))
+    return both.select("_row.*", F.col("_text").alias("text")).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_secrets() of all documents, their source taken for the path; nulls, empty texts, ties,
+    repeats, an empty table and further columns as stated there."""
     docs = table(spark, sf_dir, "documents")
     out = scan_secrets(docs, F.col("source"))
     return out.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("secret"))

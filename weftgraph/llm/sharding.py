@@ -138,12 +138,16 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = 7, key:
 
 
 def write_shards(sharded: DataFrame, path: str, parts: int = 1) -> None:
-    """The shards as folders shard=J of Parquet files, `parts` slot ranges each, sorted by slot."""
+    """The shards as folders shard=J of Parquet files, `parts` slot ranges each, sorted by slot. Null
+    texts and repeated rows are written as they are; an empty table writes no shard."""
     piece = F.pmod(F.xxhash64("slot"), F.lit(parts))
     sharded.repartition(F.col("shard"), piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shuffle_into_shards() of all documents by the law `rows`. A null text has size 8; repeats get
+    slots of their own, ties are broken by the rows' hashes, an empty table gives no rows, and
+    further columns play no part."""
     docs = table(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     d = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
