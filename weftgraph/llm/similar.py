@@ -189,24 +189,18 @@ def similar_groups(keyed_: DataFrame, prints_: DataFrame, candidates: DataFrame,
 
     Texts link when the sets of their n-word shingles have a Jaccard similarity of at least `least`,
     computed on whole texts; groups are what links connect. Compared are the candidates (a, b) and
-    all pairs that meet in one of BANDS MinHash buckets and aren't in one group by then: first each
-    with its bucket's least member, then every other pair whose sizes allow it, in tiles of at most
+    all pairs that meet in one of BANDS MinHash buckets: first each with its bucket's least member,
+    then every pair that isn't in one group by then and whose sizes allow it, in tiles of at most
     about 2 * TILE texts, so that no row is made for a pair.
     """
     spark = keyed_.sparkSession
     each = prints_.select("key", F.explode("bands").alias("band"))
     heads = each.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head < last").select("band", "head")
     members = cut(each.join(heads, "band").distinct())
-    candidates = cut(candidates.distinct())
-    needed = members.select("key").union(candidates.select("a")).union(candidates.select("b")).distinct()
+    pairs = cut(candidates.union(members.where("key > head").select("key", "head")).distinct())
+    needed = members.select("key").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = cut(keyed_.select("key", "text").dropDuplicates(["key"]).join(needed, "key", "left_semi"))
-    links = _similar(candidates, texts, n, least)
-    known = cut(connected_components(links, "a", "b"))
-    group = lambda side: known.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
-    star = members.where("key > head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    star = star.join(group("a"), "a", "left").join(group("b"), "b", "left").where("not coalesce(c_a, a) <=> coalesce(c_b, b)").select("a", "b")
-    links = links.union(_similar(star, texts, n, least))
-    groups = cut(connected_components(links, "a", "b"))
+    groups = cut(connected_components(_similar(pairs, texts, n, least), "a", "b"))
 
     # what the first members have not settled
     own = members.join(groups, F.col("key") == F.col("id"), "left").select("band", "key", "head", F.coalesce("component", "key").alias("c"))
@@ -220,4 +214,4 @@ def similar_groups(keyed_: DataFrame, prints_: DataFrame, candidates: DataFrame,
     tiles = dealt.select("band", "lo", "hi", "s", "key", "c", "text").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     with arrow_rows(spark, 4 * PAIRS):
         more = cut(tiles.mapInPandas(lambda parts: _tiles(parts, n, least), "a long, b long").distinct())
-    return groups if more.isEmpty() else cut(connected_components(links.union(more), "a", "b"))
+    return groups if more.isEmpty() else cut(connected_components(groups.where("id > component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b"))
