@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from tests.conftest import same_rows
-from weftgraph.llm import bpe, langid, media, mixing, mixlm, quality, rules, sharding, simhash
+from weftgraph.llm import bpe, langid, media, mixing, mixlm, quality, rules, secrets, sharding, simhash
 from weftgraph.llm.registry import QUERIES, SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,29 +138,166 @@ def test_lm_base_and_gain(spark, sf_dir, texts):
     assert (rows["score"] < 0).all() and rows["bits_per_byte"].mean() < 4
 
 
-def test_lm_probabilities_of_all_symbols_sum_to_one():
-    """Whatever came before, the next byte's probabilities add up."""
-    texts = [b"the cat sat on the mat", b"the dog sat on the log"] * 5
+@pytest.fixture(scope="module")
+def model():
+    texts = [b"the cat sat on the mat", b"the dog sat on the log", b"a dog and a cat"] * 4
     code = mixlm.Code(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256).astype(float))
-    tables = [np.zeros(mixlm.SYMBOLS << b, np.uint8) + 31 for b in mixlm.CONTEXTS]
-    for pdf in mixlm._count(iter([pd.DataFrame({"text": [t.decode() for t in texts], "contexts": True})]), code.symbol):
+    tables = [np.zeros(mixlm.SYMBOLS << b, np.uint8) for b in mixlm.CONTEXTS]
+    for pdf in mixlm._count(iter([pd.DataFrame({"text": [t.decode() for t in texts]})]), code.symbol):
         for k, part, cells, n in zip(pdf["k"], pdf["key"], pdf["cells"], pdf["counts"], strict=True):
             if k > 0:
                 counts = np.zeros(mixlm.SYMBOLS << mixlm.SLICE)
                 counts[cells] = n
                 tables[k - 1][part * len(counts) : (part + 1) * len(counts)] = mixlm.pack(counts.reshape(-1, mixlm.SYMBOLS), code).reshape(-1)
-    model = mixlm.MixModel(code, tables, np.full((len(mixlm.CONTEXTS), mixlm.GATES), 0.4, np.float32))
+    found = mixlm.MixModel.fresh(code, tables)
+    found.teach(texts, 2)
+    return found
+
+
+def test_lm_probabilities_of_all_symbols_sum_to_one(model):
+    """Whatever came before, the next byte's probabilities add up."""
     ends = [bytes([b]) for b in range(1, 256) if b not in b" \t\n\r\x0b\x0c"]
-    logs = []
-    for last in (*ends, b" x"):
-        buffer = mixlm.Buffer([b"the ca" + last])
-        logs.append(model.log10(buffer)[buffer.starts[0] + 6])
-    done = mixlm.Buffer([b"the ca"])
-    total = sum(10.0**x for x in logs) + 10.0 ** model.log10(done)[done.starts[0] + 6]
-    escaped = 256 - len(code.symbol[code.symbol != mixlm.ESC])
+    total = sum(10.0 ** model.log10(mixlm.pieces(b"the ca" + last))[0][6] for last in (*ends, b" x", b""))
+    escaped = int((model.code.symbol == mixlm.ESC).sum())
     assert 0.9 < total <= 1.0 + 1e-6 and escaped > 100  # white space that can't follow keeps the rest
 
 
+def plain_log10(model, text, taught):
+    """A text's log10 probability, bit by bit and with no arrays of bits."""
+    code, buffer = model.code, mixlm.Buffer(mixlm.pieces(text))
+    assert len(buffer.sizes) == 1 and buffer.sizes[0] <= mixlm.LANE
+    contexts = [c.tolist() for c in buffer.contexts(np.arange(mixlm.LEAD, len(buffer.bytes)))]
+    own_hash = [(buffer.hashed(n)[mixlm.LEAD :] >> np.uint64(58 if n == 1 else 40)).tolist() for n in mixlm.OWN]
+    weights, own, waiting, total = model.start.astype(float).copy(), [Counter(), Counter()], [], 0.0
+    done = 0
+    for i, byte in enumerate(text + b"\n"):
+        symbol = code.symbol[byte]
+        total -= (symbol == mixlm.ESC) * 8 * math.log10(2)
+        for step in range(code.start[symbol], code.start[symbol] + code.length[symbol]):
+            node, bit = int(code.node[step]), int(code.bit[step])
+            packed = [int(t[c[i] * mixlm.SYMBOLS + node]) for t, c in zip(model.tables, contexts)]
+            if taught:
+                packed = [int(mixlm.LESS[((bit + 1) << 8) | p]) for p in packed]
+            gate = int(mixlm.LEVEL[packed[-1]]) * 4 + int(mixlm.LEVEL[packed[-2]])
+            slot = [(h[i] * mixlm.SYMBOLS + node) & (mixlm.SLOTS - 1) for h in own_hash]
+            x = [sum(float(w[gate]) * float(mixlm.STRETCH[p]) for w, p in zip(model.weights, packed)), *[o[s] for o, s in zip(own, slot)]]
+            z = max(-16, min(16, sum(w * v for w, v in zip(weights[gate], x))))
+            total -= math.log10(1 + math.exp(z if not bit else -z))
+            waiting.append((gate, x, bit - 1 / (1 + math.exp(-z)), slot, (2 * bit - 1) * mixlm.FULL))
+            done += 1
+            if done % mixlm.BLOCK == 0:
+                for g, x, wrong, _, _ in waiting:
+                    weights[g] += mixlm.RATE * wrong * np.array(x)
+                for k, o in enumerate(own):
+                    for _, x, _, slot, goal in waiting:
+                        o[slot[k]] = x[1 + k] + (goal - x[1 + k]) * mixlm.PACE
+                waiting = []
+    return total
+
+
+@pytest.mark.parametrize("taught", [False, True])
+def test_lm_mixture_bit_by_bit(model, taught):
+    some = [b"the cat sat on the dog and the cat", b"zebra! zebra! the log", b""]
+    got = model.log10([p for t in some for p in mixlm.pieces(t)], np.full(3, taught))
+    for t, g in zip(some, got):
+        assert math.isclose(g.sum(), plain_log10(model, t, taught), rel_tol=1e-3)
+
+
+def test_lm_lanes_pieces_and_company_change_nothing(model, monkeypatch):
+    """A text scores alike alone and among others; a long one is cut into lanes and pieces."""
+    long = b" ".join([b"the cat sat on the mat and zebra"] * 300)
+    one = model.log10(mixlm.pieces(long))[0]
+    among = model.log10([*mixlm.pieces(b"a dog"), *mixlm.pieces(long), *mixlm.pieces(b"")])[1]
+    assert np.allclose(one, among, atol=1e-4)
+    monkeypatch.setattr(mixlm, "PIECE", 3000)
+    parts = mixlm.pieces(long)
+    assert len(parts) > 2 and b"".join(body for _, body in parts) == long + b"\n"
+    words = np.concatenate([mixlm.Buffer([p]).words()[0] for p in parts])
+    monkeypatch.setattr(mixlm, "PIECE", 1 << 20)
+    assert (words == mixlm.Buffer(mixlm.pieces(long)).words()[0]).all()
+
+
+def test_lm_null_and_repeated_ids_and_nothing_to_learn(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"word{i} and some more words") for i in range(30)] + [(1, "and some")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = mixlm.lm_scores(docs, F.lit(True), sample=4).toPandas()
+    assert len(out) == 35 and (out["train_tokens"] == 30 * 6 + 5 * 3).all() and (out["n_known"] == out["n_tokens"]).all()
+    none = mixlm.lm_scores(docs, F.lit(False)).toPandas()
+    assert (none["base_score"] == 0).all() and (none["train_tokens"] == 0).all() and (none["score"] < 0).all()
+
+
+def test_secret_candidates_and_features(spark, sf_dir):
+    """Candidates, offsets and features by plain Python."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = 'x token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b" y\nPASS: AbCdEfGhIjKlMnOpQr12 é end antidisestablishment@'
+    docs = docs.select("doc_id", "text", "source").union(spark.createDataFrame([(-1, text, "tests/a"), (-2, None, None)], "doc_id long, text string, source string"))
+    found = secrets.candidates(docs, F.col("source"))
+    marks = secrets.dictionary(found)
+    got = {(r["doc_id"], r["start"]): r for r in secrets.features(found, marks).collect()}
+    want = {(i, m.start()): (m.group(), t, s) for i, t, s in docs.toPandas().itertuples(index=False) if t for m in re.finditer(secrets.CANDIDATE, t)}
+    assert set(got) == set(want)
+    grams = lambda v: [v[i : i + 3].lower() for i in range(len(v) - 2) if re.fullmatch("[A-Za-z]{3}", v[i : i + 3])]
+    place = lambda g: (ord(g[0]) - 97) * 676 + (ord(g[1]) - 97) * 26 + ord(g[2]) - 97
+    known = lambda gs: sum(marks[place(g)] == "1" for g in gs)
+    for key, (v, t, source) in want.items():
+        r = got[key]
+        kinds = re.sub(r"(.)\1+", r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "+" for c in v))
+        share = lambda pattern: len(re.findall(pattern, v)) / len(v)
+        cut = [m.span() for m in re.finditer(secrets.CANDIDATE, t)]
+        at = cut.index((key[1], key[1] + len(v)))
+        before = t[cut[at - 1][1] if at else 0 : key[1]][-60:]
+        after = t[cut[at][1] : cut[at + 1][0] if at + 1 < len(cut) else len(t)][:60]
+        near = grams(f"{before} {after}")
+        plain = {
+            "length": len(v), "transitions": (len(kinds) - 1) / (len(v) - 1), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "symbols": share("[^A-Za-z0-9]"),
+            "hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), "coverage": known(grams(v)) / max(1, len(v) - 2), "near_coverage": known(near) / max(1, len(near)),
+            "path_example": bool(re.search(secrets.EXAMPLE, source or "")), "quoted": before[-1:] in tuple("\"'`") and after[:1] in tuple("\"'`"),
+            "at_sign": after.startswith("@") or before.endswith(("@", ".")), "line_words": len(re.split(r"\s+", before.split("\n")[-1].strip(" "))),
+        }
+        assert (r["value"], r["before"], r["after"]) == (v, before, after)
+        assert {k: round(r[k], 9) for k in plain} == {k: round(float(x), 9) for k, x in plain.items()}
+
+
+def test_sharding_query_is_whole_and_balanced(spark, sf_dir, texts):
+    rows = QUERIES["op7_shard"](spark, sf_dir).toPandas()
+    by = dict(zip(texts["doc_id"], texts["text"]))
+    assert sorted(rows["doc_id"]) == sorted(by)
+    for r in rows.itertuples():
+        data = (by[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(data) + 8, zlib.crc32(data))
+    sizes = rows.groupby("shard")["slot"].agg(["size", "min", "max", "nunique"])
+    assert set(rows["shard"]) == set(range(24)) and sizes["size"].max() - sizes["size"].min() <= 1
+    assert (sizes["min"] == 0).all() and (sizes["max"] + 1 == sizes["size"]).all() and (sizes["nunique"] == sizes["size"]).all()
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(0)
+    model, z, n, size = quality.Ftrl(8), [0.0] * 9, [0.0] * 9, 8
+    weight = lambda i: -math.copysign(max(abs(z[i]) - (0 if i == size else model.l1), 0), z[i]) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+    for _ in range(40):
+        at, label = np.sort(rng.choice(8, 3, replace=False)), int(rng.integers(2))
+        value = rng.random(3)
+        row = [*zip(at.tolist(), value.tolist()), (size, 1.0)]
+        w = {i: weight(i) for i, _ in row}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in row)))
+        for i, v in row:
+            g = (p - label) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha * w[i]
+            n[i] += g * g
+        model.learn(at, value, label)
+    assert np.allclose(model.z, z) and np.allclose(model.weights(np.arange(9)), [weight(i) for i in range(9)])
+
+
+def test_broken_images_give_errors(spark):
+    bad = [b"P5 99999999999 99999999999 255 ", b"P5 0 0 255 ", b"P2 1 1 255 99999999999999999999999", b"", b"P7", b"BM", b"P5 4 4 255 ab", None]
+    rows = media.media_tiles(spark.createDataFrame([(b,) for b in bad], "media binary")).collect()
+    assert len(rows) == len(bad) and all(r["error"] and r["tile"] is None for r in rows)
+
+
 def test_mixing_meets_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = QUERIES["op6_mix_sources"](spark, sf_dir).toPandas().merge(docs.select("doc_id", "source").toPandas())

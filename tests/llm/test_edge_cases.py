@@ -21,7 +21,7 @@ ROWS = [
     (8, "12345 !!! ...", None, "c"),
     (9, "THE CAT sat on the mat and the dog ran off to the sea", "en", "a"),
 ]
-EXTRA = ["score", "shard", "size", "taken", "lang_pred", "kept", "ids", "decoded", "_row", "n_words", "predicted", "component_id", "error", "_key"]
+EXTRA = ["score", "shard", "size", "taken", "lang_pred", "kept", "ids", "decoded", "_row", "n_words", "predicted", "component_id", "error", "_key", "_p", "_m", "_in", "_text", "_tile", "_named", "_made", "_ids", "train", "_salt"]
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,8 @@ OPERATORS = {
     "mixing": lambda d: mixing.mix_sources(d, n_words(F.col("text"))),
     "sharding": sharding.shuffle_into_shards,
     "media": media.texts_as_media,
+    "tiles": lambda d: media.media_tiles(d, "text"),
+    "similar": lambda d: simhash.drop_near_duplicates(d, n=5, least=0.8),
     "quality": lambda d: quality.score_quality(d, quality.fit_quality(d, d.select("doc_id", F.lit(1).alias("quality")))),
     "bpe": lambda d: bpe.bpe_decode(bpe.bpe_encode(d, bpe.default_vocabulary()), bpe.default_vocabulary()),
     "dedup": simhash.drop_near_duplicates,
@@ -54,7 +56,7 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows(docs, name):
     rows = OPERATORS[name](docs).collect()
-    if name == "dedup":
+    if name in ("dedup", "similar"):
         assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 2, 3, 6, 7, 8]
     elif name == "secrets":
         assert {(r["doc_id"], r["start"], r["value"]) for r in rows if r["score"] >= 0.5} <= {(6, 12, KEY)}
