@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 def binary_metrics(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(n, positives, accuracy, auc, average_precision) in one row.
 
-    Scores are rounded to 4 digits: their distinct values are few, and the running counts go over
-    those. Ties count half in auc and together in average_precision."""
-    at = F.round(score, 4)
-    by = rows.groupBy(at.alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("q"))
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down)})
+    Running counts go over the distinct scores in ranges, put together from the ranges' sums. Ties
+    count half in auc and together in average_precision."""
+    by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("q"))
+    by = by.repartitionByRange(F.col("s").desc()).withColumn("_r", F.spark_partition_id())
+    sums = by.groupBy("_r").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_p", "_q")])
+    down = Window.partitionBy("_r").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down)}).join(F.broadcast(sums), "_r")  # a row a range
+    run = run.withColumns({"tp": F.col("tp") + F.col("_p0"), "fp": F.col("fp") + F.col("_q0")})
     return run.agg(
         F.sum(F.col("p") + F.col("q")).alias("n"), F.sum("p").alias("positives"),
         (F.sum(F.when(F.col("s") >= 0.5, F.col("p")).otherwise(F.col("q"))) / F.sum(F.col("p") + F.col("q"))).alias("accuracy"),
@@ -23,6 +27,13 @@ def binary_metrics(rows: DataFrame, score: str = "score", label: str = "label")
     )
 
 
+def micro_f1(rows: DataFrame, predicted: str = "predicted", label: str = "label") -> DataFrame:
+    """(f1) over all classes together."""
+    hit = (F.col(predicted) == F.col(label)).cast("long")
+    miss = 1 - hit  # a false positive of one class and a false negative of another
+    return rows.agg((2 * F.sum(hit) / (2 * F.sum(hit) + 2 * F.sum(miss))).alias("f1"))
+
+
 def mean_reciprocal_rank(rows: DataFrame) -> DataFrame:
     """(mrr) of (query, score, label): 1 / (1 + negatives scored above the positive)."""
     pos = rows.where("label = 1").select("query", F.col("score").alias("_p"))

@@ -97,11 +97,17 @@ def time_encoding(t: Column, dim: int) -> Column:
     return F.transform(F.array(*[F.lit(float(x)) for x in w]), lambda x: F.cos(t * x))
 
 
-def time_projection(h: Column, gap: Column, weight: Sequence[float]) -> Column:
-    """h * (1 + weight * gap): states drift with the time since they were set."""
+def time_projection(h: Column, ts: Column, set_at: Column, weight: Sequence[float]) -> Column:
+    """h * (1 + weight * (ts - set_at) / (ts + 1)): states drift with the time since they were set."""
+    gap = (ts - set_at) / (ts + 1)
     return mul(h, F.transform(F.array(*[F.lit(float(x)) for x in weight]), lambda w: 1 + w * gap))
 
 
+def squeeze(a: Column) -> Column:
+    """The only item of a dimension of one."""
+    return a[0]
+
+
 def reshape(a: Column, rows: int, cols: int) -> Column:
     """A flat vector as rows of `cols` numbers."""
     return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.slice(a, i * cols + 1, cols))
@@ -112,11 +118,11 @@ def mean_rows(a: Column, rows: int) -> Column:
     return scale(F.aggregate(F.slice(a, 2, F.size(a)), a[0], add), 1.0 / rows)
 
 
-def drop_out(a: Column, p: float, training: bool, seed: int = 0) -> Column:
-    """Identity unless training; then the same hashed mask for the same vector."""
+def drop_out(a: Column, p: float, training: bool, key: Column, seed: int = 0) -> Column:
+    """Identity unless training; then a mask hashed from the row's key and the place."""
     if not training:
         return a
-    keep = lambda x, i: F.when(F.pmod(F.xxhash64(F.lit(seed), x, i), F.lit(1000)) >= int(1000 * p), x / (1 - p)).otherwise(0.0)
+    keep = lambda x, i: F.when(F.pmod(F.xxhash64(F.lit(seed), key, i), F.lit(1000)) >= int(1000 * p), x / (1 - p)).otherwise(0.0)
     return F.transform(a, keep)
 
 

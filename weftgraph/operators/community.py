@@ -18,17 +18,29 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(m2)).agg(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("whole") / F.col("m2"), 2)).alias("q"))  # one row
 
 
-def label_propagation(edges: DataFrame, vertices: DataFrame, rounds: int) -> DataFrame:
-    """(id, community): in each round a vertex takes the most frequent label among its neighbours
-    (the least of equals), all at the same time; vertices of even and odd id take turns, which
-    keeps two sides from swapping labels for ever."""
-    both = cut(symmetrise(edges).repartition("src"))
+def label_propagation(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, community) such that no vertex has a label that comes more often among its neighbours
+    than its own.
+
+    In each round half of the vertices, another half by hash each time, take the most frequent label
+    among their neighbours (the least of equals) where it is more frequent than their own. Neighbours
+    that would swap labels for ever fall into different halves after a few rounds, so rounds end; the
+    last one finds nobody who wants to move.
+    """
+    both = cut(symmetrise(edges).select("src", "dst").repartition("src"))
     now = vertices.select("id", F.col("id").alias("community"))
-    for i in range(rounds):
-        votes = both.join(now.select(F.col("id").alias("src"), "community"), "src").where(F.col("dst") % 2 == i % 2)
-        best = votes.groupBy(F.col("dst").alias("id"), "community").agg(F.count("*").alias("n")).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("community").alias("new"))).alias("b"))
-        now = cut(now.join(best.select("id", F.col("b.new").alias("new")), "id", "left").select("id", F.coalesce("new", "community").alias("community")))
-    return now
+    done = 0
+    while True:
+        own = now.select(F.col("id").alias("dst"), F.col("community").alias("own"))
+        votes = both.join(now.select(F.col("id").alias("src"), "community"), "src").groupBy("dst", "community").agg(F.count("*").alias("n"))
+        best = votes.join(own, "dst").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b"), F.max(F.when(F.col("community") == F.col("own"), F.col("n")).otherwise(0)).alias("has"))
+        want = F.coalesce(-F.col("b.n") > F.col("has"), F.lit(False))
+        turn = F.pmod(F.xxhash64(F.lit(done), "id"), F.lit(2)) == 0
+        told = cut(now.join(best, "id", "left").select("id", F.when(want & turn, F.col("b.community")).otherwise(F.col("community")).alias("community"), want.alias("want")))
+        now = told.select("id", "community")
+        if told.where("want").isEmpty():
+            return now
+        done += 1
 
 
 def order_by_community(labels: DataFrame) -> DataFrame:

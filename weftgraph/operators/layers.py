@@ -86,6 +86,47 @@ def gat(edges: DataFrame, x: DataFrame, heads: Sequence[tuple[Matrix, Sequence[f
     return vec.reduce_vectors(out, ["id"], "x", dim, "sum").withColumn("x", vec.scale(F.col("x"), F.lit(1.0 / len(heads))))
 
 
+def attention(rows: DataFrame, heads: int, dim: int) -> DataFrame:
+    """(dst, x): of rows (dst, q, k, v) the sum of v, weighted by the softmax over a dst's rows of
+    leaky_relu(dot(q, k)); vectors of `dim` numbers are cut into `heads` that attend on their own."""
+    d = dim // heads
+    part = lambda c: F.slice(c, F.col("head") * d + 1, d)
+    each = rows.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1)))).select("dst", "head", *[part(c).alias(c) for c in "qkv"])
+    scored = each.select("dst", "head", "v", vec.leaky_relu(vec.dot(F.col("q"), F.col("k"))).alias("s"))
+    scored = message.edge_softmax(scored, "s", ("dst", "head")).select("dst", "head", vec.scale(F.col("v"), F.col("alpha")).alias("x"))
+    by = vec.reduce_vectors(scored, ["dst", "head"], "x", d)
+    joined = F.array_sort(F.collect_list(F.struct("head", "x")))  # one for each head
+    return by.groupBy("dst").agg(F.flatten(F.transform(joined, lambda p: p["x"])).alias("x"))
+
+
+def control_variate(sampled: DataFrame, edges: DataFrame, x: DataFrame, history: DataFrame, dim: int) -> DataFrame:
+    """(id, x): the mean over sampled neighbours of what changed since history (id, x), plus the mean
+    of history over all neighbours; nodes without neighbours have zeros."""
+    h = history.select("id", F.col("x").alias("_h"))
+    change = x.join(h, "id").select("id", vec.sub(F.col("x"), F.col("_h")).alias("x"))
+    part = filled(message.spmm(sampled, change, dim, how="mean"), x, dim).withColumnRenamed("x", "_c")
+    whole = filled(message.spmm(edges, history, dim, how="mean"), x, dim)
+    return whole.join(part, "id").select("id", vec.add(F.col("x"), F.col("_c")).alias("x"))
+
+
+def rgcn(relations: DataFrame, x: DataFrame, ws: Sequence[Matrix]) -> DataFrame:
+    """(id, x): as hetero_conv(), with the weights ws[bid] of each relation."""
+    dim = len(ws[0][0])
+    m = message.copy_u(relations, x).select("bid", F.col("dst").alias("id"), "x")
+    each = vec.reduce_vectors(m, ["bid", "id"], "x", dim, "mean")
+    own = F.coalesce(*[F.when(F.col("bid") == i, vec.linear(F.col("x"), w)) for i, w in enumerate(ws)])
+    return vec.reduce_vectors(each.select("id", own.alias("x")), ["id"], "x", len(ws[0]), "mean")
+
+
+def rgat(relations: DataFrame, x: DataFrame, heads: Sequence[Sequence[tuple[Matrix, Sequence[float], Sequence[float]]]]) -> DataFrame:
+    """(id, x): the mean over the relations into a target of gat() with the heads of each relation."""
+    out = None
+    for bid, own in enumerate(heads):
+        part = gat(relations.where(F.col("bid") == bid), x, own)
+        out = part if out is None else out.union(part)
+    return vec.reduce_vectors(out, ["id"], "x", len(heads[0][0][0]), "mean")
+
+
 def hetero_conv(relations: DataFrame, x: DataFrame, dim: int) -> DataFrame:
     """(id, x): for each relation (bid) the mean of the sources' features by target, summed over
     relations and divided by the number of relations into the target. One plan for all relations."""
@@ -107,15 +148,31 @@ def node_classifier(x: DataFrame, w1: Matrix, w2: Matrix) -> DataFrame:
     return x.select("id", p.alias("p")).withColumn("label", vec.argmax(F.col("p")))
 
 
-def temporal_attention(sampled: DataFrame, x: DataFrame, dim: int, scale_: float = 1e-6) -> DataFrame:
-    """(root_id, x): attention over sampled events (root_id, nbr, dt): scores from features and the
-    encoded gap, weights by softmax, sums normalised."""
-    rows = sampled.join(x.select(F.col("id").alias("nbr"), "x"), "nbr")
-    value = vec.add(F.col("x"), vec.time_encoding(F.col("dt") * scale_, dim))
-    rows = rows.select(F.col("root_id").alias("dst"), value.alias("x"), vec.leaky_relu(vec.mean(value)).alias("s"))
-    out = message.edge_softmax(rows, "s").withColumn("x", vec.scale(F.col("x"), F.col("alpha")))
-    return vec.reduce_vectors(out.select(F.col("dst").alias("root_id"), "x"), ["root_id"], "x", dim).withColumn("x", vec.layer_norm(F.col("x")))
+def temporal_attention(sampled: DataFrame, roots: DataFrame, x: DataFrame, edge_x: DataFrame, w_q: Matrix, w_k: Matrix, w_v: Matrix, w_out: Matrix, heads: int, time_dim: int = 4, scale: float = 1e-9) -> DataFrame:
+    """(root_id, x): attention of each root (root_id, x) over its sampled events (root_id, eid, nbr, dt).
+
+    Queries come from the root's vector and the encoded gap 0; keys and values from the neighbour's
+    vector (id, x), the event's (eid, x) and the encoded gap. What is attended and the root's vector
+    pass a layer with relu and are normalised. A root without events attends nothing: zeros.
+    """
+    zero = vec.time_encoding(F.lit(0.0), time_dim)
+    rows = sampled.join(x.select(F.col("id").alias("nbr"), F.col("x").alias("_n")), "nbr").join(edge_x.select("eid", F.col("x").alias("_e")), "eid")
+    rows = rows.join(roots.select("root_id", F.col("x").alias("_r")), "root_id")
+    near = F.concat("_n", "_e", vec.time_encoding(F.col("dt") * scale, time_dim))
+    rows = rows.select(F.col("root_id").alias("dst"), vec.linear(F.concat("_r", zero), w_q).alias("q"), vec.linear(near, w_k).alias("k"), vec.linear(near, w_v).alias("v"))
+    got = attention(rows, heads, len(w_v)).select(F.col("dst").alias("root_id"), F.col("x").alias("_a"))
+    none = F.array(*[F.lit(0.0)] * len(w_v))
+    out = roots.join(got, "root_id", "left").select("root_id", F.concat(F.coalesce("_a", none), "x").alias("x"))
+    return out.select("root_id", vec.layer_norm(vec.relu(vec.linear(F.col("x"), w_out))).alias("x"))
 
 
 def cross_entropy(p: Column, label: Column) -> Column:
     return -F.log(F.greatest(F.get(p, label), F.lit(1e-12)))
+
+
+def nll(log_p: Column, label: Column) -> Column:
+    return -F.get(log_p, label)
+
+
+def bce_with_logits(z: Column, label: Column) -> Column:
+    return F.greatest(z, F.lit(0.0)) - z * label + F.log1p(F.exp(-F.abs(z)))

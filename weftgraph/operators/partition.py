@@ -14,7 +14,7 @@ def range_part(id_: Column, size: int, parts: int) -> Column:
 
 
 def hash_part(id_: Column, parts: int, salt: int = 0) -> Column:
-    return ((id_ * 2654435761 + salt) % 1000003 % parts).cast("long")
+    return ((id_ * 2654435761 + salt) % 2147483629 % parts).cast("long")
 
 
 def with_halo(edges: DataFrame, assigned: DataFrame, hops: int) -> DataFrame:

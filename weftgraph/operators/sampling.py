@@ -10,7 +10,7 @@ from weftgraph.operators.temporal import mix
 
 def split_of(id_: Column, train: int, val: int) -> Column:
     """train, val or test by hash, in percent."""
-    h = (id_ * 2654435761) % 1000003 % 100
+    h = (id_ * 2654435761) % 2147483629 % 100
     return F.when(h < train, "train").when(h < train + val, "val").otherwise("test")
 
 

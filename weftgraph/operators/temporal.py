@@ -48,22 +48,21 @@ def uniform(events: DataFrame, roots: DataFrame, k: int, salt: int = 0) -> DataF
 
 
 def mix(a: Column, b: Column, salt: int) -> Column:
-    """A number from 0 to 1000002 that any engine can compute."""
-    return (a * 2654435761 + b * 40503 + salt) % 1000003
+    """A number from 0 to 2147483628 that any engine can compute."""
+    return (a * 2654435761 + b * 40503 + salt) % 2147483629
 
 
 def snapshots(events: DataFrame, roots: DataFrame, k: int, history: int, duration: int) -> DataFrame:
     """(root_id, window, rank, eid, nbr, ts): of each of `history` windows of `duration` before a
     root, the k latest events; window 0 is the nearest and a window's bounds don't belong to it.
 
-    Events and roots meet in buckets of one duration, so each root looks at history + 1 buckets.
+    A window is looked for as recent() does, from a root that stands at the window's end, so a
+    node's events are passed once and not met by all of its roots.
     """
-    e = events.withColumn("bucket", F.floor(F.col("ts") / duration)).withColumnRenamed("src", "node")
-    r = roots.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("root_ts") - history * duration) / duration), F.floor(F.col("root_ts") / duration))))
-    met = r.join(e, ["node", "bucket"]).withColumn("gap", F.col("root_ts") - F.col("ts")).where((F.col("gap") > 0) & (F.col("gap") < history * duration) & (F.col("gap") % duration != 0))
-    met = met.withColumn("window", F.floor(F.col("gap") / duration))
-    rank = F.row_number().over(Window.partitionBy("root_id", "window").orderBy(F.col("ts").desc(), F.col("eid").desc()))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("root_id", "window", "rank", "eid", F.col("dst").alias("nbr"), "ts")
+    at = roots.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(history - 1))))
+    moved = at.select((F.col("root_id") * history + F.col("_w")).alias("root_id"), "node", (F.col("root_ts") - F.col("_w") * duration).alias("root_ts"))
+    found = recent(events, moved, k).where(F.col("dt") < duration)
+    return found.select(F.expr(f"root_id div {history}").alias("root_id"), (F.col("root_id") % history).alias("window"), "rank", "eid", "nbr", "ts")
 
 
 def second_hop(first: DataFrame, roots: DataFrame, keep_root_time: bool) -> DataFrame:
@@ -79,12 +78,15 @@ def chronological_split(events: DataFrame, val_from: int, test_from: int) -> Dat
 
 
 def inductive(split: DataFrame) -> DataFrame:
-    """All train and val events, and those of test that touch a source unseen in train."""
-    seen = split.where("split = 'train'").select("src").distinct()
-    return split.where("split != 'test'").unionByName(split.where("split = 'test'").join(seen, "src", "left_anti").select(*split.columns))
+    """All train and val events, and those of test with an end that train hasn't seen on either side."""
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    seen = train.select(F.col("src").alias("_id")).union(train.select("dst")).distinct()
+    far = seen.select(F.col("_id").alias("_src")), seen.select(F.col("_id").alias("_dst"))
+    new = test.join(far[0], F.col("src") == F.col("_src"), "left").join(far[1], F.col("dst") == F.col("_dst"), "left").where("_src is null or _dst is null")
+    return split.where("split != 'test'").unionByName(new.select(*split.columns))
 
 
-def batches(events: DataFrame, size: int, offset: int = 0, block: int = 1 << 20) -> DataFrame:
+def batches(events: DataFrame, size: int, offset: int = 0) -> DataFrame:
     """Events with batch, their place in time order divided by size; `offset` shifts the borders.
 
     Places are counted in ranges of time and put together from the counts of the ranges.

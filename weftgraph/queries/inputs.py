@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from weftgraph.queries import query
 from weftgraph.sources import formats
-from weftgraph.sources.graphs import PART_GRAPH, part_graph, table
+from weftgraph.sources.graphs import EVENT_GRAPH, PART_GRAPH, event_graph, part_graph, part_vertices, table
 
 
 @query("s3_binary_round_trip", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e")
 def s3(spark, d):
-    return formats.from_binary(formats.to_binary(part_graph(spark, d), 4, 512), 512)
+    e = part_graph(spark, d)
+    parts = e.agg(F.floor(F.max("src") / 512) + 1).first()[0] or 1
+    return formats.from_binary(formats.to_binary(e, parts, 512), 512)
 
 
 @query("s1_edge_lines", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e")
@@ -23,7 +25,7 @@ def s1(spark, d):
     return formats.read_edge_list(spark, path, weighted=True)
 
 
-@query("s9_part_scan", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e WHERE src * 2654435761 % 1000003 % 4 = 2")
+@query("s9_part_scan", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e WHERE src * 2654435761 % 2147483629 % 4 = 2")
 def s9(spark, d):
     import uuid
 
@@ -50,3 +52,41 @@ def s20(spark, d):
     path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
     formats.write_edge_list(part_graph(spark, d), path)
     return formats.read_point_pairs(spark, path, directed=False)
+
+
+def _path(spark, name):
+    import uuid
+
+    from weftgraph.plans.lineage import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s10_temporal_csv", f"WITH {EVENT_GRAPH} SELECT eid, src, dst, ts / 1e6::DOUBLE AS ts, CAST(eid % 4 AS INTEGER) AS int_roll, CAST(eid % 3 AS INTEGER) AS ext_roll FROM ev")
+def s10_csv(spark, d):
+    e = event_graph(spark, d).select("eid", "src", "dst", (F.col("ts") / 1e6).alias("time"), (F.col("eid") % 4).alias("int_roll"), (F.col("eid") % 3).alias("ext_roll"))
+    e.write.csv(path := _path(spark, "temporal"), header=True)
+    return formats.read_temporal(spark, path)
+
+
+@query("s12_label_csv", "SELECT event_id AS label_id, user_id AS node, epoch_us(ts) / 1e6::DOUBLE AS ts, CAST(event_id % 2 AS INTEGER) AS label, CAST(event_id % 3 AS INTEGER) AS ext_roll FROM events")
+def s12(spark, d):
+    e = event_graph(spark, d).select(F.col("eid").alias("label_id"), F.col("src").alias("node"), (F.col("ts") / 1e6).alias("time"), (F.col("eid") % 2).alias("label"), (F.col("eid") % 3).alias("ext_roll"))
+    e.write.csv(path := _path(spark, "labels"), header=True)
+    return formats.read_labels(spark, path)
+
+
+@query("s17_citation_edges", f"WITH {PART_GRAPH} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e UNION ALL SELECT p_partkey, p_partkey FROM part)")
+def s17(spark, d):
+    """Edges as a citation data set keeps them: both ways, once, with a loop at every vertex."""
+    e = part_graph(spark, d).select("src", "dst")
+    return e.union(e.select("dst", "src")).union(part_vertices(spark, d).select("id", F.col("id").alias("dst"))).distinct()
+
+
+@query("s21_edge_text_split", f"""WITH {PART_GRAPH}, v AS (SELECT DISTINCT dst AS id FROM e), r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM v)
+SELECT id, CASE WHEN i < n * 6 // 10 THEN 'train' WHEN i < n * 8 // 10 THEN 'val' ELSE 'test' END AS split FROM r""")
+def s21(spark, d):
+    """Tab-separated edges with comment lines, and a split of 60, 20 and 20 of a hundred targets."""
+    lines = part_graph(spark, d).select(F.concat_ws("\t", "src", "dst").alias("value"))
+    lines.union(spark.range(1).select(F.lit("# src\tdst"))).write.text(path := _path(spark, "snap"))
+    return formats.split_targets(formats.read_commented(spark, path), 6, 2)

@@ -8,12 +8,12 @@ from weftgraph.operators import community, layers, message
 from weftgraph.queries import query
 from weftgraph.sources.graphs import PART_FEATURES, PART_GRAPH, SUPPLY_GRAPH, part_features, part_graph, part_vertices, supply_graph, table
 
-DIM = 8
+DIM = 64  # numbers of a vector
 G = f"WITH {PART_GRAPH}, {PART_FEATURES}, w AS (SELECT src, dst, w / 50.0::DOUBLE AS w FROM e)"
 
 
 def _graph(spark, d):
-    return part_graph(spark, d).withColumn("w", F.col("w") / F.lit(50.0)), part_features(spark, d, DIM)
+    return part_graph(spark, d).withColumn("w", F.col("w") / F.lit(50.0)), part_features(spark, d)
 
 
 def _out(x, key=("id",)):
@@ -185,13 +185,54 @@ def l4_fold(spark, d):
     return _out(layers.sage(e, x, W, V, "fold"))
 
 
-@query("l9_gat", f"""{G}, h AS (SELECT * FROM {_dense('pf', W)}), q AS (SELECT id, sum(v * (CASE WHEN pos % 2 = 0 THEN 0.5 ELSE -0.25 END)) AS q, sum(v * (0.1 * (pos + 1))) AS k FROM h GROUP BY id),
-r AS (SELECT src, dst, a.k + b.q AS raw FROM w JOIN q a ON a.id = src JOIN q b ON b.id = dst), s AS (SELECT *, exp(CASE WHEN raw < 0 THEN 0.2 * raw ELSE raw END) AS x FROM r),
-al AS (SELECT src, dst, x / sum(x) OVER (PARTITION BY dst) AS alpha FROM s)
-SELECT dst AS id, pos, round(sum(v * alpha), 6) AS val FROM al JOIN h ON h.id = src GROUP BY dst, pos""")
+def _heads(n: int, salt: int = 0) -> list:
+    return [(layers.weights(4, DIM, h + salt), [0.5, -0.25, 0.5, -0.25], [0.1, 0.2, 0.3, 0.4]) for h in range(n)]
+
+
+def _gat_sql(of: str, heads: list, out: str) -> str:
+    """CTEs that give `out` (id, pos, v): the mean over heads of attention along the edges `of`."""
+    rows = ", ".join(f"({h}, {i}, {j}, {v}::DOUBLE)" for h, (w, _, _) in enumerate(heads) for i, r in enumerate(w) for j, v in enumerate(r))
+    leaky = "CASE WHEN a.k + b.q < 0 THEN 0.2 * (a.k + b.q) ELSE a.k + b.q END"
+    return f"""{out}_h AS MATERIALIZED (SELECT id, k.h, k.o AS pos, sum(k.m * t.v) AS v FROM pf t JOIN (VALUES {rows}) k(h, o, i, m) ON k.i = t.pos GROUP BY id, k.h, k.o),
+{out}_q AS MATERIALIZED (SELECT id, h, sum(v * (CASE WHEN pos % 2 = 0 THEN 0.5 ELSE -0.25 END)) AS q, sum(v * (0.1 * (pos + 1))) AS k FROM {out}_h GROUP BY id, h),
+{out}_s AS (SELECT e.src, e.dst, a.h, {leaky} AS s FROM {of} e JOIN {out}_q a ON a.id = e.src JOIN {out}_q b ON b.id = e.dst AND b.h = a.h),
+{out}_t AS (SELECT *, exp(s - max(s) OVER (PARTITION BY dst, h)) AS x FROM {out}_s),
+{out}_a AS MATERIALIZED (SELECT src, dst, h, x / sum(x) OVER (PARTITION BY dst, h) AS alpha FROM {out}_t),
+{out} AS (SELECT dst AS id, pos, sum(v * alpha) / {len(heads)} AS v FROM {out}_a al JOIN {out}_h h ON h.id = src AND h.h = al.h GROUP BY dst, pos)"""
+
+
+@query("l9_gat", f"{G}, {_gat_sql('w', _heads(8), 'g')} SELECT id, pos, round(v, 6) AS val FROM g")
 def l9(spark, d):
     e, x = _graph(spark, d)
-    return _out(layers.gat(e, x, [(W, [0.5, -0.25, 0.5, -0.25], [0.1, 0.2, 0.3, 0.4])]))
+    return _out(layers.gat(e, x, _heads(8)))
+
+
+def _relations(spark, d):
+    from weftgraph.operators.structure import stitch
+
+    return stitch({"follows": part_graph(spark, d), "supplies": supply_graph(spark, d)})
+
+
+@query("l10_rgat", f"{G}, {SUPPLY_GRAPH}, sp AS (SELECT s.* FROM s JOIN part ON p_partkey = src), {_gat_sql('w', _heads(2), 'g')}, {_gat_sql('sp', _heads(2, 3), 'k')} SELECT id, pos, round(avg(v), 6) AS val FROM (SELECT * FROM g UNION ALL SELECT * FROM k) GROUP BY id, pos")
+def l10_rgat(spark, d):
+    return _out(layers.rgat(_relations(spark, d), _graph(spark, d)[1], [_heads(2), _heads(2, 3)]))
+
+
+@query("l10_rgcn", f"{G}, {SUPPLY_GRAPH}, a0 AS (SELECT dst AS id, pos, avg(v) AS v FROM w JOIN pf ON pf.id = src GROUP BY dst, pos), a1 AS (SELECT dst AS id, pos, avg(v) AS v FROM s JOIN pf ON pf.id = src GROUP BY dst, pos), z AS (SELECT * FROM {_dense('a0', W)} UNION ALL SELECT * FROM {_dense('a1', V)}) SELECT id, pos, round(avg(v), 6) AS val FROM z GROUP BY id, pos")
+def l10_rgcn(spark, d):
+    return _out(layers.rgcn(_relations(spark, d), _graph(spark, d)[1], [W, V]))
+
+
+@query("l7_control_variate", f"""{G}, sm AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY (dst * 2654435761 + src * 40503 + 3) % 2147483629, src) AS n FROM w) WHERE n <= 2),
+c AS (SELECT dst AS id, pos, avg(0.25 * v) AS v FROM sm JOIN pf ON pf.id = src GROUP BY dst, pos), a AS (SELECT dst AS id, pos, avg(0.75 * v) AS v FROM w JOIN pf ON pf.id = src GROUP BY dst, pos)
+SELECT p.id, p.pos, round(coalesce(a.v, 0.0) + coalesce(c.v, 0.0), 6) AS val FROM pf p LEFT JOIN a ON a.id = p.id AND a.pos = p.pos LEFT JOIN c ON c.id = p.id AND c.pos = p.pos""")
+def l7(spark, d):
+    from weftgraph.operators.sampling import neighbours
+
+    e, x = _graph(spark, d)
+    sampled = neighbours(e, x.select("id"), 2, 3, into=True).select(F.col("nbr").alias("src"), F.col("seed").alias("dst"))
+    old = x.withColumn("x", vec.scale(F.col("x"), F.lit(0.75)))
+    return _out(layers.control_variate(sampled, e, x, old, DIM))
 
 
 @query("l10_hetero", f"{G}, {SUPPLY_GRAPH}, r AS (SELECT src, dst, 0 AS bid FROM w UNION ALL SELECT src, dst, 1 FROM s), a AS (SELECT bid, dst AS id, pos, avg(v) AS v FROM r JOIN pf ON pf.id = src GROUP BY bid, dst, pos) SELECT id, pos, round(avg(v), 6) AS val FROM a GROUP BY id, pos")
@@ -246,15 +287,15 @@ def p28(spark, d):
     return _graph(spark, d)[1].select("id", vec.argmax(F.col("x")).alias("best"))
 
 
-@query("t2_t4_t9_arrays", f"{G} SELECT id, pos, round(3 * v + v * v, 6) AS val FROM pf UNION ALL SELECT id, 8 + pos, round(v, 6) FROM pf")
+@query("t2_t4_t9_arrays", f"{G} SELECT id, pos, round(3 * v + v * v, 6) AS val FROM pf UNION ALL SELECT id, 64 + pos, round(v, 6) FROM pf")
 def t2(spark, d):
     x = F.col("x")
     return _out(_graph(spark, d)[1].select("id", F.concat(vec.add(vec.scale(x, F.lit(3.0)), vec.mul(x, x)), x).alias("x")))
 
 
-@query("t7_t8_mean_heads", f"{G} SELECT id, pos % 4 AS pos, round(avg(v), 6) AS val FROM pf GROUP BY id, pos % 4")
+@query("t7_t8_mean_heads", f"{G} SELECT id, pos % 32 AS pos, round(avg(v), 6) AS val FROM pf GROUP BY id, pos % 32")
 def t7(spark, d):
-    return _out(_graph(spark, d)[1].select("id", vec.mean_rows(vec.reshape(F.col("x"), 2, 4), 2).alias("x")))
+    return _out(_graph(spark, d)[1].select("id", vec.mean_rows(vec.reshape(F.col("x"), 2, 32), 2).alias("x")))
 
 
 @query("t16_time_encoding", "SELECT event_id AS id, k.pos, round(cos((event_id % 1000) * pow(10, -3.0 * k.pos)), 6) AS val FROM events, (SELECT unnest(range(4)) AS pos) k")
@@ -262,22 +303,23 @@ def t16(spark, d):
     return _out(table(spark, d, "events").select(F.col("event_id").alias("id"), vec.time_encoding(F.col("event_id") % 1000, 4).alias("x")))
 
 
-@query("r5_feature_slices", f"{G} SELECT id, CAST(least(pos // 2, 2) AS BIGINT) AS part, pos - 2 * CAST(least(pos // 2, 2) AS BIGINT) AS pos, round(v, 6) AS val FROM pf")
+@query("r5_feature_slices", f"{G} SELECT id, CAST(least(pos // 21, 2) AS BIGINT) AS part, pos - 21 * CAST(least(pos // 21, 2) AS BIGINT) AS pos, round(v, 6) AS val FROM pf")
 def r5(spark, d):
     from weftgraph.operators.partition import feature_slices
 
     return _out(feature_slices(_graph(spark, d)[1], 3, DIM), ("id", "part"))
 
 
-@query("p16_gather", f"{G} SELECT l_orderkey AS req, id, pos, round(v, 6) AS val FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) q JOIN pf ON pf.id = q.l_partkey")
+@query("p16_gather", f"{G} SELECT req, id, round(d, 6) AS digest FROM (SELECT DISTINCT l_orderkey AS req, l_partkey FROM lineitem) q JOIN (SELECT id, sum(v * (pos + 1)) AS d FROM pf GROUP BY id) s ON s.id = q.l_partkey")
 def p16(spark, d):
     q = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("req"), F.col("l_partkey").alias("id")).distinct()
-    return _out(q.join(_graph(spark, d)[1], "id"), ("req", "id"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(DIM)), lambda i: i.cast("double"))
+    return q.join(_graph(spark, d)[1], "id").select("req", "id", F.round(vec.dot(F.col("x"), places), 6).alias("digest"))
 
 
 @query("m19_mean_features", f"{G} {_sum('avg(v)', 'e')}")
 def m19(spark, d):
-    return _out(message.spmm(part_graph(spark, d), part_features(spark, d, DIM), DIM, how="mean"))
+    return _out(message.spmm(part_graph(spark, d), part_features(spark, d), DIM, how="mean"))
 
 
 @query("g11_modularity", f"WITH {PART_GRAPH}, b AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2), c AS (SELECT src % 7 AS c, sum(w) AS whole, sum(CASE WHEN src % 7 = dst % 7 THEN w ELSE 0 END) AS inside FROM b GROUP BY 1) SELECT round(sum(inside / m2 - pow(whole / m2, 2)), 6) AS q FROM c, (SELECT sum(whole) AS m2 FROM c)")
@@ -288,23 +330,15 @@ def g11(spark, d):
     return community.modularity(merge_parallel(with_reverse(part_graph(spark, d))), labels).select(F.round("q", 6).alias("q"))
 
 
-def _labels_sql(rounds: int) -> str:
-    parts = [PART_GRAPH, "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)", "c0 AS (SELECT p_partkey AS id, p_partkey AS community FROM part)"]
-    for i in range(rounds):
-        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.id, coalesce(n.community, c.community) AS community FROM c{i} c LEFT JOIN (SELECT dst, community FROM (SELECT dst, community,
-  row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, community) AS k FROM b JOIN c{i} x ON x.id = b.src WHERE dst % 2 = {i % 2} GROUP BY dst, community) WHERE k = 1) n ON n.dst = c.id)""")
-    return f"WITH {', '.join(parts)}"
-
-
-@query("g10_communities", f"{_labels_sql(4)} SELECT id, community FROM c4")
+@query("g10_communities")
 def g10(spark, d):
-    return community.label_propagation(part_graph(spark, d), part_vertices(spark, d), 4)
+    return community.label_propagation(part_graph(spark, d), part_vertices(spark, d))
 
 
-@query("g12_reorder", f"{_labels_sql(2)}, o AS (SELECT id, row_number() OVER (ORDER BY community, id) - 1 AS n FROM c2) SELECT a.n AS src, b.n AS dst, w FROM e JOIN o a ON a.id = src JOIN o b ON b.id = dst")
+@query("g12_reorder")
 def g12(spark, d):
     e = part_graph(spark, d)
-    return community.reorder(e, community.order_by_community(community.label_propagation(e, part_vertices(spark, d), 2))).select("src", "dst", "w")
+    return community.reorder(e, community.order_by_community(community.label_propagation(e, part_vertices(spark, d)))).select("src", "dst", "w")
 
 
 @query("g13_degree_order", f"WITH {PART_GRAPH} SELECT id, row_number() OVER (ORDER BY n DESC, id) - 1 AS new FROM (SELECT p_partkey AS id, count(e.src) AS n FROM part LEFT JOIN e ON e.dst = p_partkey GROUP BY 1)")
@@ -320,7 +354,7 @@ def _scored(spark, d):
     return table(spark, d, "lineitem").select(k.alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_orderkey").alias("query"))
 
 
-@query("l16_binary_metrics", f"""WITH {SCORED}, g AS (SELECT round(score, 4) AS s, sum(label) AS p, sum(1 - label) AS q FROM s GROUP BY 1),
+@query("l16_binary_metrics", f"""WITH {SCORED}, g AS (SELECT score AS s, sum(label) AS p, sum(1 - label) AS q FROM s GROUP BY 1),
 r AS (SELECT *, sum(p) OVER o AS tp, sum(q) OVER o AS fp FROM g WINDOW o AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT CAST(sum(p + q) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS positives, round(sum(CASE WHEN s >= 0.5 THEN p ELSE q END) / sum(p + q), 6) AS accuracy, round(sum(q * (tp - p / 2)) / (sum(p) * sum(q)), 6) AS auc, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS average_precision FROM r""")
 def l16(spark, d):
@@ -340,3 +374,40 @@ def l16_mrr(spark, d):
 def l15(spark, d):
     p = F.array(1 - F.col("score"), F.col("score"))
     return _scored(spark, d).agg(F.round(F.avg(layers.cross_entropy(p, F.col("label"))), 6).alias("loss"))
+
+
+@query("l15_nll_bce", f"WITH {SCORED} SELECT round(avg(-ln(CASE WHEN label = 1 THEN 1 / (1 + exp(-score)) ELSE 1 - 1 / (1 + exp(-score)) END)), 6) AS nll, round(avg(greatest(score, 0) - score * label + ln(1 + exp(-abs(score)))), 6) AS bce FROM s")
+def l15_more(spark, d):
+    log_p = vec.log_softmax(F.array(F.lit(0.0), F.col("score")))
+    rows = _scored(spark, d)
+    return rows.agg(F.round(F.avg(layers.nll(log_p, F.col("label"))), 6).alias("nll"), F.round(F.avg(layers.bce_with_logits(F.col("score"), F.col("label"))), 6).alias("bce"))
+
+
+@query("l16_micro_f1", "WITH s AS (SELECT l_linenumber % 3 AS p, l_suppkey % 3 AS y FROM lineitem) SELECT round(2.0::DOUBLE * sum(CASE WHEN p = y THEN 1 ELSE 0 END) / (2 * sum(CASE WHEN p = y THEN 1 ELSE 0 END) + 2 * sum(CASE WHEN p <> y THEN 1 ELSE 0 END)), 6) AS f1 FROM s")
+def l16_f1(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_linenumber") % 3).alias("predicted"), (F.col("l_suppkey") % 3).alias("label"))
+    return metrics.micro_f1(rows).select(F.round("f1", 6).alias("f1"))
+
+
+@query("t10_t13_squeeze", f"{G} SELECT id, pos, round(v, 6) AS val FROM pf")
+def t10(spark, d):
+    """An outer dimension of one goes, and dropping out does nothing outside of training."""
+    x = _graph(spark, d)[1]
+    return _out(x.select("id", vec.drop_out(vec.squeeze(vec.reshape(F.col("x"), 1, DIM)), 0.5, False, F.col("id")).alias("x")))
+
+
+@query("t17_time_projection", f"{G} SELECT id, pos, round(v * (1 + (0.1 * (pos % 5) - 0.2) * ((id + 10) - id % 7) / (id + 11)::DOUBLE), 6) AS val FROM pf")
+def t17(spark, d):
+    w = [0.1 * (i % 5) - 0.2 for i in range(DIM)]
+    x = _graph(spark, d)[1]
+    return _out(x.select("id", vec.time_projection(F.col("x"), F.col("id") + 10, F.col("id") % 7, w).alias("x")))
+
+
+@query("l18_inference", f"{_norm('both').rsplit('SELECT dst AS id', 1)[0]}, a AS (SELECT dst AS id, pos, sum(v * w) AS v FROM n JOIN pf ON pf.id = src GROUP BY dst, pos), z AS ({FULL}), g AS (SELECT * FROM {_dense('z', W)}), h AS (SELECT id, pos, greatest(v, 0.0) AS v FROM {_dense('g', layers.weights(4, 4, 1))}), c AS (SELECT * FROM {_dense('h', layers.weights(3, 4, 2))}) SELECT id, CAST(arg_max(pos, v) AS INTEGER) AS label FROM c WHERE id IN (SELECT p_partkey FROM part WHERE p_size <= 2) GROUP BY id")
+def l18(spark, d):
+    """Labels of the seed parts from their embeddings of a graph layer."""
+    from weftgraph.sources.graphs import seeds
+
+    e, x = _graph(spark, d)
+    embedded = layers.gcn(e.drop("w"), x, W).join(seeds(spark, d), "id", "left_semi")
+    return layers.node_classifier(embedded, layers.weights(4, 4, 1), layers.weights(3, 4, 2)).select("id", "label")

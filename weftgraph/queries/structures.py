@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import structure as st
 from weftgraph.queries import query
-from weftgraph.sources.graphs import EVENT_GRAPH, PART_GRAPH, SUPPLY_GRAPH, event_graph, part_graph, part_vertices, supply_graph, table
+from weftgraph.sources.graphs import EVENT_GRAPH, PART_GRAPH, SEEDS, SUPPLY_GRAPH, event_graph, part_graph, part_vertices, seeds, supply_graph, table
 
 G = f"WITH {PART_GRAPH} "
 
@@ -93,7 +93,7 @@ def p14(spark, d):
     return part_vertices(spark, d).withColumn("part", range_part(F.col("id"), 300, 6)).withColumn("local", F.col("id") - 300 * F.col("part"))
 
 
-@query("p22_split", "SELECT vec_id AS id, CASE WHEN (vec_id * 2654435761) % 1000003 % 100 < 65 THEN 'train' WHEN (vec_id * 2654435761) % 1000003 % 100 < 75 THEN 'val' ELSE 'test' END AS split FROM embeddings")
+@query("p22_split", "SELECT vec_id AS id, CASE WHEN (vec_id * 2654435761) % 2147483629 % 100 < 65 THEN 'train' WHEN (vec_id * 2654435761) % 2147483629 % 100 < 75 THEN 'val' ELSE 'test' END AS split FROM embeddings")
 def p22(spark, d):
     from weftgraph.operators.sampling import split_of
 
@@ -126,17 +126,17 @@ def j6(spark, d):
     return part_vertices(spark, d).join(part_graph(spark, d).select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-HOPS = ", n0 AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 97 = 0), n1 AS (SELECT id FROM n0 UNION SELECT src FROM e WHERE dst IN (SELECT id FROM n0))"
+HOPS = f", n0 AS ({SEEDS}), n1 AS (SELECT id FROM n0 UNION SELECT src FROM e WHERE dst IN (SELECT id FROM n0))"
 
 
 @query("j9_neighbourhood", G + HOPS + " SELECT id FROM n1 UNION SELECT src FROM e WHERE dst IN (SELECT id FROM n1)")
 def j9(spark, d):
-    return st.neighbourhood(part_graph(spark, d), part_vertices(spark, d).where("id % 97 = 0"), 2)
+    return st.neighbourhood(part_graph(spark, d), seeds(spark, d), 2)
 
 
 @query("n5_hop_edges", G + HOPS + " SELECT 1 AS hop, src, dst FROM e WHERE dst IN (SELECT id FROM n0) UNION ALL SELECT 2, src, dst FROM e WHERE dst IN (SELECT id FROM n1)")
 def n5(spark, d):
-    return st.hop_edges(part_graph(spark, d), part_vertices(spark, d).where("id % 97 = 0"), 2)
+    return st.hop_edges(part_graph(spark, d), seeds(spark, d), 2)
 
 
 @query("s27_profile", f"WITH {PART_GRAPH}, {SUPPLY_GRAPH}, r AS (SELECT 'follows' AS relation, src, dst FROM e UNION ALL SELECT 'supplies', src, dst FROM s) SELECT relation, count(*) AS n_edges, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst, round(count(*) / count(DISTINCT dst), 6) AS avg_in_degree FROM r GROUP BY relation")

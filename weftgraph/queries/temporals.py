@@ -3,9 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors as vec
-from weftgraph.operators import layers, partition, sampling, state, temporal
+from weftgraph.operators import layers, memory, partition, sampling, state, temporal
 from weftgraph.queries import query
-from weftgraph.sources.graphs import EVENT_GRAPH, FEATURES, PART_GRAPH, event_graph, features, part_graph, part_vertices
+from weftgraph.sources.graphs import EVENT_GRAPH, PART_GRAPH, SEEDS, event_graph, features, part_graph, part_vertices, seeds
 
 EV = f"WITH {EVENT_GRAPH}"
 DAY = 86_400_000_000
@@ -24,16 +24,16 @@ def n6(spark, d):
     return temporal.recent(e, _roots(e), 3)
 
 
-MIX = "({} * 2654435761 + {} * 40503 + {}) % 1000003"
+MIX = "({} * 2654435761 + {} * 40503 + {}) % 2147483629"
 
 
 @query("n7_uniform", f"""{EV}, p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, eid) - 1 AS pos FROM ev),
-c AS (SELECT r.eid AS root_id, r.src, (SELECT count(*) FROM ev x WHERE x.src = r.src AND x.ts < r.ts) AS n FROM ev r WHERE r.eid % 10 = 0),
+c AS (SELECT r.eid AS root_id, r.src, (SELECT count(*) FROM ev x WHERE x.src = r.src AND x.ts < r.ts) AS n FROM ev r),
 dr AS (SELECT root_id, src, k AS draw, {MIX.format('root_id', 'k', 0)} % n AS pos FROM c, (SELECT unnest(range(1, 4)) AS k) WHERE n > 0)
 SELECT root_id, CAST(draw AS INTEGER) AS draw, eid, dst AS nbr, ts FROM dr JOIN p ON p.src = dr.src AND p.pos = dr.pos""")
 def n7(spark, d):
     e = event_graph(spark, d)
-    return temporal.uniform(e, _roots(e.where("eid % 10 = 0")), 3).select("root_id", "draw", "eid", "nbr", "ts")
+    return temporal.uniform(e, _roots(e), 3).select("root_id", "draw", "eid", "nbr", "ts")
 
 
 @query("n8_snapshots", f"""{EV}, m AS (SELECT r.eid AS root_id, CAST((r.ts - e.ts) // {7 * DAY} AS BIGINT) AS w, e.eid, e.dst AS nbr, e.ts FROM ev r JOIN ev e ON e.src = r.src
@@ -45,10 +45,10 @@ def n8(spark, d):
 
 
 @query("n10_second_hop", f"""{EV}, {RECENT}, b AS (SELECT * FROM rc WHERE rank <= 2), t AS (SELECT eid AS e2, dst AS node, src AS back, ts FROM ev)
-SELECT root_id, eid, e2 FROM (SELECT b.root_id, b.eid, t.e2, row_number() OVER (PARTITION BY b.root_id, b.eid ORDER BY t.ts DESC, t.e2 DESC) AS k FROM b JOIN t ON t.node = b.nbr AND t.ts < b.ts WHERE b.root_id % 20 = 0) WHERE k <= 2""")
+SELECT root_id, eid, e2 FROM (SELECT b.root_id, b.eid, t.e2, row_number() OVER (PARTITION BY b.root_id, b.eid ORDER BY t.ts DESC, t.e2 DESC) AS k FROM b JOIN t ON t.node = b.nbr AND t.ts < b.ts) WHERE k <= 2""")
 def n10(spark, d):
     e = event_graph(spark, d)
-    roots = _roots(e.where("eid % 20 = 0"))
+    roots = _roots(e)
     first = temporal.recent(e, roots, 2)
     nxt = first.select(F.col("root_id").alias("parent"), F.col("eid").alias("via"), (F.col("root_id") * 1_000_000_000 + F.col("eid")).alias("root_id"), F.col("nbr").alias("node"), F.col("ts").alias("root_ts"))
     back = e.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"), "ts")
@@ -66,7 +66,7 @@ def _split(e):
     return temporal.chronological_split(e, lo + (hi - lo) * 7 // 10, lo + (hi - lo) * 85 // 100)
 
 
-@query("p19_inductive", f"{EV}, q AS (SELECT min(ts) + (max(ts) - min(ts)) * 7 // 10 AS a, min(ts) + (max(ts) - min(ts)) * 85 // 100 AS b FROM ev) SELECT eid FROM ev, q WHERE ts < b OR src NOT IN (SELECT src FROM ev, q WHERE ts < a)")
+@query("p19_inductive", f"{EV}, q AS (SELECT min(ts) + (max(ts) - min(ts)) * 7 // 10 AS a, min(ts) + (max(ts) - min(ts)) * 85 // 100 AS b FROM ev), tr AS (SELECT src AS id FROM ev, q WHERE ts < a UNION SELECT dst FROM ev, q WHERE ts < a) SELECT eid FROM ev, q WHERE ts < b OR src NOT IN (SELECT id FROM tr) OR dst NOT IN (SELECT id FROM tr)")
 def p19(spark, d):
     return temporal.inductive(_split(event_graph(spark, d))).select("eid")
 
@@ -86,12 +86,13 @@ def p25(spark, d):
     return event_graph(spark, d).select("dst", F.expr(f"ts div {DAY}").alias("day")).dropDuplicates()
 
 
-@query("n12_negatives", f"{EV} SELECT eid, CAST(j AS INTEGER) AS j, {MIX.format('eid', 'j', 17)} % 150 AS neg FROM ev, (SELECT unnest(range(1, 4)) AS j)")
+@query("n12_negatives", f"{EV} SELECT eid, CAST(j AS INTEGER) AS j, {MIX.format('eid', 'j', 17)} % (SELECT max(src) + 1 FROM ev) AS neg FROM ev, (SELECT unnest(range(1, 4)) AS j)")
 def n12(spark, d):
-    return sampling.negatives(event_graph(spark, d), 150, 3, 17)
+    e = event_graph(spark, d)
+    return sampling.negatives(e, e.agg(F.max("src") + 1).first()[0], 3, 17)
 
 
-SAMPLED = "SELECT src AS seed, dst AS nbr, row_number() OVER (PARTITION BY src ORDER BY (src * 2654435761 + dst * 40503 + {}) % 1000003, dst) AS n FROM e"
+SAMPLED = "SELECT src AS seed, dst AS nbr, row_number() OVER (PARTITION BY src ORDER BY (src * 2654435761 + dst * 40503 + {}) % 2147483629, dst) AS n FROM e"
 
 
 @query("n1_neighbours", f"WITH {PART_GRAPH} SELECT seed, nbr FROM ({SAMPLED.format(3)}) WHERE n <= 3")
@@ -99,16 +100,16 @@ def n1(spark, d):
     return sampling.neighbours(part_graph(spark, d), part_vertices(spark, d), 3, 3)
 
 
-@query("n4_in_neighbours", f"WITH {PART_GRAPH} SELECT seed, nbr FROM (SELECT dst AS seed, src AS nbr, row_number() OVER (PARTITION BY dst ORDER BY (dst * 2654435761 + src * 40503 + 3) % 1000003, src) AS n FROM e) WHERE n <= 2")
+@query("n4_in_neighbours", f"WITH {PART_GRAPH} SELECT seed, nbr FROM (SELECT dst AS seed, src AS nbr, row_number() OVER (PARTITION BY dst ORDER BY (dst * 2654435761 + src * 40503 + 3) % 2147483629, src) AS n FROM e) WHERE n <= 2")
 def n4(spark, d):
     return sampling.neighbours(part_graph(spark, d), part_vertices(spark, d), 2, 3, into=True)
 
 
-@query("n3_multi_hop", f"""WITH {PART_GRAPH}, a AS ({SAMPLED.format(1)}), b AS ({SAMPLED.format(2)}), s0 AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 50 = 0),
+@query("n3_multi_hop", f"""WITH {PART_GRAPH}, a AS ({SAMPLED.format(1)}), b AS ({SAMPLED.format(2)}), s0 AS ({SEEDS}),
 h1 AS (SELECT seed, nbr FROM a WHERE n <= 2 AND seed IN (SELECT id FROM s0)), s1 AS (SELECT id FROM s0 UNION SELECT nbr FROM h1)
 SELECT 1 AS hop, seed, nbr FROM h1 UNION ALL SELECT 2, seed, nbr FROM b WHERE n <= 3 AND seed IN (SELECT id FROM s1)""")
 def n3(spark, d):
-    return sampling.multi_hop(part_graph(spark, d), part_vertices(spark, d).where("id % 50 = 0"), [2, 3])
+    return sampling.multi_hop(part_graph(spark, d), seeds(spark, d), [2, 3])
 
 
 @query("n13_visits", f"WITH {PART_GRAPH}, c AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), k AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS r FROM c), t AS (SELECT count(*) AS nodes, sum(n) AS visits FROM c) SELECT nodes, CAST(visits AS BIGINT) AS visits, CAST(ceil(nodes * 0.2) AS BIGINT) AS top_nodes, round((SELECT sum(n) FROM k WHERE r <= ceil(nodes * 0.2)) / visits, 6) AS hit_rate FROM t")
@@ -142,27 +143,98 @@ def st7(spark, d):
     return state.decayed_memory(state.mails(event_graph(spark, d))).withColumn("memory", F.round("memory", 6))
 
 
-@query("st11_state_at", f"{EV}, {MAIL} SELECT e.eid AS label_id, e.src AS node, count(m.eid) AS n, round(coalesce(sum(m.payload), 0), 6) AS total FROM ev e LEFT JOIN m ON m.node = e.src AND m.ts < e.ts WHERE e.eid % 5 = 0 GROUP BY e.eid, e.src")
+@query("st11_state_at", f"{EV}, {MAIL} SELECT e.eid AS label_id, e.src AS node, count(m.eid) AS n, round(coalesce(sum(m.payload), 0), 6) AS total FROM ev e LEFT JOIN m ON m.node = e.src AND m.ts < e.ts GROUP BY e.eid, e.src")
 def st11(spark, d):
     e = event_graph(spark, d)
-    times = e.where("eid % 5 = 0").select(F.col("eid").alias("label_id"), F.col("src").alias("node"), F.col("ts").alias("at"))
+    times = e.select(F.col("eid").alias("label_id"), F.col("src").alias("node"), F.col("ts").alias("at"))
     return state.state_at(state.mails(e), times).withColumn("total", F.round("total", 6))
 
 
-@query("l11_temporal_attention", f"""{EV}, {FEATURES}, {RECENT},
-x AS (SELECT root_id, eid, pos, v + cos(dt * 1e-6::DOUBLE * pow(10, -9.0 * pos / 7)) AS v FROM rc JOIN f ON f.id = nbr WHERE rank <= 3 AND root_id % 4 = 0),
-s AS (SELECT root_id, eid, CASE WHEN avg(v) < 0 THEN 0.2 * avg(v) ELSE avg(v) END AS s FROM x GROUP BY root_id, eid),
-al AS (SELECT root_id, eid, exp(s) / sum(exp(s)) OVER (PARTITION BY root_id) AS a FROM s),
-h AS (SELECT x.root_id, pos, sum(v * a) AS v FROM x JOIN al USING (root_id, eid) GROUP BY x.root_id, pos),
-n AS (SELECT root_id, avg(v) AS m, var_pop(v) AS s2 FROM h GROUP BY root_id)
-SELECT h.root_id, pos, round((v - m) / sqrt(s2 + 1e-5), 4) AS val FROM h JOIN n ON n.root_id = h.root_id""")
+TIME, HEADS = 4, 2
+
+
+def attention_weights(dim: int) -> tuple:
+    """Fixed weights (query, key, value, out) over vectors of `dim`, an event's value and the time."""
+    w = layers.weights
+    return w(4, dim + TIME), w(4, dim + 1 + TIME, 2), w(4, dim + 1 + TIME, 5), w(4, 4 + dim, 3)
+
+
+def _attention_parts(spark, d, k: int = 3):
+    e, x = event_graph(spark, d), features(spark, d)
+    n = x.agg(F.count("*").alias("n"))
+    sampled = temporal.recent(e, _roots(e), k)
+    own = e.crossJoin(F.broadcast(n)).select(F.col("eid").alias("root_id"), (F.col("src") % F.col("n")).alias("id")).join(x, "id").select("root_id", "x")
+    return e, x, sampled, own
+
+
+@query("l11_temporal_attention")
 def l11(spark, d):
+    e, x, sampled, own = _attention_parts(spark, d)
+    dim = len(x.first()["x"])
+    out = layers.temporal_attention(sampled, own, x, e.select("eid", F.array("w").alias("x")), *attention_weights(dim), HEADS, TIME, 1e-12)
+    return vec.long_form(out, ["root_id"], "x", 6)
+
+
+@query("l12_snapshot_state")
+def l12(spark, d):
+    """Of each root the neighbours' mean vector in three weekly windows, put together by a recurrent cell."""
+    e, x = event_graph(spark, d), features(spark, d)
+    dim = len(x.first()["x"])
+    near = temporal.snapshots(e, _roots(e), 2, 3, 7 * DAY).join(x.select(F.col("id").alias("nbr"), "x"), "nbr")
+    steps = vec.reduce_vectors(near, ["root_id", "window"], "x", dim, "mean")
+    return vec.long_form(memory.snapshot_state(steps, 3, dim, layers.weights(4, dim), layers.weights(4, 4, 2)), ["root_id"], "x", 6)
+
+
+CELL_DIM = 3
+
+
+def cell(kind: str = "gru") -> memory.Cell:
+    rows = CELL_DIM * (3 if kind == "gru" else 1)
+    return memory.Cell(layers.weights(rows, 2 * CELL_DIM + 1 + 2), layers.weights(rows, CELL_DIM, 4), CELL_DIM, 2, 1e-12)
+
+
+def _featured(e):
+    return e.select("eid", "src", (F.col("dst") + 1_000_000_000).alias("dst"), "ts", F.array(F.col("w") / 100).alias("feature"))
+
+
+@query("st7_gru_memory")
+def st7_gru(spark, d):
+    return vec.long_form(memory.evolve(_featured(event_graph(spark, d)), 600, cell()), ["node", "memory_ts"], "memory")
+
+
+@query("st7_rnn_memory")
+def st7_rnn(spark, d):
+    return vec.long_form(memory.evolve(_featured(event_graph(spark, d)), 600, cell("rnn")), ["node", "memory_ts"], "memory")
+
+
+@query("st8_mailbox_attention")
+def st8(spark, d):
+    box = state.mailbox(state.mails(event_graph(spark, d)), 4).withColumn("payload", F.array(F.col("payload") / 100))
+    start = memory.reset(box.select("node").distinct(), 4)
+    w = layers.weights
+    out = memory.attend_mailbox(box, start.withColumn("memory", F.transform(F.array(*map(F.lit, range(4))), lambda i: (F.pmod(F.col("node") + i, F.lit(7)) - 3) / 3.0)), 4, w(4, 4), w(4, 3, 2), w(4, 3, 5), w(4, 4, 3), 2, 2, 1e-12)
+    return vec.long_form(out, ["node"], "memory")
+
+
+for _how, _agg in (("mean", "avg(w)"), ("last", "arg_max(w, (rts, root_id))")):
+
+    @query(f"st5_deliver_{_how}", f"""{EV}, {RECENT}, g AS (SELECT rc.root_id, rc.nbr, r.w, r.ts AS rts FROM rc JOIN ev r ON r.eid = rc.root_id WHERE rank <= 3)
+SELECT nbr AS node, round({_agg}, 6) AS payload, count(*) AS n FROM g GROUP BY nbr""")
+    def st5_deliver(spark, d, how=_how):
+        e = event_graph(spark, d)
+        mails = e.select(F.col("eid").alias("root_id"), "ts", F.col("w").alias("payload"))
+        return memory.deliver(mails, temporal.recent(e, _roots(e), 3), how).withColumn("payload", F.round("payload", 6))
+
+
+@query("st2_read_state", f"{EV}, m AS (SELECT src AS node, max(ts) AS ts FROM ev WHERE w > 50 GROUP BY src) SELECT eid, src AS node, coalesce(m.ts, 0) AS memory_ts FROM ev LEFT JOIN m ON m.node = src")
+def st2(spark, d):
     e = event_graph(spark, d)
-    out = layers.temporal_attention(temporal.recent(e, _roots(e.where("eid % 4 = 0")), 3), features(spark, d), 8)
-    return vec.long_form(out, ["root_id"], "x", 4)
+    new = e.where("w > 50").groupBy(F.col("src").alias("node")).agg(F.array(F.sum("w")).alias("memory"), F.max("ts").alias("memory_ts"))
+    kept = memory.update_memory(memory.reset(e.select(F.col("src").alias("node")).distinct(), 1), new)
+    return memory.read_state(kept, e.select("eid", F.col("src").alias("node")), 1).select("eid", "node", "memory_ts")
 
 
-PARTS = f"WITH {PART_GRAPH}, a AS (SELECT p_partkey AS id, p_partkey * 2654435761 % 1000003 % 4 AS part FROM part)"
+PARTS = f"WITH {PART_GRAPH}, a AS (SELECT p_partkey AS id, p_partkey * 2654435761 % 2147483629 % 4 AS part FROM part)"
 HALO = "h AS (SELECT DISTINCT part, id FROM (SELECT part, id FROM a UNION ALL SELECT a.part, e.src FROM a JOIN e ON e.dst = a.id))"
 
 
@@ -185,14 +257,14 @@ def r6(spark, d):
     return partition.bounded_parts(part_graph(spark, d), part_vertices(spark, d), 500)
 
 
-@query("r1_closure_parts", f"WITH {PART_GRAPH}, a AS (SELECT p_partkey AS id, p_partkey * 2654435761 % 1000003 % 3 AS part FROM part WHERE p_partkey % 40 = 0) SELECT part, id FROM a UNION SELECT a.part, e.src FROM a JOIN e ON e.dst = a.id")
+@query("r1_closure_parts", f"WITH {PART_GRAPH}, a AS (SELECT p_partkey AS id, p_partkey * 2654435761 % 2147483629 % 3 AS part FROM part WHERE p_size <= 2) SELECT part, id FROM a UNION SELECT a.part, e.src FROM a JOIN e ON e.dst = a.id")
 def r1(spark, d):
-    return partition.closure_parts(part_graph(spark, d), part_vertices(spark, d).where("id % 40 = 0"), 3, 1)
+    return partition.closure_parts(part_graph(spark, d), seeds(spark, d), 3, 1)
 
 
-@query("r7_training_graph", f"WITH {PART_GRAPH}, n0 AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 40 = 0), n1 AS (SELECT id FROM n0 UNION SELECT src FROM e WHERE dst IN (SELECT id FROM n0)) SELECT src, dst, w FROM e WHERE dst IN (SELECT id FROM n1)")
+@query("r7_training_graph", f"WITH {PART_GRAPH}, n0 AS ({SEEDS}), n1 AS (SELECT id FROM n0 UNION SELECT src FROM e WHERE dst IN (SELECT id FROM n0)) SELECT src, dst, w FROM e WHERE dst IN (SELECT id FROM n1)")
 def r7(spark, d):
-    return partition.training_graph(part_graph(spark, d), part_vertices(spark, d).where("id % 40 = 0"), 2)
+    return partition.training_graph(part_graph(spark, d), seeds(spark, d), 2)
 
 
 @query("r2_balanced_parts")

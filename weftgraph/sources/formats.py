@@ -128,3 +128,21 @@ def uniform_graph(spark: SparkSession, nodes: int, edges: int, seed: int = 0) ->
     """(src, dst): random ends by hash, the same on every run."""
     end = lambda side: F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "id"), F.lit(nodes)).alias(side)
     return spark.range(edges).select(end("src"), end("dst"))
+
+
+def read_commented(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of tab-separated lines; lines that begin with # don't count."""
+    return spark.read.csv(path, sep="\t", comment="#", schema="src long, dst long")
+
+
+def split_targets(edges: DataFrame, train: int, val: int) -> DataFrame:
+    """(id, split): the distinct targets of edges in the order of their ids, the first `train` tenths
+    for training, `val` tenths for validation, the rest for tests. Places are counted range by range."""
+    v = edges.select(F.col("dst").alias("id")).distinct().repartitionByRange("id").withColumn("_p", F.spark_partition_id())
+    counts = v.groupBy("_p").agg(F.count("*").alias("_c"))
+    run = Window.orderBy("_p")  # a row a range
+    counts = counts.select("_p", (F.sum("_c").over(run) - F.col("_c")).alias("_base"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    i = F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy("id")) - 1
+    v = v.join(F.broadcast(counts), "_p").withColumn("_i", i)
+    tenth = lambda k: F.expr(f"_n * {k} div 10")
+    return v.select("id", F.when(F.col("_i") < tenth(train), "train").when(F.col("_i") < tenth(train + val), "val").otherwise("test").alias("split"))

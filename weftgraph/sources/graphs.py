@@ -26,6 +26,14 @@ def part_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
 
 
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id): the parts of small size, a training set as a table of vertices would give it."""
+    return table(spark, sf_dir, "part").where("p_size <= 2").select(F.col("p_partkey").alias("id"))
+
+
+SEEDS = "SELECT p_partkey AS id FROM part WHERE p_size <= 2"
+
+
 def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): supplier supplies part."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
@@ -45,21 +53,21 @@ EVENT_GRAPH = """ev AS (SELECT event_id AS eid, user_id AS src, CAST(CASE event_
   WHEN 'signup' THEN 3 WHEN 'view' THEN 4 ELSE 5 END AS BIGINT) AS dst, epoch_us(ts) AS ts, value AS w FROM events)"""
 
 
-def features(spark: SparkSession, sf_dir: str, dim: int = 8) -> DataFrame:
-    """(id, x): the first `dim` numbers of each vector."""
-    x = F.transform(F.slice("embedding", 1, dim), lambda v: v.cast("double"))
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x): the vectors."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), x.alias("x"))
 
 
-FEATURES = """f AS (SELECT vec_id AS id, CAST(unnest(embedding[1:8]) AS DOUBLE) AS v, generate_subscripts(embedding[1:8], 1) - 1 AS pos FROM embeddings)"""
+FEATURES = """f AS MATERIALIZED (SELECT vec_id AS id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"""
 
 
-def part_features(spark: SparkSession, sf_dir: str, dim: int = 8) -> DataFrame:
+def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, x) of every part: vectors are dealt out by part number modulo their number."""
-    x = features(spark, sf_dir, dim)
+    x = features(spark, sf_dir)
     n = x.agg(F.count("*").alias("n"))
     return part_vertices(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("v", F.col("id") % F.col("n")).join(x.withColumnRenamed("id", "v"), "v").select("id", "x")
 
 
 PART_FEATURES = FEATURES + """,
-pf AS (SELECT p_partkey AS id, pos, v FROM part JOIN f ON f.id = p_partkey % (SELECT count(*) FROM embeddings))"""
+pf AS MATERIALIZED (SELECT p_partkey AS id, pos, v FROM part JOIN f ON f.id = p_partkey % (SELECT count(*) FROM embeddings))"""
