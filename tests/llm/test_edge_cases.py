@@ -45,7 +45,7 @@ OPERATORS = {
     "mixing": lambda d: mixing.mix_sources(d, n_words(F.col("text"))),
     "sharding": sharding.shuffle_into_shards,
     "media": media.texts_as_media,
-    "tiles": lambda d: media.media_tiles(d, "text"),
+    "tiles": lambda d: media.media_tiles(d.withColumn("media", F.col("text").cast("binary"))),
     "similar": lambda d: simhash.drop_near_duplicates(d, n=5, least=0.8),
     "quality": lambda d: quality.score_quality(d, quality.fit_quality(d, d.select("doc_id", F.lit(1).alias("quality")))),
     "bpe": lambda d: bpe.bpe_decode(bpe.bpe_encode(d, bpe.default_vocabulary()), bpe.default_vocabulary()),
