@@ -6,6 +6,7 @@ import numpy as np
 
 from weftgraph.catalog import QUERIES
 from weftgraph.operators import community, layers
+from weftgraph.plans.lineage import cut
 from weftgraph.queries import temporals
 from weftgraph.sources.formats import uniform_graph
 from weftgraph.sources.graphs import event_graph, features, part_graph, part_vertices
@@ -61,23 +62,45 @@ def test_pagerank_runs_to_its_end(spark, sf_dir):
     assert {r["id"] for r in rows} == set(value) and all(abs(r["value"] - value[r["id"]]) < 1e-5 for r in rows)
 
 
-def test_labels_are_stable_and_order_follows_them(spark, sf_dir):
-    labels = QUERIES["g10_communities"](spark, sf_dir)
+def weigh(edges, label):
+    """Strengths of communities, weights between two of them (both directions), and all weights."""
+    strength, between = Counter(), Counter()
+    for r in edges:
+        a, b = label[r["src"]], label[r["dst"]]
+        strength[a] += r["w"]
+        strength[b] += r["w"]
+        between[min(a, b), max(a, b)] += r["w"]
+    return strength, between, sum(strength.values())
+
+
+def test_no_merge_of_communities_gains_and_order_follows_them(spark, sf_dir):
+    labels = cut(QUERIES["g10_communities"](spark, sf_dir))
     label = {r["id"]: r["community"] for r in labels.collect()}
     edges = part_graph(spark, sf_dir).collect()
-    near = defaultdict(set)
-    for r in edges:
-        near[r["src"]].add(r["dst"])
-        near[r["dst"]].add(r["src"])
-    for i, others in near.items():
-        votes = Counter(label[j] for j in others)
-        assert votes[label[i]] == max(votes.values())
+    strength, between, m2 = weigh(edges, label)
+    assert all(w * m2 <= strength[a] * strength[b] * (1 + 1e-12) for (a, b), w in between.items() if a != b)
+    quality = sum(2 * between[c, c] / m2 - (s / m2) ** 2 for c, s in strength.items())
+    assert quality > 0.2 and all(label[c] == c for c in label.values())
     assert set(label) == {r["id"] for r in part_vertices(spark, sf_dir).collect()}
     place = {i: n for n, i in enumerate(sorted(label, key=lambda i: (label[i], i)))}
     got = Counter((r["src"], r["dst"], r["w"]) for r in community.reorder(part_graph(spark, sf_dir), community.order_by_community(labels)).select("src", "dst", "w").collect())
     assert got == Counter((place[r["src"]], place[r["dst"]], r["w"]) for r in edges)
 
 
+def test_cliques_and_a_star_are_communities(spark):
+    cliques = [(base + i, base + j, 1) for base in (0, 10, 20) for i in range(6) for j in range(i)] + [(0, 10, 1), (10, 20, 1)]
+    star = [(100, i, 1) for i in range(101, 161)]
+    edges = spark.createDataFrame(cliques + star, "src long, dst long, w long")
+    vertices = edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "id").union(spark.range(900, 901))
+    found = defaultdict(set)
+    for r in community.merge_communities(edges, vertices).collect():
+        found[r["community"]].add(r["id"])
+    assert {900} in found.values()
+    assert all({base + i for i in range(6)} in found.values() for base in (0, 10, 20))
+    strength, between, m2 = weigh(edges.collect(), {i: c for c, ids in found.items() for i in ids})
+    assert all(w * m2 <= strength[a] * strength[b] for (a, b), w in between.items() if a != b)
+
+
 def before(events, k, width=None, shift=0):
     """Of each event the k latest of the same source before it, moved back by shift, latest first."""
     by = defaultdict(list)

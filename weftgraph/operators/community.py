@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.structure import degrees, map_ids, symmetrise
-from weftgraph.plans.lineage import cut
+from weftgraph.operators.structure import degrees, map_ids
+from weftgraph.plans.lineage import stored
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -18,31 +18,63 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(m2)).agg(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("whole") / F.col("m2"), 2)).alias("q"))  # one row
 
 
-def label_propagation(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, community) such that no vertex has a label that comes more often among its neighbours
-    than its own.
+#: Levels by which the merges into one community are thinned.
+LEVELS = 16
 
-    In each round half of the vertices, another half by hash each time, take the most frequent label
-    among their neighbours (the least of equals) where it is more frequent than their own. Neighbours
-    that would swap labels for ever fall into different halves after a few rounds, so rounds end; the
-    last one finds nobody who wants to move.
+
+def merge_communities(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, community) such that no two communities would raise the modularity by merging.
+
+    Directions of edges don't count; weights w do. Every vertex starts alone. In each round a
+    community looks for the neighbour whose merge gains most, w(a, b) - s(a) s(b) / m2. Pairs that
+    choose each other merge. Of the others half, by hash, move to their choice (or to its pair) if
+    that one stays in this round. So that many moves into one community can't undo each other's
+    gain, they are thinned by hash until they weigh no more than what they join, and each must gain
+    even if it comes last. The modularity thus never falls, stars and chains shrink by a share in
+    every round, and later rounds work on the contracted graph only. Self loops count for strength.
     """
-    both = cut(symmetrise(edges).select("src", "dst").repartition("src"))
-    now = vertices.select("id", F.col("id").alias("community"))
+    both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    own = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("s"))
+    now = stored(vertices.select("id").join(own, "id", "left").select("id", F.col("id").alias("community"), F.coalesce("s", F.lit(0)).alias("s")))
+    m2 = now.agg(F.sum("s")).first()[0]
+    pairs = stored(both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"))
     done = 0
     while True:
-        own = now.select(F.col("id").alias("dst"), F.col("community").alias("own"))
-        votes = both.join(now.select(F.col("id").alias("src"), "community"), "src").groupBy("dst", "community").agg(F.count("*").alias("n"))
-        best = votes.join(own, "dst").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b"), F.max(F.when(F.col("community") == F.col("own"), F.col("n")).otherwise(0)).alias("has"))
-        want = F.coalesce(-F.col("b.n") > F.col("has"), F.lit(False))
-        turn = F.pmod(F.xxhash64(F.lit(done), "id"), F.lit(2)) == 0
-        told = cut(now.join(best, "id", "left").select("id", F.when(want & turn, F.col("b.community")).otherwise(F.col("community")).alias("community"), want.alias("want")))
-        now = told.select("id", "community")
-        if told.where("want").isEmpty():
-            return now
+        moves = stored(_moves(pairs, now.groupBy("community").agg(F.sum("s").alias("s")), m2, done))
+        if moves.isEmpty():
+            return now.select("id", "community")
+        to = lambda c: moves.select(F.col("a").alias(c), F.col("head").alias(f"_{c}"))
+        now = stored(now.join(to("community"), "community", "left").select("id", F.coalesce("_community", "community").alias("community"), "s"))
+        ends = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "w")
+        pairs = stored(ends.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
         done += 1
 
 
+def _moves(pairs: DataFrame, strength: DataFrame, m2: float, done: int) -> DataFrame:
+    """(a, head): the communities that merge in a round, and what each merges into."""
+    s = lambda c: strength.select(F.col("community").alias(c), F.col("s").alias(f"s{c}"))
+    gain = F.col("w") - F.col("sa") * F.col("sb") / m2
+    good = pairs.join(s("a"), "a").join(s("b"), "b").withColumn("gain", gain).where("gain > 0")
+    side = lambda a, b: F.struct(F.col(a).alias("a"), F.col(f"s{a}").alias("sa"), F.struct("gain", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"), F.col(b).alias("b"), F.col(f"s{b}").alias("sb"), "w").alias("c"))
+    best = stored(good.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).select("e.*").groupBy("a").agg(F.max("c").alias("c"), F.first("sa").alias("sa")).select("a", "sa", "c.b", "c.sb", "c.w"))
+    next_ = best.select(F.col("a").alias("b"), F.col("b").alias("t"), F.col("sb").alias("st"))
+    third = best.select(F.col("a").alias("t"), F.col("b").alias("u"))
+    paired, to_pair = F.col("t") == F.col("a"), F.col("u") == F.col("b")
+    waits = lambda c: F.pmod(F.xxhash64(F.lit(done), c), F.lit(2)) == 0
+    told = stored(best.join(next_, "b").join(third, "t"))
+    pairing = told.where(paired & (F.col("a") > F.col("b"))).select("a", F.col("b").alias("head"))
+    asks = told.where(~paired & ~waits("a") & (to_pair | waits("b"))).select(
+        "a", "sa", "w", F.when(to_pair, F.least("b", "t")).otherwise(F.col("b")).alias("head"), F.when(to_pair, F.col("sb") + F.col("st")).otherwise(F.col("sb")).alias("base"),
+        F.least(F.lit(LEVELS - 1), F.floor(-F.log2((F.pmod(F.xxhash64("a", F.lit(done)), F.lit(1 << 30)) + 1) / (1 << 30)))).alias("level"),
+    )
+    sums = F.array(*[F.sum(F.when(F.col("level") >= k, F.col("sa")).otherwise(0)) for k in range(LEVELS)])
+    heads = asks.groupBy("head").agg(sums.alias("sums"), F.greatest(F.max("base"), F.max("sa")).alias("most"))
+    keep = F.array_position(F.transform("sums", lambda x: x <= F.col("most")), F.lit(True))
+    heads = heads.withColumn("k", keep).where("k > 0").select("head", F.col("k") - 1, F.element_at("sums", F.col("k").cast("int")).alias("all")).toDF("head", "k", "all")
+    takes = (F.col("level") >= F.col("k")) & (F.col("w") - F.col("sa") * (F.col("base") + F.col("all") - F.col("sa")) / m2 > 0)
+    return pairing.union(asks.join(heads, "head").where(takes).select("a", "head"))
+
+
 def order_by_community(labels: DataFrame) -> DataFrame:
     """(id, new): ids such that communities are contiguous, numbered range by range."""
     part = labels.repartitionByRange("community", "id").withColumn("_p", F.spark_partition_id())

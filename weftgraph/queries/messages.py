@@ -332,13 +332,13 @@ def g11(spark, d):
 
 @query("g10_communities")
 def g10(spark, d):
-    return community.label_propagation(part_graph(spark, d), part_vertices(spark, d))
+    return community.merge_communities(part_graph(spark, d), part_vertices(spark, d))
 
 
 @query("g12_reorder")
 def g12(spark, d):
     e = part_graph(spark, d)
-    return community.reorder(e, community.order_by_community(community.label_propagation(e, part_vertices(spark, d)))).select("src", "dst", "w")
+    return community.reorder(e, community.order_by_community(community.merge_communities(e, part_vertices(spark, d)))).select("src", "dst", "w")
 
 
 @query("g13_degree_order", f"WITH {PART_GRAPH} SELECT id, row_number() OVER (ORDER BY n DESC, id) - 1 AS new FROM (SELECT p_partkey AS id, count(e.src) AS n FROM part LEFT JOIN e ON e.dst = p_partkey GROUP BY 1)")
