@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, langid, media, mixing, mixlm, quality, rules, secrets, sharding, simhash
-from weftgraph.llm.common import n_words
+from weftgraph.llm import bpe, bytebpe, langid, media, merkle, mixing, mixlm, periodic, quality, rules, secrets, sharding, simhash
+from weftgraph.llm.common import WORD, n_words
 
 KEY = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
 ROWS = [
@@ -50,6 +50,9 @@ OPERATORS = {
     "quality": lambda d: quality.score_quality(d, quality.fit_quality(d, d.select("doc_id", F.lit(1).alias("quality")))),
     "bpe": lambda d: bpe.bpe_decode(bpe.bpe_encode(d, bpe.default_vocabulary()), bpe.default_vocabulary()),
     "dedup": simhash.drop_near_duplicates,
+    "merkle": lambda d: merkle.merkle_manifest(d, ["doc_id", "text", "source"], "lang", "doc_id"),
+    "runs": lambda d: periodic.periodic_runs(d.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))),
+    "bytes": lambda d: bytebpe.byte_bpe_decode(bytebpe.byte_bpe_encode(d, bytebpe.default_vocabulary()), bytebpe.default_vocabulary()),
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import bpe, langid, media, mixing, mixlm, quality, rules, secrets, sharding, simhash
+from weftgraph.llm import bpe, bytebpe, langid, media, merkle, mixing, mixlm, periodic, quality, rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_runs": periodic.op12_runs,
+    "op13_byte_bpe": bytebpe.op13_byte_bpe,
 }
-SQL = {"op6_mix_sources": mixing.OP6_SQL}
+SQL = {"op6_mix_sources": mixing.OP6_SQL, "op11_merkle": merkle.OP11_SQL}
