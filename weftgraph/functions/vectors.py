@@ -71,6 +71,7 @@ def log_softmax(a: Column) -> Column:
 
 
 def argmax(a: Column) -> Column:
+    """The place of the largest number, the first of equal ones."""
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 

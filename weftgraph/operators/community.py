@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.structure import degrees, map_ids
+from weftgraph.operators.structure import degrees, map_ids, numbered
 from weftgraph.plans.lineage import stored
 
 
@@ -77,11 +77,7 @@ def _moves(pairs: DataFrame, strength: DataFrame, m2: float, done: int) -> DataF
 
 def order_by_community(labels: DataFrame) -> DataFrame:
     """(id, new): ids such that communities are contiguous, numbered range by range."""
-    part = labels.repartitionByRange("community", "id").withColumn("_p", F.spark_partition_id())
-    counts = part.groupBy("_p").agg(F.count("*").alias("n"))
-    base = counts.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("community", "id")) - 1
-    return part.withColumn("_i", place).join(base, "_p").select("id", (F.col("base") + F.col("_i")).alias("new"))
+    return numbered(labels, "community", "id").select("id", "new")
 
 
 def order_by_degree(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def edge_predictor(pairs: DataFrame, x: DataFrame, w_src: Matrix, w_dst: Matrix,
 
 
 def node_classifier(x: DataFrame, w1: Matrix, w2: Matrix) -> DataFrame:
-    """(id, p, label): a two-layer perceptron's probabilities and the best class."""
+    """(id, p, label): a two-layer perceptron's probabilities and the best class, the first of equal ones."""
     p = vec.softmax(vec.linear(vec.relu(vec.linear(F.col("x"), w1)), w2))
     return x.select("id", p.alias("p")).withColumn("label", vec.argmax(F.col("p")))
 

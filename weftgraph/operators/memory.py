@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import vectors as vec
 from weftgraph.operators.layers import Matrix, attention
 from weftgraph.operators.temporal import batches
-from weftgraph.plans.lineage import cut, shared_dir
+from weftgraph.plans.lineage import forget, shared_dir
 
 
 @dataclass
@@ -85,19 +85,26 @@ def evolve(events: DataFrame, size: int, cell: Cell) -> DataFrame:
 
     In each batch every node that has an event takes its latest mail, which holds the memories of
     before the batch. Batches lie in folders of their own, so each round reads its events alone, and
-    only memories that change are computed.
+    only memories that change are computed. The state of a round is a table; that of the round before
+    is removed once it's written.
     """
     spark = events.sparkSession
     path = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
     batches(events, size).repartition("batch").write.partitionBy("batch").parquet(path)
     dealt = spark.read.parquet(path)
+    folder, written = f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}", None
     state = reset(events.select(F.col("src").alias("node")).limit(0), cell.dim)
     for row in dealt.select("batch").distinct().orderBy("batch").toLocalIterator():
         mails = self_mails(dealt.where(F.col("batch") == row["batch"]), state, cell.dim)
         now = read_state(state, mails, cell.dim)
         gap = (F.col("ts") - F.col("memory_ts")).cast("double")
         new = now.select("node", cell.step(F.col("mail"), gap, F.col("memory")).alias("memory"), F.col("ts").alias("memory_ts"))
-        state = cut(update_memory(state, new))
+        now, last = f"{folder}/{row['batch']}", written
+        update_memory(state, new).write.parquet(now)
+        state, written = spark.read.schema(state.schema).parquet(now), now
+        if last:
+            forget(spark, last)
+    forget(spark, path)
     return state
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors as vec
 from weftgraph.operators.structure import degrees
+from weftgraph.plans import ranges
 
 
 def copy_u(edges: DataFrame, x: DataFrame) -> DataFrame:
@@ -83,5 +84,5 @@ def gcn_weights(edges: DataFrame, vertices: DataFrame, norm: str = "both") -> Da
 def ordered_fold(messages: DataFrame, dim: int, decay: float = 0.5) -> DataFrame:
     """(id, x): a recurrent reducer, h = decay * h + x over a target's messages by source. The fold
     is a weighted sum with weights from places counted backwards, so it needs no sequential task."""
-    place = F.row_number().over(Window.partitionBy("dst").orderBy(F.col("src").desc())) - 1
-    return aggregate(messages.withColumn("x", vec.scale(F.col("x"), F.pow(F.lit(decay), place))), dim)
+    placed = ranges.placed(messages.select("src", "dst", "x"), ["dst"], ["src"], "_i", "_n")
+    return aggregate(placed.withColumn("x", vec.scale(F.col("x"), F.pow(F.lit(decay), F.col("_n") - F.col("_i") - 1))), dim)

@@ -14,12 +14,19 @@ def split_of(id_: Column, train: int, val: int) -> Column:
     return F.when(h < train, "train").when(h < train + val, "val").otherwise("test")
 
 
+#: Into how many lanes a seed's edges are dealt before they meet; each sends on as many as are asked for.
+LANES = 64
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, k: int, salt: int = 0, into: bool = False) -> DataFrame:
     """(seed, nbr): at most k out-neighbours (or in-neighbours) of each seed, without replacement."""
     here, there = ("dst", "src") if into else ("src", "dst")
     e = edges.select(F.col(here).alias("seed"), F.col(there).alias("nbr")).join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
-    order = Window.partitionBy("seed").orderBy(mix(F.col("seed"), F.col("nbr"), salt), "nbr")
-    return e.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("seed", "nbr")
+    order = [mix(F.col("seed"), F.col("nbr"), salt), "nbr"]
+    # the k first of each lane of a seed, then of its lanes: a hub's edges don't meet in one task
+    lane = Window.partitionBy("seed", F.pmod(F.xxhash64("nbr"), F.lit(LANES))).orderBy(*order)
+    few = e.withColumn("n", F.row_number().over(lane)).where(F.col("n") <= k)
+    return few.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).where(F.col("n") <= k).select("seed", "nbr")
 
 
 def multi_hop(edges: DataFrame, seeds: DataFrame, fanouts: list[int], salt: int = 0) -> DataFrame:

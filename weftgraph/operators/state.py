@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.plans import ranges
+
 
 def mails(events: DataFrame, payload: str = "w") -> DataFrame:
     """Two mails for each event: (node, peer, ts, eid, side, payload), each with the event's own time."""
@@ -20,10 +22,8 @@ def last_mail(mail: DataFrame) -> DataFrame:
 def mailbox(mail: DataFrame, slots: int) -> DataFrame:
     """(node, slot, ...): the last `slots` mails of each node in a ring: mail number i of a node
     stands in slot i modulo slots."""
-    order = Window.partitionBy("node").orderBy("ts", "eid", "side")
-    latest = Window.partitionBy("node").orderBy(F.col("ts").desc(), F.col("eid").desc(), F.col("side").desc())
-    ringed = mail.withColumn("slot", F.pmod(F.row_number().over(order) - 1, F.lit(slots))).withColumn("_n", F.row_number().over(latest))
-    return ringed.where(F.col("_n") <= slots).drop("_n")
+    placed = ranges.placed(mail, ["node"], ["ts", "eid", "side"], "_i", "_n")
+    return placed.where(F.col("_n") - F.col("_i") <= slots).withColumn("slot", F.pmod("_i", F.lit(slots))).drop("_i", "_n")
 
 
 def deliver_to_neighbours(mail: DataFrame, sampled: DataFrame) -> DataFrame:
@@ -36,15 +36,14 @@ def decayed_memory(mail: DataFrame, keep: float = 0.5) -> DataFrame:
     """(node, memory, memory_ts): h = keep * h + (1 - keep) * payload over a node's mails in time
     order, from zero. The recurrence is a weighted sum by places from the end, so it's an aggregate.
     """
-    back = F.row_number().over(Window.partitionBy("node").orderBy(F.col("ts").desc(), F.col("eid").desc(), F.col("side").desc())) - 1
-    w = mail.withColumn("_w", F.pow(F.lit(keep), back) * (1 - keep))
+    placed = ranges.placed(mail, ["node"], ["ts", "eid", "side"], "_i", "_n")
+    w = placed.withColumn("_w", F.pow(F.lit(keep), F.col("_n") - F.col("_i") - 1) * (1 - keep))
     return w.groupBy("node").agg(F.sum(F.col("_w") * F.col("payload")).alias("memory"), F.max("ts").alias("memory_ts"))
 
 
 def state_at(mail: DataFrame, times: DataFrame) -> DataFrame:
     """Each of times (label_id, node, at) with the count and sum of the node's payloads before it."""
-    e = mail.select("node", F.col("ts").alias("at"), F.lit(1).alias("kind"), "payload", F.lit(None).cast("long").alias("label_id"))
-    t = times.select("node", "at", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("payload"), F.col("label_id").cast("long").alias("label_id"))
-    so_far = Window.partitionBy("node").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(t).withColumn("n", F.sum("kind").over(so_far)).withColumn("total", F.coalesce(F.sum("payload").over(so_far), F.lit(0.0)))
+    e = mail.select("node", F.col("ts").alias("at"), F.lit(1).alias("kind"), "payload", F.lit(None).cast("long").alias("label_id"), F.col("eid").alias("_order"))
+    t = times.select("node", "at", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("payload"), F.col("label_id").cast("long").alias("label_id"), F.col("label_id").cast("long").alias("_order"))
+    both = ranges.running(e.unionByName(t), ["node"], ["at", "kind", "_order"], n=F.col("kind"), total=F.col("payload"))
     return both.where("kind = 0").select("label_id", "node", "n", "total")

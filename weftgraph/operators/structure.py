@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.plans import ranges
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})
@@ -58,6 +60,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
+def adjacency_chunks(edges: DataFrame, size: int) -> DataFrame:
+    """(id, chunk, neighbours): as adjacency(), in arrays of at most `size` neighbours, so that a hub is
+    no row that grows with it."""
+    parts = neighbour_groups(edges.select("src", "dst"), size)
+    return parts.groupBy(F.col("src").alias("id"), F.col("part").alias("chunk")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+
+
 def stats(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(n_nodes, n_edges, avg_degree, avg_span) in one row; span is |src - dst|."""
     e = edges.agg(F.count("*").alias("n_edges"), F.avg(F.abs(F.col("src") - F.col("dst"))).alias("avg_span"))
@@ -71,16 +80,18 @@ def right_norm(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return d.select("id", F.when(F.col("in_degree") > 0, 1 / F.col("in_degree")).otherwise(0.0).alias("norm"))
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "new") -> DataFrame:
+    """rows with their number from 0 in the order, counted range by range."""
+    return ranges.placed(rows.withColumn("_one", F.lit(0)), ["_one"], order, name).drop("_one")
+
+
 def compact_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with ends numbered from 0 in the order of the old ids, and the map (id, new).
 
     Ids are dealt in ranges and numbered within each; ranges' counts make the offsets.
     """
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    part = ids.repartitionByRange("id").withColumn("p", F.spark_partition_id())
-    counts = part.groupBy("p").agg(F.count("*").alias("n"))
-    base = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    new = part.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1).join(base, "p").select("id", (F.col("base") + F.col("i")).alias("new"))
+    new = numbered(ids, "id")
     return map_ids(edges, new), new
 
 
@@ -117,7 +128,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def neighbour_groups(edges: DataFrame, size: int) -> DataFrame:
     """(src, dst, part): each source's edges in groups of `size`, as salts for heavy vertices."""
-    return edges.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1) / size))
+    return ranges.placed(edges, ["src"], ["dst"], "_i").withColumn("part", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def active_edges(edges: DataFrame, state: DataFrame, active: Column) -> DataFrame:

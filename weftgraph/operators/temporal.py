@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.plans import ranges
+
 
 def time_sorted(events: DataFrame) -> DataFrame:
     """Events with pos, their place among the events of their source by time."""
-    return events.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("ts", "eid")) - 1)
+    return ranges.placed(events, ["src"], ["ts", "eid"])
 
 
 def recent(events: DataFrame, roots: DataFrame, k: int, offset: int = 0) -> DataFrame:
     """(root_id, rank, eid, nbr, ts, dt): the k latest events of each root's node strictly before its
     time (plus offset). roots: (root_id, node, root_ts).
 
-    Roots are laid among the events of their node in time order and carry the last k events before
-    them in a window frame, so a node with n events costs n * k and not n * n. Events at the same
-    time as a root sort behind it, which makes "before" strict.
+    Roots are laid among the events of their node in time order, and both are dealt by ranges of node
+    and time; a root takes the last k events before it, from its range and what that range got from
+    those before it. So a node with n events costs n * k and not n * n, and a busy node takes as many
+    tasks as its events need. Events at the same time as a root sort behind it, which makes "before"
+    strict.
     """
-    e = events.select(F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.struct("ts", "eid", "dst").alias("event"), F.lit(None).cast("long").alias("root_id"), F.lit(None).cast("long").alias("root_ts"))
-    r = roots.select("node", (F.col("root_ts") + offset).alias("at"), F.lit(0).alias("kind"), F.lit(None).alias("event"), F.col("root_id").cast("long").alias("root_id"), "root_ts")
-    both = e.unionByName(r)
-    # events alone are numbered, so that roots in between don't take places
-    timeline = Window.partitionBy("node").orderBy("at", "kind", F.col("event.eid"))
-    seen = both.withColumn("seen", F.coalesce(F.sum("kind").over(timeline.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    numbered = Window.partitionBy("node").orderBy("seen").rangeBetween(-k + 1, 0)
-    last = seen.withColumn("last", F.collect_list("event").over(numbered)).where("kind = 0")
-    got = F.reverse(F.array_sort("last"))
-    rows = last.select("root_id", "root_ts", F.posexplode(got).alias("rank", "e"))
+    e = events.select(F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col("eid").alias("_order"), F.struct("ts", "eid", "dst").alias("event"), F.lit(None).cast("long").alias("root_id"), F.lit(None).cast("long").alias("root_ts"))
+    r = roots.select("node", (F.col("root_ts") + offset).alias("at"), F.lit(0).alias("kind"), F.col("root_id").cast("long").alias("_order"), F.lit(None).alias("event"), F.col("root_id").cast("long").alias("root_id"), "root_ts")
+    last = ranges.last_before(e.unionByName(r), "node", ["at", "kind", "_order"], "event", k)
+    rows = last.select("root_id", "root_ts", F.posexplode("last").alias("rank", "e"))
     return rows.select("root_id", (F.col("rank") + 1).alias("rank"), "e.eid", F.col("e.dst").alias("nbr"), F.col("e.ts").alias("ts"), (F.col("root_ts") - F.col("e.ts")).alias("dt"))
 
 
@@ -36,13 +34,13 @@ def uniform(events: DataFrame, roots: DataFrame, k: int, salt: int = 0) -> DataF
     """(root_id, draw, eid, nbr, ts): k draws with replacement from the events strictly before each
     root, by a portable hash; roots with none get none.
 
-    A root knows how many events come before it; a draw is a place among those, joined by place.
+    A root knows how many events come before it, by running counts over ranges; a draw is a place
+    among those, joined by place.
     """
     e = time_sorted(events)
-    marks = e.select(F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("root_id"))
-    both = marks.unionByName(roots.select("node", F.col("root_ts").alias("at"), F.lit(0).alias("kind"), F.col("root_id").cast("long").alias("root_id")))
-    before = F.sum("kind").over(Window.partitionBy("node").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    counted = both.withColumn("n", before).where("kind = 0 and n > 0")
+    marks = e.select(F.col("src").alias("node"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("root_id"), F.col("eid").alias("_order"))
+    both = marks.unionByName(roots.select("node", F.col("root_ts").alias("at"), F.lit(0).alias("kind"), F.col("root_id").cast("long").alias("root_id"), F.col("root_id").cast("long").alias("_order")))
+    counted = ranges.running(both, ["node"], ["at", "kind", "_order"], n=F.col("kind")).where("kind = 0 and n > 0")
     draws = counted.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("pos", mix(F.col("root_id"), F.col("draw"), salt) % F.col("n"))
     return draws.join(e.select(F.col("src").alias("node"), "pos", "eid", F.col("dst").alias("nbr"), "ts"), ["node", "pos"]).select("root_id", "draw", "eid", "nbr", "ts")
 
@@ -91,8 +89,20 @@ def batches(events: DataFrame, size: int, offset: int = 0) -> DataFrame:
 
     Places are counted in ranges of time and put together from the counts of the ranges.
     """
-    part = events.repartitionByRange("ts", "eid").withColumn("_p", F.spark_partition_id())
-    counts = part.groupBy("_p").agg(F.count("*").alias("n"))
-    base = counts.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("ts", "eid")) - 1
-    return part.withColumn("_i", place).join(base, "_p").withColumn("batch", F.floor((F.col("base") + F.col("_i") + offset) / size)).select(*events.columns, "batch")
+    return _numbered(events).withColumn("batch", F.floor((F.col("_i") + offset) / size)).drop("_i")
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """Events with _i, their place in time order. All events are one key here, so the table of ranges
+    has a row a range."""
+    return ranges.placed(events.withColumn("_one", F.lit(0)), ["_one"], ["ts", "eid"], "_i").drop("_one")
+
+
+def epoch_batches(events: DataFrame, size: int, chunks: int, epochs: int, seed: int = 0) -> DataFrame:
+    """Events with epoch (from 0) and batch, once for each epoch: batches of `size` events in time
+    order whose borders are moved back by a number of chunks (size / chunks events each) that is drawn
+    for each epoch, so that epochs see other neighbours of a border. What comes before the first border
+    is batch -1."""
+    drawn = mix(F.col("epoch"), F.lit(seed), 0) % chunks * (size // chunks)
+    rows = _numbered(events).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+    return rows.withColumn("batch", F.floor((F.col("_i") - drawn) / size)).drop("_i")

@@ -32,9 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from the files, so that neither the plan nor a
-    recomputation after a lost executor reaches further back."""
+    recomputation after a lost executor reaches further back.
+
+    The cut plan keeps df's partitioning but not what is known of its columns: such constraints are
+    carried from round to round, and through unions and outer joins of a state with itself their
+    number doubles each time.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -46,6 +57,12 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As cut(), as a compressed Parquet table in the shared folder; for wide or long results."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -19,6 +19,11 @@ def p1_adjacency(spark, d):
     return st.adjacency(part_graph(spark, d)).select("id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
 
 
+@query("p1_adjacency_chunks", G + "SELECT src AS id, chunk, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM (SELECT src, dst, CAST((row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 3 AS BIGINT) AS chunk FROM e) GROUP BY src, chunk")
+def p1_chunks(spark, d):
+    return st.adjacency_chunks(part_graph(spark, d), 3).select("id", "chunk", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
 @query("p2_temporal_adjacency", f"WITH {EVENT_GRAPH} SELECT src, eid, dst, ts, row_number() OVER (PARTITION BY src ORDER BY ts, eid) - 1 AS pos FROM ev")
 def p2(spark, d):
     from weftgraph.operators.temporal import time_sorted

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from weftgraph.functions import vectors as vec
 from weftgraph.operators import layers, memory, partition, sampling, state, temporal
 from weftgraph.queries import query
-from weftgraph.sources.graphs import EVENT_GRAPH, PART_GRAPH, SEEDS, event_graph, features, part_graph, part_vertices, seeds
+from weftgraph.sources.graphs import EVENT_GRAPH, KINDS, PART_GRAPH, SEEDS, event_graph, features, part_graph, part_vertices, seeds
 
 EV = f"WITH {EVENT_GRAPH}"
 DAY = 86_400_000_000
+MIX = "({} * 2654435761 + {} * 40503 + {}) % 2147483629"
 
 
 def _roots(e):
@@ -24,8 +25,6 @@ def n6(spark, d):
     return temporal.recent(e, _roots(e), 3)
 
 
-MIX = "({} * 2654435761 + {} * 40503 + {}) % 2147483629"
-
 
 @query("n7_uniform", f"""{EV}, p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, eid) - 1 AS pos FROM ev),
 c AS (SELECT r.eid AS root_id, r.src, (SELECT count(*) FROM ev x WHERE x.src = r.src AND x.ts < r.ts) AS n FROM ev r),
@@ -76,9 +75,9 @@ def p20(spark, d):
     return temporal.batches(event_graph(spark, d), 600).select("eid", "batch")
 
 
-@query("p21_shifted_batches", f"{EV} SELECT eid, CAST((row_number() OVER (ORDER BY ts, eid) - 1 + 150) // 600 AS BIGINT) AS batch FROM ev")
+@query("p21_shifted_batches", f"{EV}, i AS (SELECT eid, row_number() OVER (ORDER BY ts, eid) - 1 AS i FROM ev), d AS (SELECT k AS epoch, {MIX.format('k', 7, 0)} % 8 * 75 AS shift FROM (SELECT unnest(range(0, 5)) AS k)) SELECT eid, epoch, CAST(floor((i - shift) / 600) AS BIGINT) AS batch FROM i, d")
 def p21(spark, d):
-    return temporal.batches(event_graph(spark, d), 600, offset=150).select("eid", "batch")
+    return temporal.epoch_batches(event_graph(spark, d), 600, 8, 5, 7).select("eid", "epoch", "batch")
 
 
 @query("p25_distinct_roots", f"{EV} SELECT DISTINCT dst, ts // {DAY} AS day FROM ev")
@@ -164,7 +163,7 @@ def _attention_parts(spark, d, k: int = 3):
     n = x.agg(F.count("*").alias("n"))
     sampled = temporal.recent(e, _roots(e), k)
     own = e.crossJoin(F.broadcast(n)).select(F.col("eid").alias("root_id"), (F.col("src") % F.col("n")).alias("id")).join(x, "id").select("root_id", "x")
-    return e, x, sampled, own
+    return e, x.withColumn("id", F.col("id") + KINDS), sampled, own  # neighbours are types
 
 
 @query("l11_temporal_attention")
@@ -180,7 +179,7 @@ def l12(spark, d):
     """Of each root the neighbours' mean vector in three weekly windows, put together by a recurrent cell."""
     e, x = event_graph(spark, d), features(spark, d)
     dim = len(x.first()["x"])
-    near = temporal.snapshots(e, _roots(e), 2, 3, 7 * DAY).join(x.select(F.col("id").alias("nbr"), "x"), "nbr")
+    near = temporal.snapshots(e, _roots(e), 2, 3, 7 * DAY).join(x.select((F.col("id") + KINDS).alias("nbr"), "x"), "nbr")
     steps = vec.reduce_vectors(near, ["root_id", "window"], "x", dim, "mean")
     return vec.long_form(memory.snapshot_state(steps, 3, dim, layers.weights(4, dim), layers.weights(4, 4, 2)), ["root_id"], "x", 6)
 
@@ -194,7 +193,7 @@ def cell(kind: str = "gru") -> memory.Cell:
 
 
 def _featured(e):
-    return e.select("eid", "src", (F.col("dst") + 1_000_000_000).alias("dst"), "ts", F.array(F.col("w") / 100).alias("feature"))
+    return e.select("eid", "src", "dst", "ts", F.array(F.col("w") / 100).alias("feature"))
 
 
 @query("st7_gru_memory")

@@ -42,15 +42,20 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUPPLY_GRAPH = "s AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)"
 
 
+#: The id of the first type of event.
+KINDS = 1_000_000_000
+
+
 def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(eid, src, dst, ts, w): a user acts on a type of event; ts in microseconds."""
+    """(eid, src, dst, ts, w): a user acts on a type of event; ts in microseconds. Types have ids from
+    KINDS on, apart from those of users."""
     kinds = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
-    code = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()], F.lit(5)).cast("long")
+    code = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()], F.lit(5)).cast("long") + KINDS
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("eid"), F.col("user_id").alias("src"), code.alias("dst"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("ts"), F.col("value").alias("w"))
 
 
 EVENT_GRAPH = """ev AS (SELECT event_id AS eid, user_id AS src, CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
-  WHEN 'signup' THEN 3 WHEN 'view' THEN 4 ELSE 5 END AS BIGINT) AS dst, epoch_us(ts) AS ts, value AS w FROM events)"""
+  WHEN 'signup' THEN 3 WHEN 'view' THEN 4 ELSE 5 END AS BIGINT) + 1000000000 AS dst, epoch_us(ts) AS ts, value AS w FROM events)"""
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
