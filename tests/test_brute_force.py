@@ -9,7 +9,7 @@ from weftgraph.functions import vectors
 from weftgraph.operators import community, layers, memory
 from weftgraph.plans.lineage import cut
 from weftgraph.queries import temporals
-from weftgraph.sources.formats import uniform_graph
+from weftgraph.sources.generated import uniform_graph
 from weftgraph.sources.graphs import KINDS, event_graph, features, part_graph, part_vertices
 
 

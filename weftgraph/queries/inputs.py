@@ -2,9 +2,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftgraph.functions import vectors as vec
 from weftgraph.queries import query
-from weftgraph.sources import formats
-from weftgraph.sources.graphs import EVENT_GRAPH, PART_GRAPH, event_graph, part_graph, part_vertices, table
+from weftgraph.sources import formats, generated, ranged
+from weftgraph.sources.graphs import EVENT_GRAPH, FEATURES, PART_GRAPH, event_graph, features, part_graph, part_vertices, table
 
 
 @query("s3_binary_round_trip", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e")
@@ -14,6 +15,30 @@ def s3(spark, d):
     return formats.from_binary(formats.to_binary(e, parts, 512), 512)
 
 
+@query("s3_s4_file_ranges", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e")
+def s3_ranges(spark, d):
+    """Files of compressed rows with weights, each read by several tasks."""
+    ranged.write_csr(part_graph(spark, d), path := _path(spark, "csr"), 1024)
+    return ranged.read_csr(spark, path, weighted=True, edges=700, rows_per_file=1024)
+
+
+@query("s8_array_ranges", f"WITH {FEATURES} SELECT id, pos, round(v, 6) AS val FROM f")
+def s8(spark, d):
+    """Feature arrays, each file read by several tasks."""
+    ranged.write_npy(features(spark, d), path := _path(spark, "npy"), 300)
+    return vec.long_form(ranged.read_npy(spark, path, 70), ["id"], "x")
+
+
+@query("s22_features_labels_split", f"""WITH x AS (SELECT p_partkey AS id, list_transform(range(0, 5), lambda j: ((p_partkey + 1) * 2654435761 + (j + 1) * 40503 + 3) % 2147483629 / 2147483629) AS x, ((p_partkey + 1) * 2654435761 + 3) % 2147483629 AS h FROM part),
+r AS (SELECT *, row_number() OVER (ORDER BY h, id) - 1 AS i, count(*) OVER () AS n FROM x)
+SELECT id, round(list_sum(x), 6) AS total, h % 7 AS label, CASE WHEN i < n * 65 // 100 THEN 'train' WHEN i < n * 75 // 100 THEN 'val' ELSE 'test' END AS split FROM r""")
+def s22(spark, d):
+    """Random features, labels and a split of 65, 10 and 25 in a hundred for the parts."""
+    ids = part_vertices(spark, d)
+    x = generated.random_features(ids, 5, 3).select("id", F.round(vec.total(F.col("x")), 6).alias("total"))
+    return x.join(generated.random_labels(ids, 7, 3), "id").join(generated.random_split(ids, 65, 10, 3), "id")
+
+
 @query("s1_edge_lines", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e")
 def s1(spark, d):
     import uuid

@@ -124,12 +124,6 @@ def latest_versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def uniform_graph(spark: SparkSession, nodes: int, edges: int, seed: int = 0) -> DataFrame:
-    """(src, dst): random ends by hash, the same on every run."""
-    end = lambda side: F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "id"), F.lit(nodes)).alias(side)
-    return spark.range(edges).select(end("src"), end("dst"))
-
-
 def read_commented(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) of tab-separated lines; lines that begin with # don't count."""
     return spark.read.csv(path, sep="\t", comment="#", schema="src long, dst long")
