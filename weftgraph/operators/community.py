@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.structure import degrees, map_ids, numbered
-from weftgraph.plans.lineage import stored
+from weftgraph.plans import ranges
+from weftgraph.plans.lineage import cut, stored
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -23,7 +24,14 @@ LEVELS = 16
 
 
 def merge_communities(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, community) such that no two communities would raise the modularity by merging.
+    """(id, community) such that no two communities would raise the modularity by merging."""
+    return merge_forest(edges, vertices)[0]
+
+
+def merge_forest(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, community) such that no two communities would raise the modularity by merging, and the
+    merges that made them, (id, parent, round, size): the community `id`, of `size` vertices, merged
+    into `parent` in a round. Both are named by the vertex they began as.
 
     Directions of edges don't count; weights w do. Every vertex starts alone. In each round a
     community looks for the neighbour whose merge gains most, w(a, b) - s(a) s(b) / m2. Pairs that
@@ -38,11 +46,13 @@ def merge_communities(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     now = stored(vertices.select("id").join(own, "id", "left").select("id", F.col("id").alias("community"), F.coalesce("s", F.lit(0)).alias("s")))
     m2 = now.agg(F.sum("s")).first()[0]
     pairs = stored(both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"))
-    done = 0
+    done, forest = 0, vertices.select("id", F.col("id").alias("parent"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("size")).limit(0)
     while True:
         moves = stored(_moves(pairs, now.groupBy("community").agg(F.sum("s").alias("s")), m2, done))
         if moves.isEmpty():
-            return now.select("id", "community")
+            return now.select("id", "community"), forest
+        sizes = now.groupBy(F.col("community").alias("a")).agg(F.count("*").alias("size"))
+        forest = forest.unionByName(stored(moves.join(sizes, "a").select(F.col("a").alias("id"), F.col("head").alias("parent"), F.lit(done).alias("round"), "size")))
         to = lambda c: moves.select(F.col("a").alias(c), F.col("head").alias(f"_{c}"))
         now = stored(now.join(to("community"), "community", "left").select("id", F.coalesce("_community", "community").alias("community"), "s"))
         ends = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "w")
@@ -80,6 +90,33 @@ def order_by_community(labels: DataFrame) -> DataFrame:
     return numbered(labels, "community", "id").select("id", "new")
 
 
+def order_by_forest(vertices: DataFrame, forest: DataFrame) -> DataFrame:
+    """(id, new): the places of all vertices in a walk of the merge forest in depth: a vertex, then
+    what merged into it, the earliest round first and then the least id, each with all that merged
+    into that before; trees by the ids of their roots.
+
+    A vertex stands behind its parent by one and the sizes of its earlier siblings, which are running
+    sums over ranges, so a root with very many children is no single task. Distances to the root are
+    added up by jumping: each round doubles the steps, so they are as many as the logarithm of the
+    forest's depth, which is at most the number of merge rounds.
+    """
+    kids = ranges.running(forest, ["parent"], ["round", "id"], _sum=F.col("size"))
+    links = kids.select("id", F.col("parent").alias("up"), (1 + F.col("_sum") - F.col("size")).alias("off"))
+    below = forest.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("_below"))
+    tops = vertices.select("id").join(forest.select("id"), "id", "left_anti").join(below, "id", "left")
+    tops = tops.select("id", (1 + F.coalesce("_below", F.lit(0))).alias("_size"), F.lit(0).alias("_one"))
+    base = ranges.running(tops, ["_one"], ["id"], _sum=F.col("_size")).select("id", (F.col("_sum") - F.col("_size")).alias("base"))
+    left = cut(links.select("id", "up", "off", F.lit(False).alias("end")).unionByName(tops.select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("off"), F.lit(True).alias("end"))))
+    while True:
+        ended = left.where("end")
+        if left.where("not end").isEmpty():
+            break
+        step = left.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("off").alias("_off"), F.col("end").alias("_end"))
+        moved = left.where("not end").join(step, "up").select("id", F.col("_up").alias("up"), (F.col("off") + F.col("_off")).alias("off"), F.col("_end").alias("end"))
+        left = cut(ended.unionByName(moved))
+    return left.join(base.select(F.col("id").alias("up"), "base"), "up").select("id", (F.col("base") + F.col("off")).alias("new"))
+
+
 def order_by_degree(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, new): by in-degree, largest first, then by id."""
     d = degrees(edges, vertices).select("id", (-F.col("in_degree")).alias("community"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors as vec
-from weftgraph.operators import message
+from weftgraph.operators import message, sampling
 
 Matrix = Sequence[Sequence[float]]
 
@@ -45,6 +46,63 @@ def gin(edges: DataFrame, x: DataFrame, w: Matrix, eps: float = 0.5) -> DataFram
     return dense(s.withColumn("x", vec.scale(F.col("x"), F.lit(eps))), w)
 
 
+def gin_grads(edges: DataFrame, x: DataFrame, grad: DataFrame, w: Matrix, eps: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """The derivatives of gin() by w, (row, col, grad), and by x, (id, x), given that by its output,
+    grad (id, x). Nodes without edges have no row in the second, which stands for zeros."""
+    dim = len(w[0])
+    sums = message.spmm(edges, x, dim).withColumn("x", vec.scale(F.col("x"), F.lit(eps)))
+    by_w = message.weight_grad(sums, grad, len(w), dim)
+    back = message.spmm_grad_nodes(edges, grad, len(w)).withColumn("x", vec.scale(F.col("x"), F.lit(eps)))
+    return by_w, dense(back, [list(col) for col in zip(*w, strict=True)])
+
+
+@dataclass
+class Lstm:
+    """Weights of a recurrent cell with input, forget, candidate and output gates in this order:
+    (4 * dim, inputs), (4 * dim, dim) and 4 * dim biases."""
+
+    w: Matrix
+    u: Matrix
+    b: Sequence[float]
+
+    @property
+    def dim(self) -> int:
+        return len(self.u[0])
+
+    def step(self, state: Column, gates: Column) -> Column:
+        """The state (h, c) after an input whose part of the gates, w x + b, is given."""
+        d = self.dim
+        z = vec.add(gates, vec.linear(state["h"], self.u))
+        part = lambda p, i: F.slice(p["z"], i * d + 1, d)
+        sigmoid = lambda v: F.transform(v, vec.sigmoid)
+
+        def cell(p: Column) -> Column:
+            c = vec.add(vec.mul(sigmoid(part(p, 1)), p["c"]), vec.mul(sigmoid(part(p, 0)), F.transform(part(p, 2), F.tanh)))
+            return F.struct(c.alias("c"), sigmoid(part(p, 3)).alias("o"))
+
+        def shown(p: Column) -> Column:
+            return F.struct(vec.mul(p["o"], F.transform(p["c"], F.tanh)).alias("h"), p["c"].alias("c"))
+
+        once = F.transform(F.array(F.struct(z.alias("z"), state["c"].alias("c"))), cell)
+        return F.transform(once, shown)[0]
+
+
+def lstm_reduce(edges: DataFrame, x: DataFrame, cell: Lstm, fan: int, salt: int = 0) -> DataFrame:
+    """(id, x): the last state of a recurrent cell over the vectors of at most `fan` in-neighbours of
+    each target, drawn by hash, in the order of their ids.
+
+    The inputs' part of the gates is multiplied once for each vector and not for each edge. A target
+    gets a list of at most `fan` of them and goes along it in one expression, so there's one shuffle
+    by target, whatever the fan is, and no hub with a longer list than others.
+    """
+    near = sampling.neighbours(edges, edges.select(F.col("dst").alias("id")).distinct(), fan, salt, into=True)
+    gates = x.select(F.col("id").alias("nbr"), vec.linear(F.col("x"), cell.w, cell.b).alias("g"))
+    lists = near.join(gates, "nbr").groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_list(F.struct("nbr", "g"))).alias("l"))
+    zero = F.array(*[F.lit(0.0)] * cell.dim)
+    last = F.aggregate("l", F.struct(zero.alias("h"), zero.alias("c")), lambda s, p: cell.step(s, p["g"]), lambda s: s["h"])
+    return lists.select("id", last.alias("x"))
+
+
 def gin_mlp(edges: DataFrame, x: DataFrame, w: Matrix, eps: float = 0.0) -> DataFrame:
     """relu(w ((1 + eps) x + mean of the neighbours))."""
     dim = len(w[0])
@@ -53,9 +111,11 @@ def gin_mlp(edges: DataFrame, x: DataFrame, w: Matrix, eps: float = 0.0) -> Data
     return dense(both, w).withColumn("x", vec.relu(F.col("x")))
 
 
-def sage(edges: DataFrame, x: DataFrame, w_self: Matrix, w_near: Matrix, how: str = "mean", normalise: bool = False) -> DataFrame:
-    """w_self x + w_near r(neighbours); r is mean, max after relu ("pool"), the mean that includes
-    the node itself ("gcn"), or a recurrent fold ("fold")."""
+def sage(edges: DataFrame, x: DataFrame, w_self: Matrix, w_near: Matrix, how: str = "mean", normalise: bool = False, lstm: Lstm | None = None, fan: int = 10, pool: tuple[Matrix, Sequence[float]] | None = None) -> DataFrame:
+    """w_self x + w_near r(neighbours); r is mean, max after relu ("pool", with `pool` the weights and
+    biases of a layer before it), the mean that includes the node itself ("gcn"), the last state of a
+    recurrent cell over at most `fan` neighbours ("lstm"), or a recurrent fold ("fold"). Neighbours'
+    part is zero where there are none."""
     dim = len(w_near[0])
     if how == "gcn":
         loops = x.select(F.col("id").alias("src"), F.col("id").alias("dst"))
@@ -64,8 +124,10 @@ def sage(edges: DataFrame, x: DataFrame, w_self: Matrix, w_near: Matrix, how: st
     else:
         if how == "fold":
             near = message.ordered_fold(message.copy_u(edges.select("src", "dst"), x), dim)
+        elif how == "lstm":
+            near = lstm_reduce(edges, x, lstm, fan)
         elif how == "pool":
-            near = message.spmm(edges, x.withColumn("x", vec.relu(F.col("x"))), dim, how="max")
+            near = message.spmm(edges, (dense(x, *pool) if pool else x).withColumn("x", vec.relu(F.col("x"))), dim, how="max")
         else:
             near = message.spmm(edges, x, dim, how="mean")
         near = filled(near, x, dim).withColumnRenamed("x", "n")

@@ -81,6 +81,17 @@ def gcn_weights(edges: DataFrame, vertices: DataFrame, norm: str = "both") -> Da
     return edges.join(a, "src").join(b, "dst").withColumn("w", w).drop("_o", "_i")
 
 
+def weight_grad(inputs: DataFrame, grad: DataFrame, rows: int, cols: int) -> DataFrame:
+    """(row, col, grad): the derivative by a matrix (rows, cols) that inputs (id, x) of `cols` numbers
+    are multiplied by, given that by the products, grad (id, x) of `rows` numbers: the sum over nodes
+    of outer products. A node gives `rows` blocks of one row each, which are summed by row before the
+    shuffle, so a task sends on `rows` vectors whatever the number of nodes. Nodes that stand on one
+    side only give nothing."""
+    both = inputs.select("id", F.col("x").alias("_x")).join(grad.select("id", F.col("x").alias("_g")), "id")
+    blocks = both.select(F.posexplode("_g").alias("row", "_v"), "_x").select("row", vec.scale(F.col("_x"), F.col("_v")).alias("x"))
+    return vec.reduce_vectors(blocks, ["row"], "x", cols).select(F.col("row").cast("long").alias("row"), F.posexplode("x").alias("col", "grad")).withColumn("col", F.col("col").cast("long"))
+
+
 def ordered_fold(messages: DataFrame, dim: int, decay: float = 0.5) -> DataFrame:
     """(id, x): a recurrent reducer, h = decay * h + x over a target's messages by source. The fold
     is a weighted sum with weights from places counted backwards, so it needs no sequential task."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.structure import numbered
 from weftgraph.operators.temporal import mix
 
 
@@ -45,6 +46,22 @@ def negatives(events: DataFrame, n_nodes: int, per_event: int, salt: int = 0) ->
     return rows.select("eid", "j", (mix(F.col("eid"), F.col("j"), salt) % n_nodes).alias("neg"))
 
 
+def unseen_nodes(split: DataFrame) -> DataFrame:
+    """(id): ends of test events that no train event has, of events with split."""
+    ends = lambda s: (e := split.where(F.col("split") == s)).select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return ends("test").join(ends("train"), "id", "left_anti")
+
+
+def negatives_among(events: DataFrame, nodes: DataFrame, per_event: int, salt: int = 0) -> DataFrame:
+    """(eid, j, neg): per_event random nodes of `nodes` (id) for each event. Nodes are numbered range by
+    range, and a draw is joined with the node of its number, so neither side is collected. Without
+    nodes there are no draws."""
+    pool = numbered(nodes.select("id").distinct(), "id", name="_i")
+    n = pool.agg(F.count("*").alias("_n"))
+    rows = events.select("eid", F.explode(F.sequence(F.lit(1), F.lit(per_event))).alias("j")).crossJoin(F.broadcast(n)).where("_n > 0")  # one row
+    return rows.withColumn("_i", mix(F.col("eid"), F.col("j"), salt) % F.col("_n")).join(pool, "_i").select("eid", "j", F.col("id").alias("neg"))
+
+
 def visit_share(visits: DataFrame, top: float) -> DataFrame:
     """(nodes, visits, top_nodes, hit_rate): the share of visits that go to the `top` most visited."""
     counts = visits.groupBy("id").agg(F.count("*").alias("n"))

@@ -185,6 +185,38 @@ def l4_fold(spark, d):
     return _out(layers.sage(e, x, W, V, "fold"))
 
 
+@query("l4_sage_lstm")
+def l4_lstm(spark, d):
+    e, x = _graph(spark, d)
+    return _out(layers.sage(e, x, W, layers.weights(4, 3, 7), "lstm", lstm=LSTM, fan=4))
+
+
+#: A small recurrent cell over vectors, for examples and tests.
+LSTM = layers.Lstm(layers.weights(12, DIM, 2), layers.weights(12, 3, 5), [0.1 * (i % 3) for i in range(12)])
+
+
+@query("m14_gcn_weight_grad", f"{_norm('both').rsplit('SELECT dst AS id', 1)[0]}, a AS (SELECT dst AS id, pos, sum(v * w) AS v FROM n JOIN pf ON pf.id = src GROUP BY dst, pos) SELECT g.pos AS row, a.pos AS col, round(sum(g.v * a.v), 5) AS grad FROM a JOIN pf g ON g.id = a.id AND g.pos < 4 GROUP BY g.pos, a.pos")
+def m14_grad(spark, d):
+    """The derivative by a layer's weights, given that by its output (here the first four numbers of each vector)."""
+    e, x = _graph(spark, d)
+    grad = x.select("id", F.slice("x", 1, 4).alias("x"))
+    out = message.weight_grad(message.spmm(message.gcn_weights(e.drop("w"), x), x, DIM, F.col("w")), grad, 4, DIM)
+    return out.withColumn("grad", F.round("grad", 5))
+
+
+@query("m15_gin_weight_grad", f"{G}, a AS (SELECT dst AS id, pos, 0.5 * sum(v) AS v FROM w JOIN pf ON pf.id = src GROUP BY dst, pos) SELECT g.pos AS row, a.pos AS col, round(sum(g.v * a.v), 5) AS grad FROM a JOIN pf g ON g.id = a.id AND g.pos < 4 GROUP BY g.pos, a.pos")
+def m15_grad(spark, d):
+    e, x = _graph(spark, d)
+    out = layers.gin_grads(e, x, x.select("id", F.slice("x", 1, 4).alias("x")), W)[0]
+    return out.withColumn("grad", F.round("grad", 5))
+
+
+@query("m15_gin_input_grad", f"{G}, b AS (SELECT src AS id, pos, 0.5 * sum(v) AS v FROM w JOIN pf ON pf.id = dst WHERE pos < 4 GROUP BY src, pos), m AS ({' UNION ALL '.join(f'SELECT {i} AS r, {j} AS c, {v}::DOUBLE AS k' for i, row in enumerate(W) for j, v in enumerate(row))}) SELECT id, c AS pos, round(sum(v * k), 5) AS val FROM b JOIN m ON m.r = b.pos GROUP BY id, c")
+def m15_input_grad(spark, d):
+    e, x = _graph(spark, d)
+    return vec.long_form(layers.gin_grads(e, x, x.select("id", F.slice("x", 1, 4).alias("x")), W)[1], ["id"], "x", 5)
+
+
 def _heads(n: int, salt: int = 0) -> list:
     return [(layers.weights(4, DIM, h + salt), [0.5, -0.25, 0.5, -0.25], [0.1, 0.2, 0.3, 0.4]) for h in range(n)]
 
@@ -338,8 +370,9 @@ def g10(spark, d):
 
 @query("g12_reorder")
 def g12(spark, d):
-    e = part_graph(spark, d)
-    return community.reorder(e, community.order_by_community(community.merge_communities(e, part_vertices(spark, d)))).select("src", "dst", "w")
+    """Edges between the places of their ends in a walk through the merges of communities."""
+    e, v = part_graph(spark, d), part_vertices(spark, d)
+    return community.reorder(e, community.order_by_forest(v, community.merge_forest(e, v)[1])).select("src", "dst", "w")
 
 
 @query("g13_degree_order", f"WITH {PART_GRAPH} SELECT id, row_number() OVER (ORDER BY n DESC, id) - 1 AS new FROM (SELECT p_partkey AS id, count(e.src) AS n FROM part LEFT JOIN e ON e.dst = p_partkey GROUP BY 1)")

@@ -91,6 +91,15 @@ def n12(spark, d):
     return sampling.negatives(e, e.agg(F.max("src") + 1).first()[0], 3, 17)
 
 
+@query("n12_unseen_negatives", f"{EV}, q AS (SELECT min(ts) + (max(ts) - min(ts)) * 1 // 100 AS a FROM ev), tr AS (SELECT src AS id FROM ev, q WHERE ts < a UNION SELECT dst FROM ev, q WHERE ts < a), te AS (SELECT src AS id FROM ev, q WHERE ts >= a UNION SELECT dst FROM ev, q WHERE ts >= a), u AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM te WHERE id NOT IN (SELECT id FROM tr)), p AS (SELECT eid, CAST(j AS INTEGER) AS j, {MIX.format('eid', 'j', 23)} % (SELECT count(*) FROM u) AS i FROM ev, q, (SELECT unnest(range(1, 3)) AS j) WHERE ts >= a) SELECT eid, j, id AS neg FROM p JOIN u USING (i)")
+def n12_unseen(spark, d):
+    """Random ends for the events after the first hundredth of the time, among nodes that it hasn't."""
+    e = event_graph(spark, d)
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    split = temporal.chronological_split(e, at := lo + (hi - lo) * 1 // 100, at)
+    return sampling.negatives_among(split.where("split = 'test'"), sampling.unseen_nodes(split), 2, 23)
+
+
 SAMPLED = "SELECT src AS seed, dst AS nbr, row_number() OVER (PARTITION BY src ORDER BY (src * 2654435761 + dst * 40503 + {}) % 2147483629, dst) AS n FROM e"
 
 
