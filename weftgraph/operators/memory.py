@@ -80,11 +80,18 @@ def deliver(mails: DataFrame, sampled: DataFrame, how: str = "mean") -> DataFram
     return sent.groupBy("node").agg(mixed.alias("payload"), F.count("*").alias("n"))
 
 
+def advance(events: DataFrame, state: DataFrame, cell: Cell) -> DataFrame:
+    """The state (node, memory, memory_ts) after a batch of events (eid, src, dst, ts, feature): every
+    node that has an event takes its latest mail, which holds the memories of before the batch."""
+    now = read_state(state, self_mails(events, state, cell.dim), cell.dim)
+    gap = (F.col("ts") - F.col("memory_ts")).cast("double")
+    return update_memory(state, now.select("node", cell.step(F.col("mail"), gap, F.col("memory")).alias("memory"), F.col("ts").alias("memory_ts")))
+
+
 def evolve(events: DataFrame, size: int, cell: Cell) -> DataFrame:
     """(node, memory, memory_ts) after all events (eid, src, dst, ts, feature) in batches of `size`.
 
-    In each batch every node that has an event takes its latest mail, which holds the memories of
-    before the batch. Batches lie in folders of their own, so each round reads its events alone, and
+    Batches take advance() one after the other. They lie in folders of their own, so each round reads its events alone, and
     only memories that change are computed. The state of a round is a table; that of the round before
     is removed once it's written.
     """
@@ -95,12 +102,8 @@ def evolve(events: DataFrame, size: int, cell: Cell) -> DataFrame:
     folder, written = f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}", None
     state = reset(events.select(F.col("src").alias("node")).limit(0), cell.dim)
     for row in dealt.select("batch").distinct().orderBy("batch").toLocalIterator():
-        mails = self_mails(dealt.where(F.col("batch") == row["batch"]), state, cell.dim)
-        now = read_state(state, mails, cell.dim)
-        gap = (F.col("ts") - F.col("memory_ts")).cast("double")
-        new = now.select("node", cell.step(F.col("mail"), gap, F.col("memory")).alias("memory"), F.col("ts").alias("memory_ts"))
         now, last = f"{folder}/{row['batch']}", written
-        update_memory(state, new).write.parquet(now)
+        advance(dealt.where(F.col("batch") == row["batch"]), state, cell).write.parquet(now)
         state, written = spark.read.schema(state.schema).parquet(now), now
         if last:
             forget(spark, last)
