@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors as vec
 from weftgraph.operators import layers, memory, partition, sampling, state, temporal
+from weftgraph.plans.lineage import shared_dir
 from weftgraph.queries import query
 from weftgraph.sources.graphs import EVENT_GRAPH, KINDS, PART_GRAPH, SEEDS, event_graph, features, part_graph, part_vertices, seeds
 
@@ -255,6 +258,30 @@ def r5(spark, d):
     return partition.with_halo(part_graph(spark, d), _assigned(spark, d), 1)
 
 
+NEW = f"{PARTS}, {HALO}, nw AS (SELECT id, part, row_number() OVER (ORDER BY part, id) - 1 AS new FROM a), bk AS (SELECT part, min(new) AS first, count(*) AS n FROM nw GROUP BY part), lv AS (SELECT nw.part, new - first AS local, id, new, true AS inner FROM nw JOIN bk USING (part) UNION ALL SELECT h.part, bk.n + row_number() OVER (PARTITION BY h.part ORDER BY nw.new) - 1, h.id, nw.new, false FROM h JOIN nw ON nw.id = h.id AND nw.part <> h.part JOIN bk ON bk.part = h.part)"
+
+
+@query("r5_local_vertices", f"{NEW} SELECT part, local, id, new, lv.inner AS inner FROM lv")
+def r5_local(spark, d):
+    return partition.local_vertices(part_graph(spark, d), partition.renumbered(_assigned(spark, d)), 1)
+
+
+@query("r4_s16_stored_parts", f"{NEW} SELECT a.part, a.local AS local_dst, b.local AS local_src, a.id AS dst, b.id AS src, b.new AS new_src, s.part AS part_src FROM e JOIN lv a ON a.id = e.dst AND a.inner JOIN lv b ON b.part = a.part AND b.id = e.src JOIN nw s ON s.id = e.src WHERE a.part IN (1, 3)")
+def r4_stored(spark, d):
+    """Two stored parts' edges with the global ids of their ends, and the sources' parts by the book."""
+    e = part_graph(spark, d)
+    local = partition.local_vertices(e, partition.renumbered(_assigned(spark, d)), 1)
+    partition.write_local_parts(e, features(spark, d), local, path := f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    book, out = partition.load_book(spark, path), None
+    for part in (1, 3):
+        own = partition.load_part(spark, path, part)
+        v = own["vertices"]
+        found = own["edges"].join(v.select(F.col("local").alias("local_dst"), F.col("id").alias("dst")), "local_dst").join(v.select(F.col("local").alias("local_src"), F.col("id").alias("src"), F.col("new").alias("new_src")), "local_src")
+        found = found.select(F.col("part").cast("long"), "local_dst", "local_src", "dst", "src", "new_src", partition.part_of(F.col("new_src"), book).alias("part_src"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("r8_metrics", f"{PARTS}, {HALO}, c AS (SELECT b.part, count(*) AS edges, sum(CASE WHEN a.part <> b.part THEN 1 ELSE 0 END) AS cut FROM e JOIN a ON a.id = src JOIN a b ON b.id = dst GROUP BY b.part) SELECT h.part, CAST(sum(CASE WHEN a.id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS inner, count(*) AS total, max(c.edges) AS edges, CAST(max(c.cut) AS BIGINT) AS cut FROM h LEFT JOIN a ON a.id = h.id AND a.part = h.part JOIN c ON c.part = h.part GROUP BY h.part")
 def r8(spark, d):
     return partition.metrics(part_graph(spark, d), _assigned(spark, d))
