@@ -23,6 +23,8 @@ PART = 1 << 16
 #: Pieces of at most so many characters are remembered with their tokens, at most so many of them; a
 #: full memory starts anew.
 SHORT, MEMORY = 64, 1 << 17
+#: New pieces that the library gets as the words of one text.
+GROUP = 1 << 13
 OUT = ("ids", "starts", "ends", "n_tokens")
 BACK = ("decoded", "decoded_bytes")
 #: A character that is no white space, and a blank or line break: every match of a pattern whose
@@ -91,6 +93,21 @@ def unlike_characters() -> str:
     return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
 
 
+class Numbers(dict):
+    """Numbers of pieces in the order in which they were first asked for; `new` are those whose tokens
+    aren't known yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+        self.next = 0
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = self.next
+        self.new.append(piece)
+        self.next += 1
+        return n
+
+
 class ByteBpe:
     """A tokenizer of the library, by its JSON. If `pattern` is given, texts without a character of
     `unlike` are split by the regex module, and the library gets each new piece once; other texts are
@@ -104,7 +121,7 @@ class ByteBpe:
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern) if pattern else None
         self.unlike = re.compile(f"[{unlike}]") if unlike else None
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self._forget()
         back = {c: b for b, c in enumerate(byte_characters())}
         vocabulary = self.whole.get_vocab()
         tokens = [b""] * (1 + max(vocabulary.values()))
@@ -131,26 +148,39 @@ class ByteBpe:
     def _encode(self, parts: list[str]) -> list[np.ndarray]:
         alike = [self.pattern is not None and (p.isascii() or self.unlike is None or not self.unlike.search(p)) for p in parts]
         other = iter(self.whole.encode_batch_fast([p for p, x in zip(parts, alike, strict=True) if not x], add_special_tokens=False))
-        split = [self.pattern.findall(p) if x else None for p, x in zip(parts, alike, strict=True)]
-        if len(self.memory) > MEMORY:
-            self.memory = {}
-        known = self.memory
-        new = list({x for pieces in split if pieces for x in pieces if x not in known})
-        known.update(zip(new, (tuple(e.ids) for e in self.piece.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out = []
-        for pieces in split:
-            if pieces is None:
-                out.append(np.array(next(other).ids, np.int32))
-                continue
-            ids: list[int] = []
-            for tokens in map(known.__getitem__, pieces):
-                ids.extend(tokens)
-            out.append(np.array(ids, np.int32))
-        for x in new:
-            if len(x) > SHORT:
-                del known[x]
+        if len(self.memory) > MEMORY or len(self.flat) > 16 * MEMORY:
+            self._forget()
+        found = []
+        for part, x in zip(parts, alike, strict=True):
+            pieces = self.pattern.findall(part) if x else []
+            found.append(np.fromiter(map(self.memory.__getitem__, pieces), np.int64, len(pieces)))
+        self._learn()
+        out = [self._tokens(n) if x else np.array(next(other).ids, np.int32) for n, x in zip(found, alike, strict=True)]
+        for piece in [x for x in self.memory.new if len(x) > SHORT]:
+            del self.memory[piece]
+        self.memory.new = []
         return out
 
+    def _forget(self) -> None:
+        """Start the memory of pieces anew: number n has the tokens flat[begin[n] : begin[n] + count[n]]."""
+        self.memory = Numbers()
+        self.flat, self.begin, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self) -> None:
+        """Tokens of the pieces that were numbered since the last time."""
+        for at in range(0, len(self.memory.new), GROUP):
+            some = self.memory.new[at : at + GROUP]
+            got = self.piece.encode(some, is_pretokenized=True, add_special_tokens=False)
+            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
+            self.count = np.concatenate([self.count, counts])
+            self.flat = np.concatenate([self.flat, np.array(got.ids, np.int32)])
+
+    def _tokens(self, pieces: np.ndarray) -> np.ndarray:
+        counts = self.count[pieces]
+        ends = np.cumsum(counts)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[pieces] - ends + counts, counts)]
+
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each token the first character it has a byte of, and the one behind its last."""
         data = np.frombuffer(text.encode(), np.uint8)
