@@ -8,6 +8,7 @@ from weftgraph.functions import vectors as vec
 from weftgraph.operators import layers, memory, partition, sampling, state, temporal
 from weftgraph.plans.lineage import shared_dir
 from weftgraph.queries import query
+from weftgraph.sources import temporal_store
 from weftgraph.sources.graphs import EVENT_GRAPH, KINDS, PART_GRAPH, SEEDS, event_graph, features, part_graph, part_vertices, seeds
 
 EV = f"WITH {EVENT_GRAPH}"
@@ -129,6 +130,15 @@ def n13(spark, d):
     return v.withColumns({"hit_rate": F.round("hit_rate", 6), "top_nodes": F.col("top_nodes").cast("long")})
 
 
+@query("s24_bucketed_as_of", f"{EV}, {RECENT} SELECT ev.eid AS root_id, ev.src AS node, ev.ts AS root_ts, rc.eid, rc.nbr, rc.ts FROM ev LEFT JOIN rc ON rc.root_id = ev.eid AND rc.rank = 1")
+def s24(spark, d):
+    """The event before each event of its node, from bucketed tables of both."""
+    e, name = event_graph(spark, d), f"weft_{uuid.uuid4().hex}"
+    temporal_store.save_events(e, f"{name}_events", 30 * DAY, 8)
+    temporal_store.save_roots(_roots(e), f"{name}_roots", 30 * DAY, 8)
+    return temporal_store.latest_before(spark, f"{name}_events", f"{name}_roots")
+
+
 MAIL = "m AS (SELECT src AS node, dst AS peer, ts, eid, 0 AS side, w AS payload FROM ev UNION ALL SELECT dst, src, ts, eid, 1, w FROM ev)"
 
 
