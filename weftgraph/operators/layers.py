@@ -137,15 +137,16 @@ def sage(edges: DataFrame, x: DataFrame, w_self: Matrix, w_near: Matrix, how: st
 
 def gat(edges: DataFrame, x: DataFrame, heads: Sequence[tuple[Matrix, Sequence[float], Sequence[float]]]) -> DataFrame:
     """Attention, the mean over heads of sum(alpha * w x[src]); a head is (w, query, key)."""
-    out = None
-    dim = len(heads[0][0])
-    for w, query, key in heads:
-        h = dense(x, w)
-        q = h.select("id", vec.dot(F.col("x"), F.array(*[F.lit(float(v)) for v in query])).alias("value"))
-        k = h.select("id", vec.dot(F.col("x"), F.array(*[F.lit(float(v)) for v in key])).alias("value"))
-        part = message.spmm(message.gat_scores(edges.select("src", "dst"), q, k), h, dim, F.col("alpha"))
-        out = part if out is None else out.union(part)
-    return vec.reduce_vectors(out, ["id"], "x", dim, "sum").withColumn("x", vec.scale(F.col("x"), F.lit(1.0 / len(heads))))
+    dim, n = len(heads[0][0]), len(heads)
+    own = lambda v, h: F.slice(v, h * dim + 1, dim)
+    scores = lambda side: F.array(*[vec.dot(own(F.col("_all"), h), F.array(*[F.lit(float(v)) for v in head[side]])) for h, head in enumerate(heads)])
+    # all heads' vectors are multiplied at once, and edges are joined with them once
+    nodes = x.select("id", vec.linear(F.col("x"), [row for head in heads for row in head[0]]).alias("_all")).select("id", "_all", scores(1).alias("_q"), scores(2).alias("_k"))
+    src = nodes.select(F.col("id").alias("src"), "_all", "_k")
+    met = edges.select("src", "dst").join(src, "src").join(nodes.select(F.col("id").alias("dst"), "_q"), "dst")
+    rows = met.select("dst", "_all", F.posexplode(vec.add(F.col("_q"), F.col("_k"))).alias("head", "_s")).withColumn("_s", vec.leaky_relu(F.col("_s")))
+    sums = message.edge_softmax(rows, "_s", ("dst", "head")).select(F.col("dst").alias("id"), vec.scale(own(F.col("_all"), F.col("head")), F.col("alpha") / n).alias("x"))
+    return vec.reduce_vectors(sums, ["id"], "x", dim)
 
 
 def attention(rows: DataFrame, heads: int, dim: int) -> DataFrame:

@@ -26,14 +26,23 @@ def u_mul_e(edges: DataFrame, x: DataFrame, weight: Column) -> DataFrame:
     return copy_u(edges.withColumn("_w", weight), x).withColumn("x", vec.scale(F.col("x"), F.col("_w"))).drop("_w")
 
 
+#: Scores whose exponentials are summed in relation to one number differ by this at most.
+STEP = 16.0
+
+
 def edge_softmax(edges: DataFrame, score: str, by: tuple[str, ...] = ("dst",), out: str = "alpha") -> DataFrame:
     """Edges with the softmax of score over the edges into a target (of a relation, of a head).
 
-    Maxima and sums are aggregated before they are joined, so a target with very many edges is
-    never gathered in one window."""
-    top = edges.groupBy(*by).agg(F.max(score).alias("_top"))
-    e = edges.join(top, list(by)).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
-    return e.join(e.groupBy(*by).agg(F.sum("_e").alias("_sum")), list(by)).withColumn(out, F.col("_e") / F.col("_sum")).drop("_top", "_e", "_sum")
+    Scores are summed by steps of STEP first, each step's exponentials in relation to its upper end, so
+    nothing overflows and no maximum has to be known before. A target's few steps then give its sum in
+    relation to its highest one, which is joined once. Both sums combine before the shuffle, so a
+    target with very many edges is never gathered. Null scores have no part in it and stay null."""
+    step = F.floor(F.col(score) / STEP)
+    parts = edges.where(F.col(score).isNotNull()).groupBy(*by, step.alias("_step")).agg(F.sum(F.exp(F.col(score) - (step + 1) * STEP)).alias("_part"))
+    whole = parts.groupBy(*by).agg(F.max("_step").alias("_high"), F.collect_list(F.struct("_step", "_part")).alias("_parts"))
+    scaled = F.transform("_parts", lambda p: p["_part"] * F.exp((p["_step"] - F.col("_high")) * STEP))
+    sums = whole.select(*by, ((F.col("_high") + 1) * STEP).alias("_end"), vec.total(scaled).alias("_sum"))
+    return edges.join(sums, list(by), "left").withColumn(out, F.exp(F.col(score) - F.col("_end")) / F.col("_sum")).drop("_end", "_sum")
 
 
 def aggregate(messages: DataFrame, dim: int, how: str = "sum") -> DataFrame:
