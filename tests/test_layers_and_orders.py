@@ -64,6 +64,17 @@ def test_sage_with_lstm_and_pool_layer(small):
         assert np.allclose(pooled[i], want / np.linalg.norm(want) if want.any() else want)
 
 
+def test_softmax_of_far_apart_and_missing_scores(spark):
+    rng = random.Random(1)
+    rows = [(i, i % 3, rng.choice([-900.0, -1.0, 0.5, 15.9, 16.1, 800.0]) + rng.random() if i % 3 else rng.uniform(-40, 40)) for i in range(300)] + [(999, 1, None), (998, 5, None)]
+    got = {r["src"]: r["alpha"] for r in message.edge_softmax(spark.createDataFrame(rows, "src long, dst long, s double"), "s").collect()}
+    for t in range(3):
+        s = {i: v for i, d, v in rows if d == t and v is not None}
+        e = {i: np.exp(v - max(s.values())) for i, v in s.items()}
+        assert all(abs(got[i] - e[i] / sum(e.values())) < 1e-12 for i in s)
+    assert got[999] is None and got[998] is None and len(got) == len(rows)
+
+
 def gin_loss(pairs, x, w, grad):
     out = {i: np.zeros(len(x[i])) for i in x}
     for a, t in pairs:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,14 +29,25 @@ def filled(found: DataFrame, x: DataFrame, dim: int) -> DataFrame:
     return x.select("id").join(found, "id", "left").select("id", F.coalesce("x", zero).alias("x"))
 
 
-def gcn(edges: DataFrame, x: DataFrame, w: Matrix, norm: str = "both") -> DataFrame:
-    """Normalised sum of the neighbours' features times w; the cheaper of both orders is planned:
-    multiply first if that makes vectors shorter."""
-    e = message.gcn_weights(edges, x, norm)
+def gcn(edges: DataFrame, x: DataFrame, w: Matrix, norm: str = "both", bias: Sequence[float] | None = None, activation: Callable[[Column], Column] | None = None, weight: str | None = None) -> DataFrame:
+    """Normalised sum of the neighbours' features times w, plus bias, through an activation; the cheaper
+    of both orders is planned: multiply first if that makes vectors shorter. With `weight`, a column of
+    edges, each neighbour counts by it besides the norm."""
+    e = message.gcn_weights(edges.withColumnRenamed(weight, "_weight") if weight else edges, x, norm)
+    e = e.withColumn("w", F.col("w") * F.col("_weight")) if weight else e
     out, inp = len(w), len(w[0])
     if out < inp:
-        return filled(message.spmm(e, dense(x, w), out, F.col("w")), x, out)
-    return dense(filled(message.spmm(e, x, inp, F.col("w")), x, inp), w)
+        y = filled(message.spmm(e, dense(x, w), out, F.col("w")), x, out)
+    else:
+        y = dense(filled(message.spmm(e, x, inp, F.col("w")), x, inp), w)
+    if bias is not None:
+        y = y.withColumn("x", vec.add(F.col("x"), F.array(*[F.lit(float(b)) for b in bias])))
+    return y if activation is None else y.withColumn("x", activation(F.col("x")))
+
+
+def embed(rows: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """rows with x, the vector that a table (id, x) has for their `key`; rows without one go."""
+    return rows.join(table.select(F.col("id").alias(key), "x"), key)
 
 
 def gin(edges: DataFrame, x: DataFrame, w: Matrix, eps: float = 0.5) -> DataFrame:

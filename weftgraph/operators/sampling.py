@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.structure import numbered
+from weftgraph.operators.structure import degrees, numbered
 from weftgraph.operators.temporal import mix
 
 
@@ -62,6 +62,12 @@ def negatives_among(events: DataFrame, nodes: DataFrame, per_event: int, salt: i
     return rows.withColumn("_i", mix(F.col("eid"), F.col("j"), salt) % F.col("_n")).join(pool, "_i").select("eid", "j", F.col("id").alias("neg"))
 
 
+def top_by_degree(edges: DataFrame, vertices: DataFrame, most: int) -> DataFrame:
+    """(id, out_degree) of the `most` vertices of the most out-edges, of equal ones those of least id:
+    what a cache of that size keeps. Each task sends on `most` rows."""
+    return degrees(edges, vertices).select("id", "out_degree").orderBy(F.col("out_degree").desc(), "id").limit(most)
+
+
 def visit_share(visits: DataFrame, top: float) -> DataFrame:
     """(nodes, visits, top_nodes, hit_rate): the share of visits that go to the `top` most visited."""
     counts = visits.groupBy("id").agg(F.count("*").alias("n"))

@@ -64,10 +64,11 @@ def snapshots(events: DataFrame, roots: DataFrame, k: int, history: int, duratio
 
 
 def second_hop(first: DataFrame, roots: DataFrame, keep_root_time: bool) -> DataFrame:
-    """Roots of the next layer from the neighbours of the first: (root_id, node, root_ts)."""
+    """Roots of the next layer from the neighbours of the first: (root_id, node, root_ts, parent, via),
+    at the time of the root or of the event `via` that led to the neighbour."""
     ts = F.col("root_ts") if keep_root_time else F.col("ts")
     joined = first.join(roots.select("root_id", "root_ts"), "root_id")
-    return joined.select(F.xxhash64("root_id", "eid").alias("root_id"), F.col("nbr").alias("node"), ts.alias("root_ts"), F.col("root_id").alias("parent"))
+    return joined.select(F.xxhash64("root_id", "eid").alias("root_id"), F.col("nbr").alias("node"), ts.alias("root_ts"), F.col("root_id").alias("parent"), F.col("eid").alias("via"))
 
 
 def chronological_split(events: DataFrame, val_from: int, test_from: int) -> DataFrame:

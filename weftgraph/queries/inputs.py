@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors as vec
 from weftgraph.queries import query
-from weftgraph.sources import formats, generated, ranged
-from weftgraph.sources.graphs import EVENT_GRAPH, FEATURES, PART_GRAPH, event_graph, features, part_graph, part_vertices, table
+from weftgraph.sources import datasets, formats, generated, ranged
+from weftgraph.sources.graphs import EVENT_GRAPH, FEATURES, PART_FEATURES, PART_GRAPH, event_graph, features, part_features, part_graph, part_vertices, table
 
 
 @query("s3_binary_round_trip", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e")
@@ -39,6 +39,47 @@ def s22(spark, d):
     return x.join(generated.random_labels(ids, 7, 3), "id").join(generated.random_split(ids, 65, 10, 3), "id")
 
 
+@query("s5_converted_edges", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e")
+def s5(spark, d):
+    """An edge list with comments, converted to binary rows with weights and read back."""
+    lines = part_graph(spark, d).select(F.concat_ws(" ", "src", "dst", "w").alias("value"))
+    lines.union(spark.range(1).select(F.lit("# src dst w"))).write.text(path := _path(spark, "text"))
+    ranged.write_csr(formats.read_edge_list(spark, path, weighted=True), path := _path(spark, "converted"), 1024)
+    return ranged.read_csr(spark, path, weighted=True, rows_per_file=1024)
+
+
+@query("s7_s15_derived", f"WITH {PART_GRAPH}, o AS (SELECT src AS id, count(*) AS n FROM e GROUP BY src), i AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY dst) SELECT p_partkey AS id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree, coalesce(1.0::DOUBLE / i.n, 0) AS norm FROM part LEFT JOIN o ON o.id = p_partkey LEFT JOIN i ON i.id = p_partkey")
+def s7(spark, d):
+    return datasets.derived(part_graph(spark, d), part_vertices(spark, d))
+
+
+@query("s18_s19_dataset", f"WITH {PART_GRAPH}, {PART_FEATURES} SELECT p_partkey AS id, CAST(p_size % 9 AS INTEGER) AS label, CASE p_size % 4 WHEN 1 THEN 'train' WHEN 2 THEN 'val' WHEN 3 THEN 'test' END AS split, (SELECT round(sum(v), 4) FROM pf WHERE pf.id = p_partkey) AS total, (SELECT count(*) FROM e) AS n_edges, 64 AS dim, (SELECT count(DISTINCT p_size % 9) FROM part) AS n_classes FROM part")
+def s18(spark, d):
+    """The parts as a data set of edges, features, labels and splits by type, written and read."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 9).cast("int").alias("label"), datasets.split_of_type(F.col("p_size") % 4).alias("split"))
+    datasets.write_dataset(path := _path(spark, "dataset"), part_graph(spark, d), part_features(spark, d), p, p)
+    nodes, info = datasets.read_dataset(spark, path, "nodes", "info")
+    found = nodes.select("id", "label", "split", F.round(vec.total(F.col("x")), 4).alias("total"))
+    return found.crossJoin(F.broadcast(info.select("n_edges", "dim", "n_classes")))  # one row
+
+
+@query("s23_results", f"WITH {PART_GRAPH} SELECT src AS id, count(*) AS value FROM e WHERE src IN (SELECT DISTINCT src FROM e ORDER BY src LIMIT 100) GROUP BY src")
+def s23(spark, d):
+    """The results of the hundred least ids as a text sink keeps them."""
+    found = part_graph(spark, d).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("value"))
+    formats.write_results(found, path := _path(spark, "results"), first=100)
+    return spark.read.csv(path, sep=" ", schema="id long, value long")
+
+
+@query("s25_embedding_versions", f"WITH {FEATURES} SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS version, round(sum(v) * CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END, 4) AS total FROM f GROUP BY id")
+def s25(spark, d):
+    """Embeddings in versions, of which the last of each id counts; a third was written again."""
+    x = features(spark, d)
+    x.withColumn("version", F.lit(1)).write.parquet(path := _path(spark, "embeddings"))
+    x.where("id % 3 = 0").select("id", F.transform("x", lambda v: v * 2).alias("x"), F.lit(2).alias("version")).write.mode("append").parquet(path)
+    return formats.latest_versions(spark, path).select("id", "version", F.round(vec.total(F.col("x")), 4).alias("total"))
+
+
 @query("s1_edge_lines", f"WITH {PART_GRAPH} SELECT src, dst, w FROM e")
 def s1(spark, d):
     import uuid

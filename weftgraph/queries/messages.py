@@ -185,6 +185,20 @@ def l4_fold(spark, d):
     return _out(layers.sage(e, x, W, V, "fold"))
 
 
+@query("t6_embed", f"{G}, s AS (SELECT id, round(sum(v), 5) AS total FROM pf GROUP BY id) SELECT l_orderkey AS ord, l_linenumber AS line, total FROM lineitem JOIN s ON s.id = l_partkey")
+def t6(spark, d):
+    """A parameter table's vectors for the parts of order lines."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("id"))
+    return layers.embed(rows, _graph(spark, d)[1]).select("ord", "line", F.round(vec.total(F.col("x")), 5).alias("total"))
+
+
+@query("l2_left_weighted", f"{G}, o AS (SELECT src, count(*) AS o FROM w GROUP BY src), a AS (SELECT w.dst AS id, pos, sum(v * w.w / o) AS v FROM w JOIN o ON o.src = w.src JOIN pf ON pf.id = w.src GROUP BY w.dst, pos), z AS ({FULL}) SELECT id, pos, round(greatest(v + 0.1 * (pos - 1), 0), 6) AS val FROM {_dense('z', W)}")
+def l2(spark, d):
+    """A layer with the sources' norm, edge weights, bias and activation."""
+    e, x = _graph(spark, d)
+    return _out(layers.gcn(e, x, W, "left", [0.1 * (i - 1) for i in range(4)], vec.relu, "w"))
+
+
 @query("l4_sage_lstm")
 def l4_lstm(spark, d):
     e, x = _graph(spark, d)

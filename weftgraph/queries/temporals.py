@@ -53,7 +53,7 @@ def n10(spark, d):
     e = event_graph(spark, d)
     roots = _roots(e)
     first = temporal.recent(e, roots, 2)
-    nxt = first.select(F.col("root_id").alias("parent"), F.col("eid").alias("via"), (F.col("root_id") * 1_000_000_000 + F.col("eid")).alias("root_id"), F.col("nbr").alias("node"), F.col("ts").alias("root_ts"))
+    nxt = temporal.second_hop(first, roots, keep_root_time=False)
     back = e.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"), "ts")
     hop = temporal.recent(back, nxt.select("root_id", "node", "root_ts"), 2)
     return hop.join(nxt.select("root_id", "parent", "via"), "root_id").select(F.col("parent").alias("root_id"), F.col("via").alias("eid"), F.col("eid").alias("e2"))
@@ -124,6 +124,11 @@ def n3(spark, d):
     return sampling.multi_hop(part_graph(spark, d), seeds(spark, d), [2, 3])
 
 
+@query("w7_cached_nodes", f"WITH {PART_GRAPH} SELECT p_partkey AS id, count(e.src) AS out_degree FROM part LEFT JOIN e ON e.src = p_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 300")
+def w7(spark, d):
+    return sampling.top_by_degree(part_graph(spark, d), part_vertices(spark, d), 300)
+
+
 @query("n13_visits", f"WITH {PART_GRAPH}, c AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), k AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS r FROM c), t AS (SELECT count(*) AS nodes, sum(n) AS visits FROM c) SELECT nodes, CAST(visits AS BIGINT) AS visits, CAST(ceil(nodes * 0.2) AS BIGINT) AS top_nodes, round((SELECT sum(n) FROM k WHERE r <= ceil(nodes * 0.2)) / visits, 6) AS hit_rate FROM t")
 def n13(spark, d):
     v = sampling.visit_share(part_graph(spark, d).select(F.col("dst").alias("id")), 0.2)

@@ -120,8 +120,9 @@ def read_part(spark: SparkSession, path: str, part: int) -> DataFrame:
 
 def latest_versions(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an embeddings table (id, version, x): the last version of each id."""
-    last = Window.partitionBy("id").orderBy(F.col("version").desc())
-    return spark.read.parquet(path).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c != "id"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*others), "version").alias("_r")).select("id", "_r.*")
 
 
 def read_commented(spark: SparkSession, path: str) -> DataFrame:
