@@ -255,7 +255,7 @@ def test_secret_candidates_and_features(spark, sf_dir):
         plain = {
             "length": len(v), "transitions": (len(kinds) - 1) / (len(v) - 1), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "symbols": share("[^A-Za-z0-9]"),
             "hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)), "coverage": known(grams(v)) / max(1, len(v) - 2), "near_coverage": known(near) / max(1, len(near)),
-            "path_example": bool(re.search(secrets.EXAMPLE, source or "")), "quoted": before[-1:] in tuple("\"'`") and after[:1] in tuple("\"'`"),
+            "path_example": bool(re.search(secrets.EXAMPLE, source or "")),
             "at_sign": after.startswith("@") or before.endswith(("@", ".")), "line_words": len(re.split(r"\s+", before.split("\n")[-1].strip(" "))),
         }
         assert (r["value"], r["before"], r["after"]) == (v, before, after)

@@ -45,17 +45,20 @@ def join_spread(rows: DataFrame, small: DataFrame, key: str, count: str, share:
 
 
 def least_hashes(rows: DataFrame, group: str, h: str, most: int) -> DataFrame:
-    """Of each group the `most` rows of least hash h (a long; null groups are left out). Groups are
-    few: labels or languages, each an output of the model that learns from the rows.
+    """Of each group the rows of the `most` least hashes h (a long; null groups are left out), one
+    row of each hash: rows that repeat one are taken for copies. Groups are few: labels or languages,
+    each an output of the model that learns from the rows.
 
-    Hashes are counted in 4,096 ranges first, so that only the rows of the ranges that hold the
-    least `most` of a group meet in its sort, however large the group is.
+    Different hashes are counted in 4,096 ranges first, so that only the rows of the ranges that hold
+    the least `most` of a group meet in its sort, however large the group is; copies meet before that,
+    combined in each task.
     """
     place = F.shiftrightunsigned(F.col(h).bitwiseXOR(F.lit(-(1 << 63))), 52)
-    counts = rows.where(F.col(group).isNotNull()).groupBy(group, place.alias("_place")).agg(F.count("*").alias("_c"))
+    known = rows.where(F.col(group).isNotNull())
+    counts = known.select(group, h).distinct().groupBy(group, place.alias("_place")).agg(F.count("*").alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(group).orderBy("_place")) - F.col("_c")
     last = counts.withColumn("_before", before).where(F.col("_before") < most).groupBy(group).agg(F.max("_place").alias("_last"))
-    near = rows.join(F.broadcast(last), group).where(place <= F.col("_last")).drop("_last")
+    near = known.join(F.broadcast(last), group).where(place <= F.col("_last")).drop("_last").dropDuplicates([group, h])
     return near.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(h))).where(F.col("_n") <= most).drop("_n")
 
 

@@ -182,8 +182,8 @@ class ByteGru:
 def learn(docs: DataFrame, **params) -> ByteGru | None:
     """A network from the columns text and lang of docs (rows without either don't count).
 
-    The sample is bounded: of each language the per_lang documents whose text has the least hash,
-    and of each of them `windows` pieces of WINDOW bytes at hashed places. None without rows.
+    The sample is bounded: of each language the per_lang different texts of least hash, each once
+    however often it stands there, and of each of them `windows` pieces of WINDOW bytes at hashed places. None without rows.
     """
     return _learn(docs, **params)[0]
 

@@ -73,18 +73,20 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """Each rule votes -1 (drop), 1 (keep) or 0 (abstains), from the measures alone."""
+    """Each rule votes -1 (drop), 1 (keep) or 0 (abstains), from the measures alone. None repeats the
+    base rule. Words that differ are held against the root of all words, so that long texts, which
+    come back to their words, aren't at a disadvantage."""
     c = {m: F.col(m).cast("double") for m in MEASURES}
     words, lines, letters = (F.greatest(c[m], F.lit(1.0)) for m in ("n_words", "n_lines", "n_letters"))
     length, symbols, upper = c["word_chars"] / words, c["n_symbols"] / words, c["n_upper"] / letters
     return {
-        "enough_words": _vote(c["n_words"] < 50, c["n_words"] >= 50),
         "word_length": _vote((length < 2) | (length > 15), (length >= 3) & (length <= 10)),
         "few_symbols": _vote(symbols > 0.1, symbols < 0.01),
         "letters_in_words": _vote(c["n_letters"] < 0.75 * c["word_chars"], c["n_letters"] > 0.9 * c["word_chars"]),
         "lower_case": _vote(upper > 0.4, upper < 0.2),
         "new_lines": _vote(c["n_dup_lines"] > 0.3 * lines, c["n_dup_lines"] < 0.1 * lines),
         "new_phrases": _vote(c["n_repeat_words"] > 0.3 * words, c["n_repeat_words"] < 0.15 * words),
+        "varied_words": _vote((c["n_once"] < 3 * F.sqrt(words)) & (c["n_words"] >= 20), c["n_once"] > 4.5 * F.sqrt(words)),
         "no_single_word": _vote((c["top_word"] > 0.2 * words) & (c["n_words"] >= 20), c["top_word"] < 0.15 * words),
     }
 
@@ -94,13 +96,14 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
     votes -1 and 1 where it votes, shape (2, rules, 2), by expectation-maximisation over distinct
     vote patterns. To abstain says nothing about a text.
 
-    It starts with texts that fail a rule on the bad side. A prior worth `strength` texts holds that
+    It starts from the share of a text's votes that say keep, the same for all rules, so that what a
+    rule counts for in the end comes from how it agrees with the others. A prior worth `strength` texts holds that
     a rule is right about a bad text and about a good one with the probabilities `prior` (bad texts
     are bad in one way or two); it keeps the classes' meaning where votes are few.
     """
     voted = (patterns[:, :, None] == np.array([-1, 1])).astype(float)
     fails, passes = (patterns < 0).sum(axis=1), (patterns > 0).sum(axis=1)
-    good = 1 / (1 + np.exp(-(passes - patterns.shape[1] * fails)))
+    good = (passes + 0.5) / (passes + fails + 1)
     right = np.array([[prior[0], 1 - prior[0]], [1 - prior[1], prior[1]]])[:, None, :]
     share, table_ = 0.5, np.repeat(right, patterns.shape[1], axis=1)
     for _ in range(rounds):

@@ -20,9 +20,9 @@ NEAR = 60
 #: Names that credentials are assigned to, and parts of paths that hold examples (fixed values).
 CREDENTIAL = r"(?i)(token|secret|passwd|password|pwd|api_?-?key|apikey|access_?-?key|private_?-?key|credential|auth|bearer)"
 EXAMPLE = r"(?i)(test|example|sample|fixture|mock|doc)"
-#: What the forest sees. What label_findings() looks at (entropy, names of credentials, assignment)
-#: isn't among it.
-FEATURES = ("length", "transitions", "vowel_steps", "digits", "uppers", "symbols", "hex", "coverage", "path_example", "near_coverage", "quoted", "at_sign", "line_words")
+#: What the forest sees. label_findings() looks at names of credentials and at signs of assignment and
+#: quotes before a value, none of which is among it, and never at the value.
+FEATURES = ("length", "transitions", "vowel_steps", "digits", "uppers", "symbols", "hex", "coverage", "path_example", "near_coverage", "at_sign", "line_words")
 
 
 def _key(text: Column, path: Column) -> Column:
@@ -93,29 +93,21 @@ def features(found: DataFrame, marks: str) -> DataFrame:
         "coverage": known(_trigrams(v)) / F.greatest(n - 2, F.lit(1.0)),
         "path_example": yes(F.col("path").rlike(EXAMPLE)),
         "near_coverage": known(near) / F.greatest(F.size(near), F.lit(1)),
-        "quoted": yes(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
         "at_sign": yes(F.col("after").startswith("@") | F.col("before").endswith("@") | F.col("before").endswith(".")),
         "line_words": F.size(F.split(F.trim(line), r"\s+")).cast("double"),
     }
     return found.select("*", *[made[f].cast("double").alias(f) for f in FEATURES])
 
 
-def entropy(value: Column) -> Column:
-    """Shannon entropy of a string's characters, in bits."""
-    letters = F.split(value, "")
-    share = lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters)
-    return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
-
-
 def label_findings(found: DataFrame) -> DataFrame:
-    """found with label: 1 for a value of high entropy and more than one kind of characters that is
-    assigned to the name of a credential, 0 for values of one kind of characters that aren't, null
-    for what these rules can't tell. A stand-in for findings that people have labelled, which
-    scan_secrets() takes instead; none of what it looks at is a feature of the forest."""
+    """found with label: 1 for a value that is assigned to the name of a credential, 0 for one that is
+    assigned to nothing, null for values of other names. The value itself is never looked at, so what
+    secrets look like is for the forest to learn. Labels of this kind are noisy (a credential may be
+    named in prose, a secret may stand alone); they stand in for findings that people have labelled,
+    which scan_secrets() takes instead."""
     named = F.col("before").rlike(CREDENTIAL + r"[\w-]*\s*(=|:|=>)\s*[\"']?$")
-    plain = F.col("value").rlike("^([A-Za-z]+|[0-9]+)$")
-    label = F.when(named & ~plain & (entropy(F.col("value")) >= 3), 1.0).when(plain & ~named, 0.0)
-    return found.withColumn("label", label)
+    assigned = F.col("before").rlike("(=|:|=>)\\s*[\"'`]?$")
+    return found.withColumn("label", F.when(named, 1.0).when(~assigned, 0.0))
 
 
 @dataclass
@@ -166,18 +158,20 @@ def redact_secrets(docs: DataFrame, path: Column | None = None, threshold: float
     """docs with every finding that scores at least `threshold` replaced by `mark` where it stands;
     all rows, columns and other text stay.
 
-    Findings are gathered by path and text, so rows without a doc_id and copies are served alike.
-    Null texts stay null; texts without candidates meet no join. An empty table gives no rows.
+    Findings are gathered by path and text, so rows without a doc_id and copies are served alike. A
+    text is cut at its candidates once and put together once, however many it has. Null texts stay null; texts without candidates meet no join. An empty table gives no rows.
     """
     names, own = docs.columns, F.lit("") if path is None else path.cast("string")
-    place = F.struct(F.col("start").cast("int").alias("start"), F.length("value").alias("n"))
-    places = F.sort_array(F.collect_set(place), asc=False)
-    found = scan_secrets(docs, path, labelled).where(F.col("score") >= threshold).groupBy("key").agg(places.alias("_places")).withColumnRenamed("key", "_key")
+    hits = F.sort_array(F.collect_set(F.struct("pos", (F.col("score") >= threshold).alias("hit"))))  # all candidates of a text
+    found = scan_secrets(docs, path, labelled).groupBy(F.col("key").alias("_key")).agg(hits.alias("_hits")).where(F.exists("_hits", lambda h: h["hit"]))
     text = F.col("text").cast("string")
     d = docs.select(as_row(docs, "text"), text.alias("_text"), own.alias("_path"), F.coalesce(text.rlike(CANDIDATE), F.lit(False)).alias("_open"))
     some = d.where("_open").withColumn("_key", _key(F.col("_text"), F.col("_path"))).join(found, "_key", "left")
-    put = lambda t, p: F.concat(F.substring(t, F.lit(1), p["start"]), F.lit(mark), F.substring(t, p["start"] + p["n"] + 1, F.length(t)))
-    clean = F.when(F.col("_places").isNull(), F.col("_text")).otherwise(F.aggregate("_places", F.col("_text"), put))
+    values = F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))
+    shown = F.transform(values, lambda v, i: F.when(F.get("_hits", i)["hit"], F.lit(mark)).otherwise(v))
+    # pieces and values take turns; the last piece has no value behind it
+    parts = F.zip_with(F.split("_text", CANDIDATE), shown, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+    clean = F.when(F.col("_hits").isNull(), F.col("_text")).otherwise(F.array_join(parts, ""))
     both = some.select("_row", clean.alias("_text")).union(d.where("not _open").select("_row", "_text"))
     return both.select("_row.*", F.col("_text").alias("text")).select(*[F.col(f"`{c}`") for c in names])
 
