@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from weftgraph.queries import QUERIES, SQL, inputs, messages, structures, temporals, traversal  # noqa: F401
+from weftgraph.queries import QUERIES, SQL, flows, inputs, messages, structures, temporals, traversal  # noqa: F401
