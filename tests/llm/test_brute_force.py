@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.conftest import same_rows
 from weftgraph.llm import bpe, langid, media, mixing, mixlm, quality, rules, secrets, sharding, simhash
@@ -126,6 +127,30 @@ def test_simhash_links_of_a_large_dense_hub(spark):
     assert got == want
 
 
+def test_simhash_links_of_hubs_with_many_pages(spark):
+    """Buckets of more pages than bits: a hub whose rows differ in one bit, others three and four bits away
+    from it, words of weight 0, 4 and 8 (groups of their own), and words that only links of three bits join."""
+    rng = random.Random(9)
+    hub, code, far = (rng.getrandbits(64) for _ in range(3))
+    fps = {hub ^ x for x in range(1 << 9)} | {hub ^ (0b111 << 40) ^ x for x in range(1 << 5)}
+    fps |= {hub ^ (0b1111 << 50) ^ (1 << a) ^ (1 << b) for a in range(20, 34) for b in range(20, a)}
+    even = [x for x in range(1 << 10) if x.bit_count() % 4 == 0]
+    fps |= {code ^ x for x in even} | {far ^ sum(1 << 3 * k for k in range(12) if x >> k & 1) * 7 for x in range(1 << 8)}
+    masks = simhash.tables(3, len(fps), 4)
+    assert max(Counter((m, f & m) for f in fps for m in masks).values()) > 4 * simhash.BITS
+    got, want = linked(spark, fps, 4)
+    assert got == want and len(set(want)) == 6
+
+
+def test_pages_of_one_group_are_not_paired(spark):
+    """What is shipped for a hub of 2,048 near copies stays in proportion to it."""
+    fps = spark.range(1 << 11).select(F.col("id").alias("fp"))
+    met, near = simhash.buckets(fps, 3, 8)
+    assert near is not None and met.count() < 64 * (1 << 11)
+    pairs = {(r.src, r.dst) for r in near.collect()}
+    assert all((a ^ b).bit_count() <= 2 and b < a for a, b in pairs)
+
+
 def test_lm_base_and_gain(spark, sf_dir, texts):
     rows = QUERIES["op4_lm"](spark, sf_dir).toPandas().set_index("doc_id")
     tokens = {i: [*WORD.findall(t.translate(LOW)), "\n"] for i, t in zip(texts["doc_id"], texts["text"])}

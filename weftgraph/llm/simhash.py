@@ -61,38 +61,69 @@ def tables(radius: int, n: int, cap: int) -> list[int]:
     return masks
 
 
-def buckets(fps: DataFrame, radius: int, cap: int) -> DataFrame:
-    """(mask, val, fp): distinct fingerprints that may link meet in a bucket of at most 2 * cap.
+def within_two(fps: DataFrame) -> DataFrame:
+    """(src, dst): links that connect all distinct fingerprints (fp) that differ in at most two bits.
+
+    Each stands at its own place and at those that differ from it in one bit: two meet in a place if
+    and only if they differ in two bits at most. A place holds BITS + 1 of them at most, and all
+    link to the least one there.
+    """
+    places = F.explode(F.array("fp", *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(BITS)])).alias("place")
+    met = fps.select("fp", places).groupBy("place").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    return met.select(F.explode("all").alias("src"), F.array_min("all").alias("dst")).where("src != dst").distinct()
+
+
+def buckets(fps: DataFrame, radius: int, cap: int) -> tuple[DataFrame, DataFrame | None]:
+    """(mask, val, fp), where distinct fingerprints that may link meet in a bucket of at most 2 * cap,
+    and links (src, dst) that were found on the way or None.
 
     Each goes to one bucket for each of tables(). A bucket above the cap is sorted by Gray rank and
     cut into pages of at most `cap`; a page knows the bits that all of its fingerprints agree in, and
     two pages that differ in more than radius of their common ones are dropped as a whole. Each pair
     of pages that is left makes a bucket (mask and val are then the pages' numbers), and so does each
     page. Only pages are paired, never their rows, and nothing is lost at any size.
+
+    A bucket of more than BITS pages, where pairs could copy a row more often than it has bits, first
+    links what within_two() finds. A group of more than `cap` then gets pages of its own, and pages
+    whose rows are in one group by then are not paired: so the near copies of one text cost in
+    proportion to their number, and only what is three bits away from all others still meets in pairs.
     """
     masks = tables(radius, fps.count(), cap)
     split = F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")
     met = fps.select("fp", split).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"), "fp")
     hot = cut(met.groupBy("mask", "val").agg(F.count("*").alias("n")).where(F.col("n") > cap))
-    rows = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if not rows:
-        return met
-    hot = hot.select("mask", "val")
+    sizes = hot.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    if not sizes["rows"]:
+        return met, None
     rank = F.col("fp")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    ranked = met.join(hot, ["mask", "val"], "left_semi").withColumn("rank", rank)
-    parts = min(TASKS, -(-rows // cap))
-    ranked = ranked.repartitionByRange(parts, "mask", "val", "rank").sortWithinPartitions("mask", "val", "rank")
-    paged = cut(ranked.mapInPandas(lambda batches: _pages(batches, cap), "mask long, val long, fp long, page long"))
+    ranked, near = met.join(hot.select("mask", "val"), ["mask", "val"], "left_semi").withColumn("rank", rank), None
+    if radius >= 2 and sizes["most"] > BITS * cap:
+        large = hot.where(F.col("n") > BITS * cap)
+        near = cut(within_two(met.join(large, ["mask", "val"], "left_semi").select("fp").distinct()))
+        groups = connected_components(near).select(F.col("id").alias("fp"), "component")
+        whole = groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("component", F.col("component").alias("apart"))
+        ranked = ranked.join(groups.join(whole, "component", "left"), "fp", "left")
+        ranked = ranked.select("mask", "val", "fp", "rank", F.coalesce("component", "fp").alias("known"), F.coalesce("apart", F.lit(0)).alias("apart"))
+    else:
+        ranked = ranked.select("mask", "val", "fp", "rank", F.col("fp").alias("known"), F.lit(0).cast("long").alias("apart"))
+    order = ["mask", "val", "apart", "rank"]
+    ranked = ranked.repartitionByRange(min(TASKS, -(-sizes["rows"] // cap)), *order).sortWithinPartitions(*order)
+    paged = cut(ranked.mapInPandas(lambda batches: _pages(batches, cap), "mask long, val long, fp long, known long, page long"))
     same = F.bitwise_not(F.col("ones").bitwiseXOR(F.col("any"))).alias("same")
-    node = cut(paged.groupBy("mask", "val", "page").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).select("mask", "val", "page", "ones", same))
-    other = node.select("mask", "val", *[F.col(c).alias(f"{c}_b") for c in ("page", "ones", "same")])
+    bounds = [F.min("known").alias("low"), F.max("known").alias("high")]
+    node = paged.groupBy("mask", "val", "page").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any"), *bounds)
+    node = cut(node.select("mask", "val", "page", "ones", same, "low", "high"))
+    several = node.groupBy("mask", "val").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    node = node.join(several, ["mask", "val"], "left_semi")
+    other = node.select("mask", "val", *[F.col(c).alias(f"{c}_b") for c in ("page", "ones", "same", "low", "high")])
     differ = F.bit_count(F.col("ones").bitwiseXOR(F.col("ones_b")).bitwiseAND(F.col("same")).bitwiseAND(F.col("same_b")))
-    pairs = node.join(other, ["mask", "val"]).where((F.col("page") <= F.col("page_b")) & (differ <= radius)).select("page", "page_b")
+    open_ = F.least("low", "low_b") < F.greatest("high", "high_b")
+    pairs = node.join(other, ["mask", "val"]).where((F.col("page") <= F.col("page_b")) & (differ <= radius) & open_).select("page", "page_b")
     sides = pairs.select(F.col("page").alias("a"), F.col("page_b").alias("b"), F.explode(F.array_distinct(F.array("page", "page_b"))).alias("page"))
     dealt = sides.join(paged.select("page", "fp"), "page").select(F.col("a").alias("mask"), F.col("b").alias("val"), "fp")
-    return met.join(hot, ["mask", "val"], "left_anti").union(dealt)
+    return met.join(hot.select("mask", "val"), ["mask", "val"], "left_anti").union(dealt), near
 
 
 def _pages(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
@@ -100,12 +131,12 @@ def _pages(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
     page, n, last = -(TaskContext.get().partitionId() + 1) << 32, 0, None
     for pdf in batches:
         numbers = np.empty(len(pdf), np.int64)
-        for i, key in enumerate(zip(pdf["mask"], pdf["val"], strict=True)):
+        for i, key in enumerate(zip(pdf["mask"], pdf["val"], pdf["apart"], strict=True)):
             if key != last or n == cap:
                 page, n, last = page + 1, 0, key
             n += 1
             numbers[i] = page
-        yield pdf[["mask", "val", "fp"]].assign(page=numbers)
+        yield pdf[["mask", "val", "fp", "known"]].assign(page=numbers)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -209,8 +240,10 @@ def _link_buckets(parts: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Dat
 def links(fps: DataFrame, radius: int, cap: int = CAP) -> DataFrame:
     """(src, dst): of distinct fingerprints (fp), enough pairs within radius to connect all that
     are connected by such pairs."""
-    met = buckets(fps, radius, cap).repartition("mask", "val").sortWithinPartitions("mask", "val")
-    return met.mapInPandas(lambda parts: _link_buckets(parts, radius), "src long, dst long")
+    met, near = buckets(fps, radius, cap)
+    met = met.repartition("mask", "val").sortWithinPartitions("mask", "val")
+    found = met.mapInPandas(lambda parts: _link_buckets(parts, radius), "src long, dst long")
+    return found if near is None else found.union(near)
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, seed: int = 42, cap: int = CAP) -> DataFrame:
