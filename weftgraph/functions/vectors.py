@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row. What a lambda takes from outside is computed anew for
+    each item, so that a mean within a variance within a transform costs the cube of the length."""
+    return F.transform(F.array(value), then)[0]
+
+
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
@@ -60,14 +66,13 @@ def sigmoid(x: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    return F.transform(F.array(F.transform(a, lambda x: F.exp(x - top))), lambda e: F.transform(e, lambda x: x / total(e)))[0]
+    e = bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return bound(e, lambda e: bound(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def log_softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    rest = top + F.log(total(F.transform(a, lambda x: F.exp(x - top))))
-    return F.transform(a, lambda x: x - rest)
+    rest = bound(F.array_max(a), lambda top: top + F.log(total(F.transform(a, lambda x: F.exp(x - top)))))
+    return bound(rest, lambda rest: F.transform(a, lambda x: x - rest))
 
 
 def argmax(a: Column) -> Column:
@@ -76,20 +81,19 @@ def argmax(a: Column) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    norm = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    return bound(a, lambda a: bound(F.sqrt(dot(a, a)), lambda norm: F.transform(a, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
 
 
 def row_normalise(a: Column) -> Column:
     """x / sum(x), 0 where the sum is 0."""
-    s = total(a)
-    return F.transform(a, lambda x: F.when(s != 0, x / s).otherwise(0.0))
+    return bound(a, lambda a: bound(total(a), lambda s: F.transform(a, lambda x: F.when(s != 0, x / s).otherwise(0.0))))
 
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
-    m = mean(a)
-    var = mean(F.transform(a, lambda x: (x - m) * (x - m)))
-    return F.transform(a, lambda x: (x - m) / F.sqrt(var + eps))
+    def spread(a: Column) -> Column:
+        return bound(mean(a), lambda m: F.struct(m.alias("m"), F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))) + eps).alias("s")))
+
+    return bound(a, lambda a: bound(spread(a), lambda k: F.transform(a, lambda x: (x - k["m"]) / k["s"])))
 
 
 def time_encoding(t: Column, dim: int) -> Column:
