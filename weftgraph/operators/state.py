@@ -27,9 +27,13 @@ def mailbox(mail: DataFrame, slots: int) -> DataFrame:
 
 
 def deliver_to_neighbours(mail: DataFrame, sampled: DataFrame) -> DataFrame:
-    """(node, payload, n): the mean of the mails that reach a node along sampled edges (node, nbr)."""
-    m = mail.select(F.col("node").alias("nbr"), "payload")
-    return sampled.select("node", "nbr").join(m, "nbr").groupBy("node").agg(F.avg("payload").alias("payload"), F.count("*").alias("n"))
+    """(node, payload, n): the mean of the mails that reach a node along sampled edges (node, nbr).
+
+    A neighbour's mails are summed before they are sent, so an edge costs one row however many mails
+    its hub has. Null payloads count in n and not in the mean."""
+    m = mail.groupBy(F.col("node").alias("nbr")).agg(F.sum("payload").alias("_s"), F.count("payload").alias("_c"), F.count("*").alias("_n"))
+    got = sampled.select("node", "nbr").join(m, "nbr").groupBy("node").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"), F.sum("_n").alias("n"))
+    return got.select("node", F.when(F.col("_c") > 0, F.col("_s") / F.col("_c")).alias("payload"), "n")
 
 
 def decayed_memory(mail: DataFrame, keep: float = 0.5) -> DataFrame:
