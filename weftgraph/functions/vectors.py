@@ -49,6 +49,12 @@ def linear(a: Column, weight: Sequence[Sequence[float]], bias: Sequence[float] |
     return out if bias is None else add(out, F.array(*[F.lit(float(b)) for b in bias]))
 
 
+def linear_part(a: Column, weight: Sequence[Sequence[float]], start: Column) -> Column:
+    """The part of linear() that a, as the places from `start` (1 the first) of a longer vector, gives."""
+    rows = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weight])
+    return F.transform(rows, lambda r: dot(F.slice(r, start, F.size(a)), a))
+
+
 def relu(a: Column) -> Column:
     return F.transform(a, lambda x: F.greatest(x, F.lit(0.0)))
 

@@ -164,13 +164,9 @@ def attention(rows: DataFrame, heads: int, dim: int) -> DataFrame:
     """(dst, x): of rows (dst, q, k, v) the sum of v, weighted by the softmax over a dst's rows of
     leaky_relu(dot(q, k)); vectors of `dim` numbers are cut into `heads` that attend on their own."""
     d = dim // heads
-    part = lambda c: F.slice(c, F.col("head") * d + 1, d)
-    each = rows.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1)))).select("dst", "head", *[part(c).alias(c) for c in "qkv"])
-    scored = each.select("dst", "head", "v", vec.leaky_relu(vec.dot(F.col("q"), F.col("k"))).alias("s"))
-    scored = message.edge_softmax(scored, "s", ("dst", "head")).select("dst", "head", vec.scale(F.col("v"), F.col("alpha")).alias("x"))
-    by = vec.reduce_vectors(scored, ["dst", "head"], "x", d)
-    joined = F.array_sort(F.collect_list(F.struct("head", "x")))  # one for each head
-    return by.groupBy("dst").agg(F.flatten(F.transform(joined, lambda p: p["x"])).alias("x"))
+    part = lambda c, h: F.slice(c, h * d + 1, d)
+    scores = F.array(*[vec.leaky_relu(vec.dot(part("q", h), part("k", h))) for h in range(heads)])
+    return message.softmax_sums(rows.select("dst", "v", scores.alias("_s")), ("dst",), "_s", "v", heads, d)
 
 
 def control_variate(sampled: DataFrame, edges: DataFrame, x: DataFrame, history: DataFrame, dim: int) -> DataFrame:
@@ -230,14 +226,20 @@ def temporal_attention(sampled: DataFrame, roots: DataFrame, x: DataFrame, edge_
     pass a layer with relu and are normalised. A root without events attends nothing: zeros.
     """
     zero = vec.time_encoding(F.lit(0.0), time_dim)
-    rows = sampled.join(x.select(F.col("id").alias("nbr"), F.col("x").alias("_n")), "nbr").join(edge_x.select("eid", F.col("x").alias("_e")), "eid")
-    rows = rows.join(roots.select("root_id", F.col("x").alias("_r")), "root_id")
-    near = F.concat("_n", "_e", vec.time_encoding(F.col("dt") * scale, time_dim))
-    rows = rows.select(F.col("root_id").alias("dst"), vec.linear(F.concat("_r", zero), w_q).alias("q"), vec.linear(near, w_k).alias("k"), vec.linear(near, w_v).alias("v"))
-    got = attention(rows, heads, len(w_v)).select(F.col("dst").alias("root_id"), F.col("x").alias("_a"))
-    none = F.array(*[F.lit(0.0)] * len(w_v))
-    out = roots.join(got, "root_id", "left").select("root_id", F.concat(F.coalesce("_a", none), "x").alias("x"))
-    return out.select("root_id", vec.layer_norm(vec.relu(vec.linear(F.col("x"), w_out))).alias("x"))
+    w_kv, n_k, n_v = [*w_k, *w_v], len(w_k), len(w_v)
+    at = len(w_kv[0]) - time_dim
+    last = [list(row[at:]) for row in w_kv]
+    # each vector is multiplied by its columns of the weights where it stands once; products are joined
+    near = x.select(F.col("id").alias("nbr"), vec.linear_part(F.col("x"), w_kv, F.lit(1)).alias("_n"))
+    kind = edge_x.select("eid", vec.linear_part(F.col("x"), w_kv, at + 1 - F.size("x")).alias("_e"))
+    own = roots.select("root_id", vec.linear(F.concat("x", zero), w_q).alias("q"), vec.linear(F.col("x"), [list(row[n_v:]) for row in w_out]).alias("_o"))
+    rows = sampled.select("root_id", "eid", "nbr", "dt").join(near, "nbr").join(kind, "eid").join(own.select("root_id", "q"), "root_id")
+    passed = vec.linear(vec.time_encoding(F.col("dt") * scale, time_dim), last)
+    rows = rows.select(F.col("root_id").alias("dst"), "q", vec.add(vec.add(F.col("_n"), F.col("_e")), passed).alias("_kv"))
+    got = attention(rows.select("dst", "q", F.slice("_kv", 1, n_k).alias("k"), F.slice("_kv", n_k + 1, n_v).alias("v")), heads, n_v).select(F.col("dst").alias("root_id"), F.col("x").alias("_a"))
+    none = F.array(*[F.lit(0.0)] * n_v)
+    out = own.select("root_id", "_o").join(got, "root_id", "left").select("root_id", vec.add(vec.linear(F.coalesce("_a", none), [list(row[:n_v]) for row in w_out]), F.col("_o")).alias("x"))
+    return out.select("root_id", vec.layer_norm(vec.relu(F.col("x"))).alias("x"))
 
 
 def cross_entropy(p: Column, label: Column) -> Column:

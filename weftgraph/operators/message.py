@@ -45,6 +45,27 @@ def edge_softmax(edges: DataFrame, score: str, by: tuple[str, ...] = ("dst",), o
     return edges.join(sums, list(by), "left").withColumn(out, F.exp(F.col(score) - F.col("_end")) / F.col("_sum")).drop("_end", "_sum")
 
 
+def softmax_sums(rows: DataFrame, by: tuple[str, ...], score: str, value: str, heads: int, dim: int) -> DataFrame:
+    """(by..., x): of rows with the arrays `score`, a number for each head, and `value`, `dim` numbers for
+    each head, the sum of the values weighted by each head's softmax over the rows of `by`.
+
+    Weights and weighted values are summed by steps of the scores, as in edge_softmax(), in one aggregate
+    for all heads: no row is multiplied by the heads, and none is joined with its sums. Steps are centred
+    at 0, so that small scores of all heads share one. Null scores have no part."""
+    s = rows.withColumn("_steps", F.transform(score, lambda v: F.floor(v / STEP + 0.5)))
+    s = s.withColumn("_e", F.zip_with(score, "_steps", lambda v, k: F.exp(v - k * STEP)))
+    each = [F.sum(F.col("_e")[h]).alias(f"_w{h}") for h in range(heads)] + [F.sum(F.col("_e")[i // dim] * F.col(value)[i]).alias(f"_v{i}") for i in range(heads * dim)]
+    part = s.groupBy(*by, "_steps").agg(*each)
+    items = [F.struct(F.lit(h).alias("_head"), F.col("_steps")[h].alias("_step"), F.array(f"_w{h}", *[f"_v{h * dim + i}" for i in range(dim)]).alias("_p")) for h in range(heads)]
+    part = part.select(*by, F.explode(F.array(*items)).alias("_i")).select(*by, "_i.*").where("_step is not null")
+    part = vec.reduce_vectors(part, [*by, "_head", "_step"], "_p", dim + 1)
+    few = part.groupBy(*by, "_head").agg(F.max("_step").alias("_high"), F.collect_list(F.struct("_step", "_p")).alias("_parts"))
+    scaled = F.transform("_parts", lambda p: vec.scale(p["_p"], F.exp((p["_step"] - F.col("_high")) * STEP)))
+    sums = few.select(*by, "_head", F.aggregate(scaled, F.array(*[F.lit(0.0)] * (dim + 1)), vec.add).alias("_p"))
+    one = sums.select(*by, F.struct("_head", F.transform(F.slice("_p", 2, dim), lambda v: v / F.col("_p")[0]).alias("x")).alias("_x"))
+    return one.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda p: p["x"])).alias("x"))
+
+
 def aggregate(messages: DataFrame, dim: int, how: str = "sum") -> DataFrame:
     """(id, x): messages reduced by target."""
     return vec.reduce_vectors(messages.select(F.col("dst").alias("id"), "x"), ["id"], "x", dim, how)
