@@ -1,13 +1,15 @@
 """Steps whose work must not outgrow their input: the rows they make, and the vectors that they move."""
 
+import re
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.catalog import QUERIES
 from weftgraph.functions import vectors as vec
-from weftgraph.operators import memory, state
+from weftgraph.operators import memory, message, state
 from weftgraph.queries import temporals
 
 
@@ -54,3 +56,45 @@ def test_memory_rounds_do_not_grow_with_the_batches(spark):
     want = {r["node"]: (tuple(np.round(r["memory"], 9)), r["memory_ts"]) for r in state.collect()}
     assert want == {r["node"]: (tuple(np.round(r["memory"], 9)), r["memory_ts"]) for r in memory.evolve(events.where("eid < 4"), 2, cell).collect()}
     assert memory.evolve(events.limit(0), 2, cell).count() == 0
+
+
+def made(df):
+    """The optimised plan with all of its fields."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        conf.unset("spark.sql.debug.maxToStringFields")
+
+
+@pytest.mark.parametrize("name", ["l4_sage_mean", "l4_sage_fold", "l6_sampled_gcn", "l6_full_gcn", "l7_history_gcn", "l10_rgcn", "l12_snapshot_state"])
+def test_vectors_are_multiplied_before_they_are_moved(spark, sf_dir, name):
+    """Aggregates of 64 places each would make these shuffles 16 times as large."""
+    plan = made(QUERIES[name](spark, sf_dir))
+    assert max(len(re.findall(r"(?:avg|sum)\(", line)) for line in plan.splitlines() if "Aggregate" in line) <= 16
+
+
+def test_shared_vectors_are_looked_up_behind_the_shuffle(spark, sf_dir):
+    plan = made(QUERIES["l10_hetero"](spark, sf_dir))
+    assert not any("x#" in line and "src#" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name", ["l9_gat", "l10_rgat", "l11_temporal_attention"])
+def test_heads_are_one_aggregate(spark, sf_dir, name):
+    """Edges multiplied by the heads and joined with their sums were shuffled twice more."""
+    plan = made(QUERIES[name](spark, sf_dir))
+    assert "alpha#" not in plan
+
+
+def test_softmax_sums_of_wide_scores(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 4, [float(s) for s in rng.normal(0, 400, 2)], [float(v) for v in rng.normal(size=6)]) for i in range(200)]
+    rows[0] = (0, [None, -900.0], rows[0][2])
+    got = {r["k"]: r["x"] for r in message.softmax_sums(spark.createDataFrame(rows, "k long, s array<double>, v array<double>"), ("k",), "s", "v", 2, 3).collect()}
+    for k in range(4):
+        for h in range(2):
+            some = [(s[h], v[3 * h : 3 * h + 3]) for at, s, v in rows if at == k and s[h] is not None]
+            s, v = np.array([s for s, _ in some]), np.array([v for _, v in some])
+            e = np.exp(s - s.max())
+            assert np.allclose(got[k][3 * h : 3 * h + 3], e @ v / e.sum())

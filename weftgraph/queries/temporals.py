@@ -206,9 +206,10 @@ def l12(spark, d):
     """Of each root the neighbours' mean vector in three weekly windows, put together by a recurrent cell."""
     e, x = event_graph(spark, d), features(spark, d)
     dim = len(x.first()["x"])
-    near = temporal.snapshots(e, _roots(e), 2, 3, 7 * DAY).join(x.select((F.col("id") + KINDS).alias("nbr"), "x"), "nbr")
-    steps = vec.reduce_vectors(near, ["root_id", "window"], "x", dim, "mean")
-    return vec.long_form(memory.snapshot_state(steps, 3, dim, layers.weights(4, dim), layers.weights(4, 4, 2)), ["root_id"], "x", 6)
+    y = layers.dense(x, layers.weights(4, dim)).select((F.col("id") + KINDS).alias("nbr"), "x")  # once a vector: means are linear
+    near = temporal.snapshots(e, _roots(e), 2, 3, 7 * DAY).join(y, "nbr")
+    steps = vec.reduce_vectors(near, ["root_id", "window"], "x", 4, "mean")
+    return vec.long_form(memory.snapshot_state(steps, 3, 4, None, layers.weights(4, 4, 2)), ["root_id"], "x", 6)
 
 
 CELL_DIM = 3
