@@ -181,7 +181,12 @@ def control_variate(sampled: DataFrame, edges: DataFrame, x: DataFrame, history:
 
 def rgcn(relations: DataFrame, x: DataFrame, ws: Sequence[Matrix]) -> DataFrame:
     """(id, x): as hetero_conv(), with the weights ws[bid] of each relation."""
-    dim = len(ws[0][0])
+    dim, out = len(ws[0][0]), len(ws[0])
+    if out * len(ws) < dim:  # multiplied first, all relations' products are shorter than one vector
+        y = dense(x, [row for w in ws for row in w])
+        m = message.copy_u(relations.where(F.col("bid").between(0, len(ws) - 1)), y)
+        m = m.select("bid", F.col("dst").alias("id"), F.slice("x", F.col("bid").cast("int") * out + 1, out).alias("x"))
+        return vec.reduce_vectors(vec.reduce_vectors(m, ["bid", "id"], "x", out, "mean"), ["id"], "x", out, "mean")
     m = message.copy_u(relations, x).select("bid", F.col("dst").alias("id"), "x")
     each = vec.reduce_vectors(m, ["bid", "id"], "x", dim, "mean")
     own = F.coalesce(*[F.when(F.col("bid") == i, vec.linear(F.col("x"), w)) for i, w in enumerate(ws)])
