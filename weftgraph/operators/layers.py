@@ -155,9 +155,9 @@ def gat(edges: DataFrame, x: DataFrame, heads: Sequence[tuple[Matrix, Sequence[f
     nodes = x.select("id", vec.linear(F.col("x"), [row for head in heads for row in head[0]]).alias("_all")).select("id", "_all", scores(1).alias("_q"), scores(2).alias("_k"))
     src = nodes.select(F.col("id").alias("src"), "_all", "_k")
     met = edges.select("src", "dst").join(src, "src").join(nodes.select(F.col("id").alias("dst"), "_q"), "dst")
-    rows = met.select("dst", "_all", F.posexplode(vec.add(F.col("_q"), F.col("_k"))).alias("head", "_s")).withColumn("_s", vec.leaky_relu(F.col("_s")))
-    sums = message.edge_softmax(rows, "_s", ("dst", "head")).select(F.col("dst").alias("id"), vec.scale(own(F.col("_all"), F.col("head")), F.col("alpha") / n).alias("x"))
-    return vec.reduce_vectors(sums, ["id"], "x", dim)
+    rows = met.select(F.col("dst").alias("id"), "_all", F.transform(vec.add(F.col("_q"), F.col("_k")), lambda s: vec.leaky_relu(s)).alias("_s"))
+    sums = message.softmax_sums(rows, ("id",), "_s", "_all", n, dim)
+    return sums.select("id", F.array(*[sum((F.col("x")[h * dim + i] for h in range(1, n)), F.col("x")[i]) / n for i in range(dim)]).alias("x"))
 
 
 def attention(rows: DataFrame, heads: int, dim: int) -> DataFrame:
