@@ -133,16 +133,19 @@ def sage(edges: DataFrame, x: DataFrame, w_self: Matrix, w_near: Matrix, how: st
         near = message.spmm(edges.select("src", "dst").union(loops), x, dim, how="mean")
         out = dense(near, w_near)
     else:
+        first = how in ("mean", "fold") and len(w_near) < dim  # both are linear: multiply if that makes vectors shorter
+        y = dense(x, w_near) if first else x
+        dim = len(w_near) if first else dim
         if how == "fold":
-            near = message.ordered_fold(message.copy_u(edges.select("src", "dst"), x), dim)
+            near = message.spmm(message.fold_weights(edges), y, dim, F.col("w"))
         elif how == "lstm":
             near = lstm_reduce(edges, x, lstm, fan)
         elif how == "pool":
             near = message.spmm(edges, (dense(x, *pool) if pool else x).withColumn("x", vec.relu(F.col("x"))), dim, how="max")
         else:
-            near = message.spmm(edges, x, dim, how="mean")
+            near = message.spmm(edges, y, dim, how="mean")
         near = filled(near, x, dim).withColumnRenamed("x", "n")
-        out = x.join(near, "id").select("id", vec.add(vec.linear(F.col("x"), w_self), vec.linear(F.col("n"), w_near)).alias("x"))
+        out = x.join(near, "id").select("id", vec.add(vec.linear(F.col("x"), w_self), F.col("n") if first else vec.linear(F.col("n"), w_near)).alias("x"))
     return out.withColumn("x", vec.l2_normalise(F.col("x"))) if normalise else out
 
 

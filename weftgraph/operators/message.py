@@ -122,6 +122,12 @@ def weight_grad(inputs: DataFrame, grad: DataFrame, rows: int, cols: int) -> Dat
     return vec.reduce_vectors(blocks, ["row"], "x", cols).select(F.col("row").cast("long").alias("row"), F.posexplode("x").alias("col", "grad")).withColumn("col", F.col("col").cast("long"))
 
 
+def fold_weights(edges: DataFrame, decay: float = 0.5) -> DataFrame:
+    """Edges (src, dst) with w, what ordered_fold() weighs a message by: places need no vectors."""
+    placed = ranges.placed(edges.select("src", "dst"), ["dst"], ["src"], "_i", "_n")
+    return placed.select("src", "dst", F.pow(F.lit(decay), F.col("_n") - F.col("_i") - 1).alias("w"))
+
+
 def ordered_fold(messages: DataFrame, dim: int, decay: float = 0.5) -> DataFrame:
     """(id, x): a recurrent reducer, h = decay * h + x over a target's messages by source. The fold
     is a weighted sum with weights from places counted backwards, so it needs no sequential task."""
