@@ -40,8 +40,25 @@ class Step:
     def dim(self) -> int:
         return len(self.w) * (2 if self.skip else 1)
 
-    def of(self, h: DataFrame) -> DataFrame:
-        out = dense(h, self.w, self.bias)
+    @property
+    def shortens(self) -> bool:
+        return len(self.w) < self.inputs
+
+    def before(self, h: DataFrame) -> DataFrame:
+        """w h, where that is shorter than h; means and sums over neighbours are taken of it then."""
+        return dense(h, self.w) if self.shortens else h
+
+    @property
+    def width(self) -> int:
+        return len(self.w) if self.shortens else self.inputs
+
+    def after(self, h: DataFrame) -> DataFrame:
+        """of(), given what was made of before()."""
+        return self.of(h, self.shortens)
+
+    def of(self, h: DataFrame, multiplied: bool = False) -> DataFrame:
+        bias = F.array(*[F.lit(float(b)) for b in self.bias or []])
+        out = dense(h, self.w, self.bias) if not multiplied else h if self.bias is None else h.withColumn("x", vec.add(F.col("x"), bias))
         if self.activation is None:
             return out
         shown = self.activation(F.col("x"))
@@ -70,7 +87,7 @@ def sampled_gcn(flow: Sequence[Block], x: DataFrame, steps: Sequence[Step], befo
     taken of the features alone. Nodes without neighbours have zeros for a mean."""
     h = x.select("id", "x") if before is None else before.of(x.select("id", "x"))
     for block, step in zip(flow, steps, strict=True):
-        h = step.of(filled(message.spmm(block.edges, h, step.inputs, how="mean"), block.nodes, step.inputs))
+        h = step.after(filled(message.spmm(block.edges, step.before(h), step.width, how="mean"), block.nodes, step.width))
     return h
 
 
@@ -80,8 +97,8 @@ def full_gcn(edges: DataFrame, x: DataFrame, steps: Sequence[Step], norms: DataF
     norms = edges.groupBy(F.col("dst").alias("id")).agg((1.0 / F.count("*")).alias("norm")) if norms is None else norms
     h = x.select("id", "x") if before is None else before.of(x.select("id", "x"))
     for step in steps:
-        scaled = message.spmm(edges, h, step.inputs).join(norms, "id").select("id", vec.scale(F.col("x"), F.col("norm")).alias("x"))
-        h = step.of(filled(scaled, x, step.inputs))
+        scaled = message.spmm(edges, step.before(h), step.width).join(norms, "id").select("id", vec.scale(F.col("x"), F.col("norm")).alias("x"))
+        h = step.after(filled(scaled, x, step.width))
     return h
 
 
@@ -90,7 +107,7 @@ def history_gcn(flow: Sequence[Block], edges: DataFrame, x: DataFrame, histories
 
     A block takes the mean over sampled neighbours of what changed since the step's history (id, x),
     plus the mean of the history over all neighbours. The new histories have what the flow's nodes
-    gave each step and the old rows of all others. Nodes without a history start from zeros.
+    gave each step and the old rows of all others; they are made when they are read. Nodes without a history start from zeros.
     """
     h = x.select("id", "x") if before is None else before.of(x.select("id", "x"))
     kept = []
@@ -100,12 +117,13 @@ def history_gcn(flow: Sequence[Block], edges: DataFrame, x: DataFrame, histories
         h = cut(h.join(sources, "id", "left_semi"))
         zero = F.array(*[F.lit(0.0)] * dim)
         change = h.join(old.select("id", F.col("x").alias("_o")), "id", "left").select("id", vec.sub(F.col("x"), F.coalesce("_o", zero)).alias("x"))
-        part = filled(message.spmm(block.edges, change, dim, how="mean"), block.nodes, dim)
+        part = filled(message.spmm(block.edges, step.before(change), step.width, how="mean"), block.nodes, step.width)
         into = edges.join(block.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-        whole = _mean_with_gaps(into, old, dim)
+        whole = _mean_with_gaps(into, step.before(old.select("id", "x")), step.width)
         both = part.join(whole.select("id", F.col("x").alias("_w")), "id", "left")
-        kept.append(cut(old.select("id", "x").join(h, "id", "left_anti").union(h.select("id", "x"))))
-        h = step.of(both.select("id", vec.add(F.col("x"), F.coalesce("_w", zero)).alias("x")))
+        kept.append(old.select("id", "x").join(h, "id", "left_anti").union(h.select("id", "x")))
+        none = F.array(*[F.lit(0.0)] * step.width)
+        h = step.after(both.select("id", vec.add(F.col("x"), F.coalesce("_w", none)).alias("x")))
     return h, kept
 
 
