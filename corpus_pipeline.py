@@ -14,19 +14,21 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, langid, mixing, secrets, simhash
 from weftgraph.llm.common import n_words
-from weftgraph.plans.lineage import shared_dir
+from weftgraph.plans.lineage import shared_dir, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts whose language can't be told: those without a letter (and null ones), and those
-    whose bytes the network gives to no language with a mean probability of 0.5, or of what its own
-    labelled sample reaches if that is less. With no labels every text that has a letter stays."""
-    net, floor = langid.learn_floor(docs.select("text", "lang"))
+    whose bytes the network gives to no language with a mean probability of 0.5, or of what all but a
+    thousandth of the labelled texts with a letter reach if that is less: all of them are scored, and scores
+    are written once. With no labels every text that has a letter stays."""
+    net = langid.learn(docs.select("text", "lang"))
     if net is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    told = langid.predict(docs.select(row, "text"), net).where((F.col("lang_pred") != "und") & (F.col("score") >= floor))
-    return told.select("_row.*")
+    told = stored(langid.predict(docs.select(row, "text"), net).select("_row", "lang_pred", "score").where(F.col("lang_pred") != "und"))
+    floor = langid.floor_of(told.where("_row.lang is not null"))
+    return told.where(F.col("score") >= floor).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
