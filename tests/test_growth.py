@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.catalog import QUERIES
 from weftgraph.functions import vectors as vec
-from weftgraph.operators import memory, message, state
+from weftgraph.operators import memory, message, partition, state
 from weftgraph.queries import temporals
 
 
@@ -98,3 +98,18 @@ def test_softmax_sums_of_wide_scores(spark):
             s, v = np.array([s for s, _ in some]), np.array([v for _, v in some])
             e = np.exp(s - s.max())
             assert np.allclose(got[k][3 * h : 3 * h + 3], e @ v / e.sum())
+
+
+def test_balanced_parts_read_their_edges_once(spark):
+    """Eight rounds made the graph anew from its source twice each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    schema = "src long, dst long"
+    edges = spark.createDataFrame(spark.range(400).rdd.map(lambda r: (r["id"] % 97, (r["id"] * 7 + 1) % 97)).mapPartitions(counted), schema)
+    partition.balanced_parts(edges, spark.range(97), 4).collect()
+    assert seen.value == 400

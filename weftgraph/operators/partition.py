@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.structure import neighbourhood, numbered, row_pointers
 from weftgraph.plans import ranges
-from weftgraph.plans.lineage import cut
+from weftgraph.plans.lineage import cut, stored
 
 
 def range_part(id_: Column, size: int, parts: int) -> Column:
@@ -162,6 +162,7 @@ def balanced_parts(edges: DataFrame, vertices: DataFrame, parts: int, rounds: in
     size = -(-n // parts) if n else 1
     most = int(size * (1 + slack))
     now = cut(vertices.select("id", range_part(F.col("id").cast("long"), 1, 1).alias("part")) if parts == 1 else numbered(vertices.select("id"), "id").select("id", F.least(F.floor(F.col("new") / size), F.lit(parts - 1)).cast("long").alias("part")))
+    edges = stored(edges.select("src", "dst"))  # each round reads them twice
     both = edges.where("src != dst").select("src", "dst").union(edges.where("src != dst").select(F.col("dst"), F.col("src"))).toDF("src", "dst")
     crossing = lambda p: edge_parts(edges.select("src", "dst"), p).where("cut").count()
     cuts, idle = crossing(now), 0
