@@ -36,6 +36,17 @@ def test_one_file_many_tasks(spark, graph, edges):
     assert df.rdd.getNumPartitions() == -(-3000 // edges) and rows(df) == want
 
 
+def test_tasks_do_not_grow_with_the_ranges(spark, graph):
+    """1,500 ranges of two edges and 1,200 of one number are shared by a bounded number of tasks."""
+    path, want = graph
+    df = ranged.read_csr(spark, f"{path}/g.bcsr", weighted=True, edges=2)
+    most = max(512, 8 * spark.sparkContext.defaultParallelism)
+    assert df.rdd.getNumPartitions() == most and rows(df) == want
+    np.save(path / "x.npy", np.arange(1200))
+    df = ranged.read_npy(spark, f"{path}/x.npy", 1)
+    assert df.rdd.getNumPartitions() == most and rows(df) == [(i, [float(i)]) for i in range(1200)]
+
+
 def test_blocks_of_row_starts(spark, graph, monkeypatch):
     monkeypatch.setattr(ranged, "BLOCK", 13)
     reader = ranged.CsrReader({"path": str(graph[0]), "edges": "700", "weighted": "true"})

@@ -23,6 +23,9 @@ from pyspark.sql.types import StructType
 
 #: Values of a record batch at most, and row starts that are looked at together.
 BLOCK = 1 << 16
+#: Tasks of a scan at most if no number is given: where there are more ranges, a task reads several that follow
+#: each other.
+TASKS = 4096
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -56,28 +59,58 @@ class Part(InputPartition):
     base: int = 0
 
 
+@dataclass
+class Several(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    parts: list[Part]
+
+
+class RangeReader(DataSourceReader):
+    """Ranges of files, in a bounded number of tasks: a task of few rows costs its start and little else."""
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.tasks = options["path"], int(options.get("tasks", TASKS))
+
+    def ranges(self) -> list[Part]:
+        raise NotImplementedError
+
+    def read_range(self, part: Part) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+    def partitions(self) -> list[Several]:
+        found = self.ranges() or [Part("", 0, 0)]
+        ends = np.linspace(0, len(found), min(self.tasks, len(found)) + 1).astype(int)
+        return [Several(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def read(self, several: Several) -> Iterator[pa.RecordBatch]:
+        for part in several.parts:
+            yield from self.read_range(part)
+
+
 def split(file: str, n: int, size: int, base: int = 0) -> list[Part]:
     return [Part(file, a, min(n, a + size), base) for a in range(0, n, size)]
 
 
-class CsrReader(DataSourceReader):
+class CsrReader(RangeReader):
     """Ranges of edges. A range looks its first row up in the row starts by halving, and goes on through
     the row starts in blocks."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.weighted = options["path"], options.get("weighted", "false") == "true"
+        super().__init__(options)
+        self.weighted = options.get("weighted", "false") == "true"
         self.size, self.rows = int(options.get("edges", 1 << 22)), int(options.get("rows_per_file", 0))
 
-    def partitions(self) -> list[Part]:
+    def ranges(self) -> list[Part]:
         fs, _ = opened(self.path)
         out = []
         for k, name in enumerate(files(self.path, ".bcsr")):
             with fs.open_input_file(name) as f:
                 block = re.search(r"part-(\d+)\.bcsr$", name)
                 out += split(name, int(numbers(f, 0, 2, "<u4")[1]), self.size, int(block[1] if block else k) * self.rows)
-        return out or [Part("", 0, 0)]
+        return out
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read_range(self, part: Part) -> Iterator[pa.RecordBatch]:
         if part.first >= part.last:
             return
         fs, _ = opened(self.path)
@@ -108,11 +141,12 @@ class CsrReader(DataSourceReader):
                     w.close()
 
 
-class NpyReader(DataSourceReader):
+class NpyReader(RangeReader):
     """Ranges of rows of arrays of one or two dimensions; ids count on from file to file."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.size = options["path"], int(options.get("rows", 1 << 16))
+        super().__init__(options)
+        self.size = int(options.get("rows", 1 << 16))
 
     def _header(self, file) -> tuple[tuple[int, ...], np.dtype, int]:
         head = io.BytesIO(file.read(1 << 16))
@@ -122,7 +156,7 @@ class NpyReader(DataSourceReader):
             raise ValueError("only arrays of numbers in row order of one or two dimensions can be read in ranges")
         return shape, kind, head.tell()
 
-    def partitions(self) -> list[Part]:
+    def ranges(self) -> list[Part]:
         fs, _ = opened(self.path)
         out, base = [], 0
         for name in files(self.path, ".npy"):
@@ -130,9 +164,9 @@ class NpyReader(DataSourceReader):
                 n = self._header(f)[0][0]
             out += split(name, n, self.size, base)
             base += n
-        return out or [Part("", 0, 0)]
+        return out
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read_range(self, part: Part) -> Iterator[pa.RecordBatch]:
         if part.first >= part.last:
             return
         fs, _ = opened(self.path)
@@ -223,7 +257,7 @@ class NpyWriter(BlockWriter):
 class Csr(DataSource):
     """(src, dst, w) of files of compressed rows: unsigned 32-bit n, m, n row starts and m ends, with
     `weighted` a file of the same name and a w of m and m weights (else 1). Options: path, a file or a
-    folder of .bcsr files; edges, those of a task; rows_per_file, by which the sources of a file are moved,
+    folder of .bcsr files; edges, those of a range; tasks, at most (they share the ranges); rows_per_file, by which the sources of a file are moved,
     times the number in its name (part-<number>.bcsr) or else its place among the files."""
 
     @classmethod
@@ -242,7 +276,7 @@ class Csr(DataSource):
 
 class Npy(DataSource):
     """(id, x) of the rows of NumPy arrays; numbers are given as doubles, those of one dimension in
-    arrays of one. Options: path, a file or a folder of .npy files; rows, those of a task."""
+    arrays of one. Options: path, a file or a folder of .npy files; rows, those of a range; tasks, at most."""
 
     @classmethod
     def name(cls) -> str:
@@ -264,9 +298,14 @@ def _source(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(512, 8 * spark.sparkContext.defaultParallelism)
+
+
 def read_csr(spark: SparkSession, path: str, weighted: bool = False, edges: int = 1 << 22, rows_per_file: int = 0) -> DataFrame:
-    """(src, dst, w) of a file or a folder of compressed rows, `edges` edges a task."""
-    return _source(spark).read.format("csr").options(path=path, weighted=str(weighted).lower(), edges=edges, rows_per_file=rows_per_file).load()
+    """(src, dst, w) of a file or a folder of compressed rows, `edges` edges a range; a task
+    reads one, or several where there are more ranges than 512 and than eight for each core."""
+    return _source(spark).read.format("csr").options(path=path, weighted=str(weighted).lower(), edges=edges, rows_per_file=rows_per_file, tasks=_tasks(spark)).load()
 
 
 def write_csr(edges: DataFrame, path: str, rows: int) -> None:
@@ -280,8 +319,8 @@ def write_csr(edges: DataFrame, path: str, rows: int) -> None:
 
 
 def read_npy(spark: SparkSession, path: str, rows: int = 1 << 16) -> DataFrame:
-    """(id, x) of an array file or a folder of them, `rows` rows a task."""
-    return _source(spark).read.format("npy").options(path=path, rows=rows).load()
+    """(id, x) of an array file or a folder of them, `rows` rows a range, as read_csr() deals them."""
+    return _source(spark).read.format("npy").options(path=path, rows=rows, tasks=_tasks(spark)).load()
 
 
 def write_npy(vectors: DataFrame, path: str, rows: int) -> None:
