@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.catalog import QUERIES
 from weftgraph.functions import vectors as vec
-from weftgraph.operators import memory, message, partition, state
+from weftgraph.operators import memory, message, partition, state, traverse
 from weftgraph.queries import temporals
 
 
@@ -113,3 +113,21 @@ def test_balanced_parts_read_their_edges_once(spark):
     edges = spark.createDataFrame(spark.range(400).rdd.map(lambda r: (r["id"] % 97, (r["id"] * 7 + 1) % 97)).mapPartitions(counted), schema)
     partition.balanced_parts(edges, spark.range(97), 4).collect()
     assert seen.value == 400
+
+
+def counted(spark, edges):
+    """The edges, and how many of them were computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    return edges.mapInPandas(each, edges.schema), seen
+
+
+def test_betweenness_computes_its_edges_once(spark):
+    edges, seen = counted(spark, spark.createDataFrame([(i, j) for i in range(40) for j in (i + 1, i + 2)], "src long, dst long").coalesce(1))
+    got = {r["id"]: (r["level"], r["paths"]) for r in traverse.betweenness(edges, 0).collect()}
+    assert seen.value == 80 and got[2] == (1, 1) and got[3] == (2, 2) and got[41] == (21, 20)

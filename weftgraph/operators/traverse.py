@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.lineage import cut
+from weftgraph.plans.lineage import cut, stored
 
 #: What an unreached vertex gets where a number is asked for (largest unsigned 32-bit number less one).
 FAR = 4294967294
 
 
 def _dealt(edges: DataFrame, *cols: str) -> DataFrame:
-    """Edges dealt by source once, so that a round moves the frontier and not the edges."""
-    return cut(edges.select(*cols).repartition("src"))
+    """Edges dealt by source and sorted once, so that a round moves the frontier and neither moves nor sorts
+    the edges. Without a number of partitions there would be as many as suit their size, not those of a join."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(edges.select(*cols).repartition(parts, "src").sortWithinPartitions("src"))
 
 
 def propagate(edges: DataFrame, start: DataFrame, message: Callable[[Column, Column], Column], best: Callable[[Column], Column], better: Callable[[Column, Column], Column], rounds: int | None = None) -> DataFrame:
@@ -95,6 +97,7 @@ def betweenness(edges: DataFrame, source: int) -> DataFrame:
     Shortest paths are counted level by level, then dependencies flow back:
     value(u) = sum over v one level deeper of paths(u) / paths(v) * (1 + value(v)).
     """
+    edges = stored(edges.select("src", "dst"))
     levels = cut(bfs(edges, source).withColumnRenamed("value", "level"))
     deepest = levels.agg(F.max("level")).first()[0]
     e = edges.select("src", "dst").join(levels.select(F.col("id").alias("src"), F.col("level").alias("ls")), "src").join(levels.select(F.col("id").alias("dst"), F.col("level").alias("ld")), "dst")
