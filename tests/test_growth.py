@@ -127,6 +127,22 @@ def counted(spark, edges):
     return edges.mapInPandas(each, edges.schema), seen
 
 
+def test_rank_rounds_read_lists_and_not_edges(spark, monkeypatch):
+    """A round reads a row for each vertex and some for a hub, not one for each of 14,000 edges."""
+    pairs = sorted({(i, (i * 7 + j * j) % 600) for i in range(500) for j in range(20)} | {(7, 600 + j) for j in range(5000)})
+    sizes, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: sizes.append((made := cut(df)).count()) or made)
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got = traverse.pagerank(edges, spark.range(5600), rounds=4).collect()
+    assert max(sizes[:-5]) < 700 and len(sizes) == 6
+    src, dst = np.array(pairs).T
+    value, delta, degree = np.zeros(5600), np.full(5600, 0.15), np.bincount(src, minlength=5600)
+    for _ in range(4):
+        spent = np.where(delta > 0.01, delta, 0)
+        value, delta = value + spent, delta - spent + np.bincount(dst, 0.85 * spent[src] / degree[src], 5600)
+    assert all(abs(r["value"] - value[r["id"]]) < 1e-9 and abs(r["delta"] - delta[r["id"]]) < 1e-9 for r in got) and len(got) == 5600
+
+
 def test_betweenness_computes_its_edges_once(spark):
     edges, seen = counted(spark, spark.createDataFrame([(i, j) for i in range(40) for j in (i + 1, i + 2)], "src long, dst long").coalesce(1))
     got = {r["id"]: (r["level"], r["paths"]) for r in traverse.betweenness(edges, 0).collect()}

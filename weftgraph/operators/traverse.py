@@ -13,6 +13,10 @@ from weftgraph.plans.lineage import cut, stored
 FAR = 4294967294
 
 
+#: Ends of one row of a vertex's list of neighbours, more or less; a hub has several rows.
+ENDS = 1024
+
+
 def _dealt(edges: DataFrame, *cols: str) -> DataFrame:
     """Edges dealt by source and sorted once, so that a round moves the frontier and neither moves nor sorts
     the edges. Without a number of partitions there would be as many as suit their size, not those of a join."""
@@ -20,6 +24,14 @@ def _dealt(edges: DataFrame, *cols: str) -> DataFrame:
     return cut(edges.select(*cols).repartition(parts, "src").sortWithinPartitions("src"))
 
 
+def _lists(edges: DataFrame) -> DataFrame:
+    """(src, degree, ends) of edges, dealt by source: rounds read a row for each vertex or ENDS neighbours."""
+    e = stored(edges.select("src", "dst"))
+    out = e.groupBy("src").agg(F.count("*").alias("degree"))
+    piece = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / ENDS))
+    return _dealt(e.join(out, "src").groupBy("src", "degree", piece.alias("piece")).agg(F.collect_list("dst").alias("ends")), "src", "degree", "ends")
+
+
 def propagate(edges: DataFrame, start: DataFrame, message: Callable[[Column, Column], Column], best: Callable[[Column], Column], better: Callable[[Column, Column], Column], rounds: int | None = None) -> DataFrame:
     """(id, value) after values have run along the edges until none improves.
 
@@ -75,16 +87,15 @@ def pagerank(edges: DataFrame, vertices: DataFrame, rounds: int | None = None, b
     less what it has sent. The mass of vertices without out-edges is dropped. Rounds are
     synchronous; without a number of rounds they end when no delta is above `least`.
     """
-    e = _dealt(edges, "src", "dst")
-    out = e.groupBy("src").agg(F.count("*").alias("degree"))
-    e = cut(e.join(out, "src").repartition("src"))
-    state = cut(vertices.select("id", F.lit(0.0).alias("value"), F.lit(base).alias("delta")))
+    e = _lists(edges)
+    state = cut(vertices.select("id", F.lit(0.0).alias("value"), F.lit(base).alias("delta")).repartition(e.rdd.getNumPartitions(), "id").sortWithinPartitions("id"))
     done = 0
     while rounds is None or done < rounds:
         active = state.where(F.col("delta") > least)
         if rounds is None and active.isEmpty():
             break
-        sent = active.join(e, active["id"] == e["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(damping * F.col("delta") / F.col("degree")).alias("got"))
+        sent = active.join(e, active["id"] == e["src"]).select(F.explode("ends").alias("id"), (damping * F.col("delta") / F.col("degree")).alias("sent"))
+        sent = sent.groupBy("id").agg(F.sum("sent").alias("got"))
         spent = F.when(F.col("delta") > least, F.col("delta")).otherwise(0.0)
         state = cut(state.join(sent, "id", "left").select("id", (F.col("value") + spent).alias("value"), (F.col("delta") - spent + F.coalesce("got", F.lit(0.0))).alias("delta")))
         done += 1
