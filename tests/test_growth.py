@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.catalog import QUERIES
 from weftgraph.functions import vectors as vec
-from weftgraph.operators import memory, message, partition, state, traverse
+from weftgraph.operators import community, memory, message, partition, state, traverse
 from weftgraph.queries import temporals
 
 
@@ -147,3 +147,13 @@ def test_betweenness_computes_its_edges_once(spark):
     edges, seen = counted(spark, spark.createDataFrame([(i, j) for i in range(40) for j in (i + 1, i + 2)], "src long, dst long").coalesce(1))
     got = {r["id"]: (r["level"], r["paths"]) for r in traverse.betweenness(edges, 0).collect()}
     assert seen.value == 80 and got[2] == (1, 1) and got[3] == (2, 2) and got[41] == (21, 20)
+
+
+def test_communities_compute_their_edges_once(spark):
+    """Two cliques and a bridge; a loop and both directions of an edge count."""
+    rows = [(a + c, b + c, 2) for c in (0, 10) for a in range(6) for b in range(6) if a != b] + [(0, 10, 1), (3, 3, 1)]
+    edges, seen = counted(spark, spark.createDataFrame(rows, "src long, dst long, w long").coalesce(1))
+    labels, forest = community.merge_forest(edges, spark.range(17))
+    got = {r["id"]: r["community"] for r in labels.collect()}
+    assert seen.value == len(rows) and len(got) == 17 and forest.count() == 10
+    assert len({got[i] for i in range(6)}) == len({got[i] for i in range(10, 16)}) == 1 and len(set(got.values())) == 7

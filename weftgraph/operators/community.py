@@ -40,31 +40,47 @@ def merge_forest(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, Data
     gain, they are thinned by hash until they weigh no more than what they join, and each must gain
     even if it comes last. The modularity thus never falls, stars and chains shrink by a share in
     every round, and later rounds work on the contracted graph only. Self loops count for strength.
+    Edges are computed once; pairs carry the strengths of their ends, so a round joins them twice (with
+    what its ends became), and vertices are only joined again when all rounds are done.
     """
-    both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    own = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("s"))
-    now = stored(vertices.select("id").join(own, "id", "left").select("id", F.col("id").alias("community"), F.coalesce("s", F.lit(0)).alias("s")))
+    e = stored(edges.select("src", "dst", "w"))
+    ends = e.select(F.col("src").alias("id"), "w").union(e.select("dst", "w"))
+    own = ends.groupBy("id").agg(F.sum("w").alias("s"))
+    # the communities of a round, with strength and size
+    now = vertices.select("id").join(own, "id", "left").groupBy(F.col("id").alias("community"))
+    now = stored(now.agg(F.sum(F.coalesce("s", F.lit(0))).alias("s"), F.count("*").alias("size")))
     m2 = now.agg(F.sum("s")).first()[0]
-    pairs = stored(both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"))
-    done, forest = 0, vertices.select("id", F.col("id").alias("parent"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("size")).limit(0)
+    strength = lambda c: now.select(F.col("community").alias(c), F.col("s").alias(f"s{c}"))
+    pairs = e.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
+    pairs = stored(pairs.join(strength("a"), "a").join(strength("b"), "b"))
+    done, steps, forest = 0, [], vertices.select("id", F.col("id").alias("parent"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("size")).limit(0)
     while True:
-        moves = stored(_moves(pairs, now.groupBy("community").agg(F.sum("s").alias("s")), m2, done))
+        moves = stored(_moves(pairs, m2, done))
         if moves.isEmpty():
-            return now.select("id", "community"), forest
-        sizes = now.groupBy(F.col("community").alias("a")).agg(F.count("*").alias("size"))
-        forest = forest.unionByName(stored(moves.join(sizes, "a").select(F.col("a").alias("id"), F.col("head").alias("parent"), F.lit(done).alias("round"), "size")))
-        to = lambda c: moves.select(F.col("a").alias(c), F.col("head").alias(f"_{c}"))
-        now = stored(now.join(to("community"), "community", "left").select("id", F.coalesce("_community", "community").alias("community"), "s"))
-        ends = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "w")
-        pairs = stored(ends.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+            break
+        joined = now.join(moves.select(F.col("a").alias("community"), "head"), "community", "left")
+        joined = stored(joined.select("community", F.coalesce("head", "community").alias("head"), "s", "size", F.col("head").isNotNull().alias("moved")))
+        forest = forest.unionByName(joined.where("moved").select(F.col("community").alias("id"), F.col("head").alias("parent"), F.lit(done).alias("round"), "size"))
+        now = stored(joined.groupBy(F.col("head").alias("community")).agg(F.sum("s").alias("s"), F.sum("size").alias("size")))
+        step = stored(joined.select("community", "head").join(now.select(F.col("community").alias("head"), "s"), "head"))
+        steps.append(step)
+        to = lambda c, x: step.select(F.col("community").alias(c), F.col("head").alias(x), F.col("s").alias(f"s{x}"))  # noqa: B023, E731
+        ends = pairs.select("a", "b", "w").join(to("a", "x"), "a").join(to("b", "y"), "b").where("x <> y")
+        low = lambda x, y: F.when(F.col("x") < F.col("y"), F.col(x)).otherwise(F.col(y))
+        ends = ends.select(low("x", "y").alias("a"), low("y", "x").alias("b"), low("sx", "sy").alias("sa"), low("sy", "sx").alias("sb"), "w")
+        pairs = stored(ends.groupBy("a", "b", "sa", "sb").agg(F.sum("w").alias("w")))
         done += 1
+    # where each community ended, from the last round to the first: only those of that round are joined
+    found = now.select(F.col("community").alias("head"), F.col("community").alias("last"))
+    for step in reversed(steps):
+        found = stored(step.select("community", "head").join(found, "head").select(F.col("community").alias("head"), "last"))
+    return vertices.select("id").join(found.toDF("id", "community"), "id", "left"), forest
 
 
-def _moves(pairs: DataFrame, strength: DataFrame, m2: float, done: int) -> DataFrame:
-    """(a, head): the communities that merge in a round, and what each merges into."""
-    s = lambda c: strength.select(F.col("community").alias(c), F.col("s").alias(f"s{c}"))
+def _moves(pairs: DataFrame, m2: float, done: int) -> DataFrame:
+    """(a, head): the communities that merge in a round, and what each merges into. pairs: (a, b, w, sa, sb)."""
     gain = F.col("w") - F.col("sa") * F.col("sb") / m2
-    good = pairs.join(s("a"), "a").join(s("b"), "b").withColumn("gain", gain).where("gain > 0")
+    good = pairs.withColumn("gain", gain).where("gain > 0")
     side = lambda a, b: F.struct(F.col(a).alias("a"), F.col(f"s{a}").alias("sa"), F.struct("gain", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"), F.col(b).alias("b"), F.col(f"s{b}").alias("sb"), "w").alias("c"))
     best = stored(good.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).select("e.*").groupBy("a").agg(F.max("c").alias("c"), F.first("sa").alias("sa")).select("a", "sa", "c.b", "c.sb", "c.w"))
     next_ = best.select(F.col("a").alias("b"), F.col("b").alias("t"), F.col("sb").alias("st"))
