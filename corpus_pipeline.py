@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, langid, mixing, secrets, simhash
-from weftgraph.llm.common import n_words
+from weftgraph.llm.common import arrow_rows, n_words
 from weftgraph.plans.lineage import shared_dir, stored
 
 
@@ -26,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if net is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    told = stored(langid.predict(docs.select(row, "text"), net).select("_row", "lang_pred", "score").where(F.col("lang_pred") != "und"))
+    with arrow_rows(spark, 500):
+        told = stored(langid.predict(docs.select(row, "text"), net).select("_row", "lang_pred", "score").where(F.col("lang_pred") != "und"))
     floor = langid.floor_of(told.where("_row.lang is not null"))
     return told.where(F.col("score") >= floor).select("_row.*")
 
