@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import n_words, table, without
-from weftgraph.plans.lineage import cut
+from weftgraph.plans.lineage import cut, stored
 
 #: Documents that one task ranks at a time, on average.
 BLOCK = 8192
@@ -16,7 +16,8 @@ OUT = ("size", "source_size", "target", "copies", "taken")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
-    """Target words of each source: sizes has one row (source, source_size) for each source.
+    """Target words of each source: sizes has one row (source, source_size) for each source. The rows
+    also have `_rank`, the source's place from 0, which is never null.
 
     Sources in code-point order, null last, weigh weights[0], weights[1], ..., repeating. They share
     budget times the sum of all sizes in proportion to their weights, but a source gets at most
@@ -37,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], budget: float, mo
     mine = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct((F.col("_cap") / F.col("_w")).alias("a"), F.col("_rank").alias("b"), F.col("_level").alias("level")))).over(whole)
     filled = filled.withColumn("_at", mine["level"])
     target = F.when(F.col("_at").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_at") * F.col("_w")))
-    return filled.select("source", "source_size", target.alias("target"))
+    return filled.select("source", "source_size", target.alias("target"), "_rank")
 
 
 def mix_sources(
@@ -61,6 +62,8 @@ def mix_sources(
 
     No task ranks a whole source: ranks are cut into ranges of the order value with about BLOCK
     rows each, and running sums are put together from the sums of the ranges. Reruns agree.
+    Whole rows are shuffled once, by source and range: the targets (a row for each source) are written
+    first, so that Spark sees that they are small, and the sums of the ranges are joined by the same key.
 
     A null source is a source of its own, the last. Null or empty texts have size 0, take nothing
     and get copies of the source. Rows that agree in doc_id and size are interchangeable. An empty
@@ -78,18 +81,18 @@ def mix_sources(
     # odds of the left fraction; 1 where nothing is left or known, as the order then has no effect
     plan = plan.withColumn("_odds", F.when((F.col("_left") > 0) & (F.col("_left") < F.col("source_size")), f / (1 - f)).otherwise(1.0))
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    d = d.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    d = d.join(stored(plan), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     d = d.withColumn("_u", u).withColumn("_q", (F.col("_u") / (1 - F.col("_u"))) / (F.col("_favour") * F.col("_odds")))
     n_docs = docs.count() if n_docs is None else n_docs
     blocks = max(1, -(-n_docs // BLOCK))
     z = F.col("_q") * F.col("_odds")
     d = d.withColumn("_block", F.least(F.lit(blocks - 1), F.floor(z / (1 + z) * blocks)).cast("int"))
-    within = Window.partitionBy("source", "_block").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy("source", "_block").agg(F.sum("size").alias("_sum"))
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = sums.select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_base")
+    within = Window.partitionBy("_rank", "_block").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy("_rank", "_block").agg(F.sum("size").alias("_sum"))
+    so_far = Window.partitionBy("_rank").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_rank", "_block", F.coalesce(F.sum("_sum").over(so_far), F.lit(0)).alias("_base"))
     d = d.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+    d = d.join(sums, ["_rank", "_block"])
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.col("_base") - F.col("_before")))
     d = d.withColumn("taken", (F.col("_whole") * F.col("size") + extra).cast("long"))
     d = d.withColumn("copies", (F.col("_whole") + (extra > 0).cast("long")).cast("long"))
