@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.catalog import QUERIES
 from weftgraph.functions import vectors as vec
-from weftgraph.operators import community, memory, message, partition, state, traverse
+from weftgraph.operators import community, layers, memory, message, partition, state, traverse
 from weftgraph.queries import temporals
 
 
@@ -80,6 +80,41 @@ def test_shared_vectors_are_looked_up_behind_the_shuffle(spark, sf_dir):
     assert not any("x#" in line and "src#" in line for line in plan.splitlines())
 
 
+def test_edges_of_relations_are_shuffled_once_by_target(spark, sf_dir):
+    """Distinct edges, edges by source, counts and counts by target were four shuffles of all edges."""
+    plan = QUERIES["l10_hetero"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+    assert sorted(keys) == ["id", "l_orderkey", "src"]  # the last one moves nodes
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(40).select((F.col("id") % 7).alias("src"), (F.col("id") % 5).alias("dst"), F.lit(0).alias("bid"))
+        nodes, table = spark.range(7).withColumn("v", F.col("id") % 2), spark.range(2).select(F.col("id").alias("v"), F.array(F.col("id") * 1.0).alias("x"))
+        plan = layers.hetero_conv(edges, nodes, 1, F.broadcast(table), once=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_shared_vectors_of_repeated_edges_and_nodes(spark, once):
+    """A hub, edges given up to three times, a node given twice, sources that are no nodes, a target without a number."""
+    rng = np.random.default_rng(5)
+    edges = [(int(s), None if t == 9 else int(t), int(b)) for s, t, b in zip(rng.integers(0, 30, 400), rng.integers(0, 10, 400) % 11 * (rng.random(400) < 0.7), rng.integers(0, 2, 400))]
+    edges += edges[:50] + edges[:20]
+    nodes, table = [(i, i % 4) for i in range(25)] + [(3, 3)], {v: [float(x) for x in rng.normal(size=3)] for v in range(4)}
+    want = {}
+    for s, t, b in sorted(set(edges), key=str) if once else edges:
+        want.setdefault(t, {}).setdefault(b, []).extend(table[v] for i, v in nodes if i == s)
+    want = {t: np.mean([np.mean(m, axis=0) for m in of.values() if m], axis=0) for t, of in want.items()}
+    relations = spark.createDataFrame(edges, "src long, dst long, bid int")
+    index, shared = spark.createDataFrame(nodes, "id long, v long"), spark.createDataFrame(list(table.items()), "v long, x array<double>")
+    whole = index.join(shared, "v").select("id", "x")
+    for made in (layers.hetero_conv(relations, index, 3, shared, once=once), layers.hetero_conv(relations, whole, 3, once=once)):
+        got = {r["id"]: r["x"] for r in made.collect()}
+        assert set(got) == set(want) and all(np.allclose(got[t], want[t]) for t in want)
+
+
 @pytest.mark.parametrize("name", ["l9_gat", "l10_rgat", "l11_temporal_attention"])
 def test_heads_are_one_aggregate(spark, sf_dir, name):
     """Edges multiplied by the heads and joined with their sums were shuffled twice more."""
