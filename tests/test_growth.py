@@ -11,6 +11,7 @@ from weftgraph.catalog import QUERIES
 from weftgraph.functions import vectors as vec
 from weftgraph.operators import community, layers, memory, message, partition, state, traverse
 from weftgraph.queries import temporals
+from weftgraph.sources.graphs import part_graph
 
 
 @pytest.mark.parametrize("name", ["layer_norm", "l2_normalise", "row_normalise", "softmax", "log_softmax"])
@@ -96,6 +97,12 @@ def test_edges_of_relations_are_shuffled_once_by_target(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 3
 
 
+def test_lines_are_shuffled_without_copies_of_their_columns(spark, sf_dir):
+    """Source and weight were made from part and quantity before the window and shuffled beside them."""
+    plan = part_graph(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert " AS " not in plan.split("Exchange hashpartitioning(l_orderkey")[1]
+
+
 @pytest.mark.parametrize("once", [True, False])
 def test_shared_vectors_of_repeated_edges_and_nodes(spark, once):
     """A hub, edges given up to three times, a node given twice, sources that are no nodes, a target without a number."""
