@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
 from weftgraph.operators import community, layers, message, partition, structure, temporal, traverse
 from weftgraph.operators.components import connected_components
 from weftgraph.sources import formats
+from weftgraph.sources.graphs import PART_GRAPH, part_graph
 from weftgraph.streaming import mailbox
 
 TOY = [(0, 1, 26), (0, 3, 33), (2, 3, 40), (1, 2, 10)]
@@ -136,3 +138,14 @@ def test_empty_graph(spark):
     assert traverse.bfs(e, 0).count() == 1
     assert structure.degrees(e, spark.range(3)).agg(F.sum("out_degree")).first()[0] == 0
     assert isinstance(structure.stats(e, spark.range(3)).toPandas(), pd.DataFrame)
+
+
+def test_lines_without_numbers_come_last_in_their_order(spark, tmp_path):
+    """As in SQL, where they have the same line number as others or none."""
+    lines = [(1, 1, 10, 5, 50.0), (1, 1, None, 5, 50.0), (1, 2, 11, 5, 45.0), (2, None, 20, 6, 44.0), (2, 3, 21, 6, 43.0), (2, 4, 22, 6, 42.0), (3, 1, 30, None, 50.0), (3, 1, 30, 7, 3.0), (3, 2, 31, 7, 50.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"WITH {PART_GRAPH} SELECT src, dst, w FROM e").fetchall()
+    got = [tuple(r) for r in part_graph(spark, str(tmp_path)).select("src", "dst", "w").collect()]
+    assert sorted(got) == sorted(want) and len(got) == 3
