@@ -82,7 +82,8 @@ def test_shared_vectors_are_looked_up_behind_the_shuffle(spark, sf_dir):
 
 
 def test_edges_of_relations_are_shuffled_once_by_target(spark, sf_dir):
-    """Distinct edges, edges by source, counts and counts by target were four shuffles of all edges."""
+    """Distinct edges, edges by source, counts and counts by target were four shuffles of all edges, and a
+    vector was shuffled for each count where Spark doesn't broadcast on its own."""
     plan = QUERIES["l10_hetero"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
     assert sorted(keys) == ["id", "l_orderkey", "src"]  # the last one moves nodes
@@ -91,7 +92,7 @@ def test_edges_of_relations_are_shuffled_once_by_target(spark, sf_dir):
     try:
         edges = spark.range(40).select((F.col("id") % 7).alias("src"), (F.col("id") % 5).alias("dst"), F.lit(0).alias("bid"))
         nodes, table = spark.range(7).withColumn("v", F.col("id") % 2), spark.range(2).select(F.col("id").alias("v"), F.array(F.col("id") * 1.0).alias("x"))
-        plan = layers.hetero_conv(edges, nodes, 1, F.broadcast(table), once=True)._jdf.queryExecution().executedPlan().toString()
+        plan = layers.hetero_conv(edges, nodes, 1, table, once=True)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plan.count("Exchange hashpartitioning") == 3
@@ -104,7 +105,7 @@ def test_lines_are_shuffled_without_copies_of_their_columns(spark, sf_dir):
 
 
 @pytest.mark.parametrize("once", [True, False])
-def test_shared_vectors_of_repeated_edges_and_nodes(spark, once):
+def test_shared_vectors_of_repeated_edges_and_nodes(spark, once, monkeypatch):
     """A hub, edges given up to three times, a node given twice, sources that are no nodes, a target without a number."""
     rng = np.random.default_rng(5)
     edges = [(int(s), None if t == 9 else int(t), int(b)) for s, t, b in zip(rng.integers(0, 30, 400), rng.integers(0, 10, 400) % 11 * (rng.random(400) < 0.7), rng.integers(0, 2, 400))]
@@ -117,7 +118,9 @@ def test_shared_vectors_of_repeated_edges_and_nodes(spark, once):
     relations = spark.createDataFrame(edges, "src long, dst long, bid int")
     index, shared = spark.createDataFrame(nodes, "id long, v long"), spark.createDataFrame(list(table.items()), "v long, x array<double>")
     whole = index.join(shared, "v").select("id", "x")
-    for made in (layers.hetero_conv(relations, index, 3, shared, once=once), layers.hetero_conv(relations, whole, 3, once=once)):
+    made = [layers.hetero_conv(relations, index, 3, shared, once=once), layers.hetero_conv(relations, whole, 3, once=once)]
+    monkeypatch.setattr(layers, "BROADCAST", 3)
+    for made in (*made, layers.hetero_conv(relations, index, 3, shared, once=once)):
         got = {r["id"]: r["x"] for r in made.collect()}
         assert set(got) == set(want) and all(np.allclose(got[t], want[t]) for t in want)
 
